@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from emberlog.operators.order import running_sums
 
 
-def top_g_hit(weights: Column, target: Column, g: int) -> Column:
-    """True where fewer than ``g`` symbols weigh strictly more than the target (ties pass)."""
-    return F.size(F.filter(weights, lambda q: q > target)) < g
+def symbols_ahead(target: Column, _total: Column, weights: Column) -> Column:
+    """How many symbols weigh strictly more than the target; the target is among the top g
+    (ties pass) exactly if this is below g."""
+    return F.size(F.filter(weights, lambda q: q > target))
 
 
 def session_verdict(scored: DataFrame, max_mismatch_rate: float = 0.0) -> DataFrame:

@@ -12,8 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.operators.evaluate import top_g_hit
-from emberlog.session import small_rows
+from emberlog.operators.evaluate import symbols_ahead
+from emberlog.session import small_rows, stage
 
 # Fixed value: probabilities are clipped here before the logarithm.
 MIN_PROBABILITY = 1e-7
@@ -52,50 +52,67 @@ class NextEventModel:
         self.table.write.mode("overwrite").parquet(path)
         return self.load(self.table.sparkSession, path, self.h)
 
+    def staged(self) -> NextEventModel:
+        """The same model, read from a written table."""
+        return NextEventModel(self.h, stage(self.table, "next-event"))
+
     @classmethod
     def load(cls, spark, path: str, h: int) -> NextEventModel:
         return cls(h, spark.read.parquet(path))
 
-    def lookup(self, contexts: DataFrame) -> DataFrame:
-        """``context, k, total, dist`` for distinct contexts; contexts are arrays of ``h`` events."""
+    def lookup(self, asked: DataFrame) -> DataFrame:
+        """``context, k, total, dist, nexts`` for rows ``context`` (distinct), ``nexts``."""
         h = self.h
         cut = F.transform(
             F.sequence(F.lit(1), F.lit(h)),
             lambda k: F.struct(k.alias("k"), F.slice("context", F.lit(h + 1) - k, k).alias("suffix")),
         )
-        asked = contexts.select("context", F.explode(cut).alias("s")).select("context", "s.k", "s.suffix")
+        # The set of next events rides on one of the h rows of a context only.
+        rows = asked.select("context", "nexts", F.explode(cut).alias("s")).select(
+            "context", "s.k", "s.suffix", F.when(F.col("s.k") == 1, F.col("nexts")).alias("nexts")
+        )
+        known = F.when(F.col("total").isNotNull(), F.col("k"))
         found = (
-            asked.join(self.table.where("k > 0"), ["k", "suffix"])
+            rows.join(self.table.where("k > 0"), ["k", "suffix"], "left")
             .groupBy("context")
-            .agg(F.max_by(F.struct("k", "total", "dist"), "k").alias("m"))
+            .agg(
+                F.max_by(F.struct("k", "total", "dist"), known).alias("m"),
+                F.first("nexts", ignorenulls=True).alias("nexts"),
+                F.lit(0).alias("_one"),
+            )
         )
         # The empty suffix is one row (at most one entry per symbol), so it is safe to broadcast.
         base = self.table.where("k = 0").select(F.struct("k", "total", "dist").alias("m0"), F.lit(0).alias("_one"))
         return (
-            contexts.join(found, "context", "left")
-            .withColumn("_one", F.lit(0))
-            .join(F.broadcast(base), "_one", "left")
-            .select("context", F.coalesce("m", "m0").alias("m"))
-            .select("context", "m.*")
+            found.join(F.broadcast(base), "_one", "left")
+            .select("context", "nexts", F.coalesce("m", "m0").alias("m"))
+            .select("context", "nexts", "m.*")
+        )
+
+    def judge(self, wins: DataFrame, value, out: str) -> DataFrame:
+        """Windows plus ``out`` = ``value(count of next, total, counts of all)``.
+
+        Each distinct context is looked up once; its few next events are judged there.
+        """
+        asked = wins.groupBy("context").agg(F.collect_set("next").alias("nexts"))
+        values = F.transform(
+            "nexts",
+            lambda e: value(F.coalesce(F.try_element_at("dist", e), F.lit(0)), F.col("total"), F.map_values("dist")),
         )
+        judged = self.lookup(asked).select("context", F.map_from_arrays("nexts", values).alias("_judged"))
+        return wins.join(judged, "context").withColumn(out, F.col("_judged")[F.col("next")]).drop("_judged")
 
-    def score(self, wins: DataFrame) -> DataFrame:
-        """Windows plus ``k, total, dist, target`` (the count of the event that came)."""
-        known = self.lookup(wins.select("context").distinct())
-        target = F.coalesce(F.try_element_at("dist", F.col("next")), F.lit(0))
-        return wins.join(known, "context").withColumn("target", target)
+    def ahead(self, wins: DataFrame) -> DataFrame:
+        """Windows plus ``ahead``, how many symbols are strictly more frequent than the next event."""
+        return self.judge(wins, symbols_ahead, "ahead")
 
     def hits(self, wins: DataFrame, g: int) -> DataFrame:
-        """Windows plus ``hit`` by the top-g rule (distinct context/next pairs are judged once)."""
-        pairs = self.score(wins.select("context", "next").distinct())
-        judged = pairs.select("context", "next", top_g_hit(F.map_values("dist"), F.col("target"), g).alias("hit"))
-        return wins.join(judged, ["context", "next"])
+        """Windows plus ``hit`` by the top-g rule."""
+        return self.ahead(wins).withColumn("hit", F.col("ahead") < g)
 
     def log_likelihood(self, wins: DataFrame) -> DataFrame:
         """Windows plus ``ll``, the clipped log-probability of ``next`` given ``context``."""
-        pairs = self.score(wins.select("context", "next").distinct())
-        p = F.greatest(F.col("target") / F.col("total"), F.lit(MIN_PROBABILITY))
-        return wins.join(pairs.select("context", "next", F.log(p).alias("ll")), ["context", "next"])
+        return self.judge(wins, lambda n, total, _: F.log(F.greatest(n / total, F.lit(MIN_PROBABILITY))), "ll")
 
 
 def session_min_likelihood(scored: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from emberlog.operators import seqwin, sessions, split
 from emberlog.plans import fixtures
+from emberlog.session import stage
 
 # Model sizes used by the registered plans on long (user) and short (day) sessions.
 H = 4
@@ -49,7 +50,15 @@ def day_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.split_uniform(day_heads(spark, sf_dir), TRAIN, TEST).select("session_id", "label", "split")
 
 
-def user_windows(spark: SparkSession, sf_dir: str, width: int) -> DataFrame:
-    """Windows of padded user sessions with ``label`` and ``split``."""
-    chunks = seqwin.padded_left(user_chunks(spark, sf_dir), width)
-    return seqwin.windows(chunks, width).join(user_split(spark, sf_dir), "session_id")
+def user_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of user sessions with ``label`` and ``split``, written once: every later step reads them."""
+    return stage(user_chunks(spark, sf_dir).join(user_split(spark, sf_dir), "session_id"), "user-sequences")
+
+
+def day_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stage(day_chunks(spark, sf_dir).join(day_split(spark, sf_dir), "session_id"), "day-sequences")
+
+
+def padded_windows(sequences: DataFrame, width: int) -> DataFrame:
+    """Windows of left-padded sessions."""
+    return seqwin.windows(seqwin.padded_left(sequences, width), width)

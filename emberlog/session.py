@@ -53,6 +53,13 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Write a frame that several later steps read to a table in the shared folder."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def small_rows(df: DataFrame, limit: int = SMALL_ROWS) -> list:
     """Rows of a table that must be small; raises instead of pulling a large one."""
     rows = df.limit(limit + 1).collect()
