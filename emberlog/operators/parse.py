@@ -20,6 +20,11 @@ def _tokens() -> Column:
     return F.split("value", " ")
 
 
+def _once(value: Column, name: str) -> Column:
+    """A generator output: computed once per row, never copied into later filters and projections."""
+    return F.explode(F.array(value)).alias(name)
+
+
 def _rest(tokens: Column, start: int) -> Column:
     return F.array_join(F.slice(tokens, F.lit(start), F.greatest(F.size(tokens) - F.lit(start - 1), F.lit(0))), " ")
 
@@ -37,33 +42,32 @@ def hdfs_until_short(lines: DataFrame, on_bad_line: str = "stop") -> DataFrame:
 
 def hdfs_fields(lines: DataFrame, cut_comma: bool = True) -> DataFrame:
     """date, time, pid, level, component (without its last character) and content."""
-    t = _tokens()
+    t = F.col("_t")
     component = F.get(t, F.lit(4))
     content = _rest(t, 6)
-    return lines.select(
+    return lines.select("line_no", _once(_tokens(), "_t")).select(
         "line_no",
         F.get(t, F.lit(0)).alias("date"),
         F.get(t, F.lit(1)).alias("time"),
         F.get(t, F.lit(2)).alias("pid"),
         F.get(t, F.lit(3)).alias("level"),
         F.substring(component, F.lit(1), F.length(component) - 1).alias("component"),
-        (F.substring_index(content, ",", 1) if cut_comma else content).alias("content"),
+        _once(F.substring_index(content, ",", 1) if cut_comma else content, "content"),
     )
 
 
 def openstack_fields(lines: DataFrame) -> DataFrame:
     """Fields plus address (inside the first bracket) and content; short or bracketless lines go."""
-    t = _tokens()
-    rest = _rest(t, 7)
-    cut = lines.where(F.size(t) >= OPENSTACK_TOKENS).select(
+    t = F.col("_t")
+    tokens = lines.select("line_no", _once(_tokens(), "_t")).where(F.size(t) >= OPENSTACK_TOKENS)
+    cut = tokens.select(
         "line_no",
         *[
             F.get(t, F.lit(i)).alias(name)
             for i, name in enumerate(("logrecord", "date", "time", "pid", "level", "component"))
         ],
-        rest.alias("_rest"),
-        F.instr(rest, "]").alias("_end"),
-    )
+        _once(_rest(t, 7), "_rest"),
+    ).withColumn("_end", F.instr("_rest", "]"))
     return cut.where(F.col("_end") > 0).select(
         "line_no",
         "logrecord",
@@ -87,7 +91,7 @@ def wildcard_patterns(templates: DataFrame) -> DataFrame:
 
 def check_patterns(templates: DataFrame) -> DataFrame:
     """Fail at load time if a pattern does not compile; returns the table."""
-    templates.select(F.sum(F.lit("").rlike(F.col("pattern")).cast("int"))).collect()
+    templates.select(F.sum(F.rlike(F.lit(""), F.col("pattern")).cast("int"))).collect()
     return templates
 
 
@@ -100,13 +104,14 @@ def match_templates(fields: DataFrame, templates: DataFrame, arguments: bool = F
     """Add ``idx, event_id, event_template`` of the first template, in ``idx`` order, matching at
     the start of ``content`` (null if none) and, if asked, ``args``: the kept groups, packed."""
     catalogue = sorted(small_rows(templates), key=lambda r: r["idx"])
-    out = fields.withColumn("idx", F.lit(None).cast("int"))
+    out = fields.withColumn("_idx", F.lit(None).cast("int"))
     for start in range(0, len(catalogue), MATCH_STEP):
         tests = [
             F.when(F.col("content").rlike(_start_match(t["pattern"])), F.lit(t["idx"]))
             for t in catalogue[start : start + MATCH_STEP]
         ]
-        out = out.withColumn("idx", F.coalesce("idx", *tests))
+        out = out.select(*fields.columns, _once(F.coalesce("_idx", *tests), "_idx"))
+    out = out.withColumnRenamed("_idx", "idx")
     names = {t["idx"]: t["template"] if "template" in t else t["pattern"] for t in catalogue}
     table = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
     out = out.withColumn("event_id", F.concat(F.lit("E"), F.col("idx").cast("string"))).withColumn(

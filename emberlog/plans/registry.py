@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from emberlog.plans import queries_sequences, queries_sessions
+from emberlog.plans import queries_features, queries_sequences, queries_sessions
 
-AREAS = (queries_sessions, queries_sequences)
+AREAS = (queries_sessions, queries_sequences, queries_features)
 
 
 def queries() -> dict[str, Callable]:
