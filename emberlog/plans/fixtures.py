@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 
 def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``line_no, ts, user_id, event_type, value, event, bad, bad200`` — one row per event."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return line_columns(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def line_columns(events: DataFrame) -> DataFrame:
     step = F.least(F.floor(F.col("value") / 25).cast("int"), F.lit(3))
     error = F.col("event_type") == "error"
     return events.select(

@@ -4,9 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from emberlog.plans import queries_features, queries_sequences, queries_sessions
-
-AREAS = (queries_sessions, queries_sequences, queries_features)
+from emberlog.plans import (
+    queries_detectors,
+    queries_features,
+    queries_sequences,
+    queries_sessions,
+    queries_streaming,
+)
+
+AREAS = (queries_sessions, queries_sequences, queries_features, queries_detectors, queries_streaming)
 
 
 def queries() -> dict[str, Callable]:
