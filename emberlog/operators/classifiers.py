@@ -145,16 +145,19 @@ class SparseSvm:
             bound = 2.0 * c * weighted_totals(margin_rows, [""], lambda x, w: [w @ (x**2).sum(axis=1)])[0]
             curvature = margin_curvature(margin_rows, k, bound, c)
             w, ahead, momentum = np.zeros(k), np.zeros(k), 1.0
-            first = None
+            first, calm = None, 0
             for _ in range(max_iter):
                 step = ahead - gradient(ahead) / curvature
                 new = np.sign(step) * np.maximum(np.abs(step) - 1.0 / curvature, 0.0)
                 change = curvature * np.abs(new - ahead).sum()
                 first = change if first is None else first
-                grown = (1.0 + np.sqrt(1.0 + 4.0 * momentum**2)) / 2.0
-                ahead = new + (momentum - 1.0) / grown * (new - w)
+                # Momentum that points uphill is dropped.
+                uphill = (ahead - new) @ (new - w) > 0
+                grown = 1.0 if uphill else (1.0 + np.sqrt(1.0 + 4.0 * momentum**2)) / 2.0
+                ahead = new if uphill else new + (momentum - 1.0) / grown * (new - w)
                 w, momentum = new, grown
-                if change <= tol * 0.01 * first:
+                calm = calm + 1 if change <= 0.01 * tol * first else 0
+                if calm == 2:
                     break
             return cls(w)
         finally:

@@ -47,9 +47,9 @@ def render(chunks: DataFrame, one_event_per_line: bool = False) -> DataFrame:
 
     A session longer than a chunk goes on in the next row.
     """
-    if one_event_per_line:
-        last = F.col("chunk") == F.max("chunk").over(Window.partitionBy("session_id"))
-        text = F.concat(F.array_join("events", "\n"), F.when(last, F.lit("\n")).otherwise(F.lit("")))
-    else:
-        text = F.array_join("events", " ")
-    return chunks.withColumn("text", text)
+    if not one_event_per_line:
+        return chunks.withColumn("text", F.array_join("events", " "))
+    ends = chunks.groupBy("session_id").agg(F.max("chunk").alias("_last"))
+    blank = F.when(F.col("chunk") == F.col("_last"), F.lit("\n")).otherwise(F.lit(""))
+    text = F.concat(F.array_join("events", "\n"), blank)
+    return chunks.join(ends, "session_id").withColumn("text", text).drop("_last")

@@ -71,14 +71,13 @@ def best_boundary(scores: DataFrame, score: str = "score") -> DataFrame:
         F.sum(bad).alias("anom"), F.sum(1 - bad).alias("norm")
     )
     summed = running_sums(per_score, "score", ["anom", "norm"])
-    total = scores.agg(F.sum(bad).alias("n")).scalar()
-    cost = (total + F.col("cum_norm")) / F.col("cum_anom")
-    best = F.min_by(F.struct("score", "cum_anom", "cum_norm"), F.struct(cost, F.col("score")))
+    cost = (F.col("all_anom") + F.col("cum_norm")) / F.col("cum_anom")
+    best = F.min_by(F.struct("score", "cum_anom", "cum_norm", "all_anom"), F.struct(cost, F.col("score")))
     precision = F.col("b.cum_anom") / (F.col("b.cum_anom") + F.col("b.cum_norm"))
-    recall = F.col("b.cum_anom") / F.col("n")
+    recall = F.col("b.cum_anom") / F.col("b.all_anom")
     return (
         summed.where(F.col("anom") > 0)
-        .agg(best.alias("b"), F.max(total).alias("n"))
+        .agg(best.alias("b"))
         .select(
             F.col("b.score").alias("boundary"),
             precision.alias("precision"),

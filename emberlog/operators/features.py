@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from emberlog.functions.sequences import sigmoid_nonzero
-from emberlog.session import small_rows
+from emberlog.session import small_rows, stage
 
 OOV = "_OOV"
 
@@ -63,16 +63,13 @@ class FeatureModel:
         if oov:
             last = columns.agg(F.count(F.lit(1)).alias("idx")).select(F.lit(OOV).alias("event"), "idx")
             columns = columns.union(last)
-        n = counts.agg(F.count_distinct("session_id").alias("n")).scalar().cast("double")
-        df = F.coalesce("df", F.lit(0))
-        idf = F.log(n / (df + F.lit(1e-8))) if term_weighting == "tf-idf" else F.lit(1.0)
-        table = (
-            columns.join(seen, "event", "left")
-            .select("event", "idx", df.alias("df"), idf.alias("idf"), F.coalesce("total", F.lit(0)).alias("total"))
-            .withColumn("mean", F.col("total") * F.col("idf") / n)
-            .drop("total")
+        n = float(counts.agg(F.count_distinct("session_id").alias("n")).first()["n"])
+        df, total = F.coalesce("df", F.lit(0)), F.coalesce("total", F.lit(0))
+        idf = F.log(F.lit(n) / (df + F.lit(1e-8))) if term_weighting == "tf-idf" else F.lit(1.0)
+        table = columns.join(seen, "event", "left").select(
+            "event", "idx", df.alias("df"), idf.alias("idf"), (total * idf / F.lit(n)).alias("mean")
         )
-        return cls(table, term_weighting, normalization, oov)
+        return cls(stage(table, "features"), term_weighting, normalization, oov)
 
     def write(self, path: str) -> FeatureModel:
         self.table.write.mode("overwrite").parquet(path)
@@ -143,8 +140,8 @@ def class_weights(heads: DataFrame, weights: str | dict[int, float] | None = "ba
             "class_weight", F.when(positive, float(weights.get(1, 1.0))).otherwise(float(weights.get(0, 1.0)))
         )
     row_weight = F.col("weight") if "weight" in heads.columns else F.lit(1.0)
-    sizes = heads.agg(
-        F.sum(row_weight).alias("n"), F.sum(F.when(positive, row_weight).otherwise(0.0)).alias("p")
-    )
-    n, p = sizes.select("n").scalar(), sizes.select("p").scalar()
-    return heads.withColumn("class_weight", n / (2 * F.when(positive, p).otherwise(n - p)))
+    marked = heads.select("*", positive.alias("_pos"))
+    # Two rows: one per class.
+    sizes = marked.groupBy("_pos").agg(F.sum(row_weight).alias("_c"))
+    sizes = sizes.select("_pos", (F.sum("_c").over(Window.partitionBy()) / (2 * F.col("_c"))).alias("class_weight"))
+    return marked.join(F.broadcast(sizes), "_pos").drop("_pos")

@@ -26,27 +26,27 @@ def rank_in_order(
     order: Sequence[str | Column],
     by: Sequence[str] = (),
     out: str = "rank",
+    count_out: str | None = None,
 ) -> DataFrame:
     """Add the 0-based position of each row within ``by`` (non-null columns).
 
-    ``bucket`` must rise with the first order key.
+    ``bucket`` must rise with the first order key. ``count_out`` adds the number of rows of
+    the ``by`` group, which the bucket counts give for free.
     """
     by = list(by)
-    keyed = df.withColumn("_bucket", bucket)
-    earlier = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        keyed.groupBy(*by, "_bucket")
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
-        .drop("_rows")
-    )
+    keyed = df.select("*", bucket.alias("_bucket"))
+    group = Window.partitionBy(*by)
+    earlier = group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sized = keyed.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_rows"))
+    wanted = [F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before")]
+    if count_out:
+        wanted.append(F.sum("_rows").over(group).alias(count_out))
+    offsets = sized.select(*by, "_bucket", *wanted)
     inside = Window.partitionBy(*by, "_bucket").orderBy(*order)
-    return (
-        keyed.withColumn("_in", F.row_number().over(inside))
-        .join(offsets, [*by, "_bucket"])
-        .withColumn(out, F.col("_before") + F.col("_in") - 1)
-        .drop("_bucket", "_in", "_before")
-    )
+    numbered = keyed.select("*", F.row_number().over(inside).alias("_in"))
+    place = (F.col("_before") + F.col("_in") - 1).alias(out)
+    extra = [count_out] if count_out else []
+    return numbered.join(offsets, [*by, "_bucket"]).select(*df.columns, place, *extra)
 
 
 def value_bucket(df: DataFrame, value: str, parts: int = 64) -> Column:
@@ -65,19 +65,24 @@ def value_bucket(df: DataFrame, value: str, parts: int = 64) -> Column:
 
 
 def running_sums(df: DataFrame, value: str, sums: Sequence[str], parts: int = 64) -> DataFrame:
-    """Add ``cum_<c>`` = sum of ``c`` over all rows with the same or a smaller ``value``.
+    """Add ``cum_<c>`` = sum of ``c`` over all rows with the same or a smaller ``value``, and the
+    total ``all_<c>``.
 
     ``df`` holds one row per distinct ``value``.
     """
-    keyed = df.withColumn("_bucket", value_bucket(df, value, parts))
+    keyed = df.select("*", value_bucket(df, value, parts).alias("_bucket"))
     earlier = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    everything = Window.partitionBy()
     totals = keyed.groupBy("_bucket").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
     offsets = totals.select(
         "_bucket",
         *[F.coalesce(F.sum(f"_t_{c}").over(earlier), F.lit(0)).alias(f"_o_{c}") for c in sums],
+        *[F.sum(f"_t_{c}").over(everything).alias(f"all_{c}") for c in sums],
     )
     inside = Window.partitionBy("_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    out = keyed.select("*", *[F.sum(c).over(inside).alias(f"_i_{c}") for c in sums]).join(offsets, "_bucket")
-    for c in sums:
-        out = out.withColumn(f"cum_{c}", F.col(f"_o_{c}") + F.col(f"_i_{c}"))
-    return out.drop("_bucket", *[f"_o_{c}" for c in sums], *[f"_i_{c}" for c in sums])
+    numbered = keyed.select("*", *[F.sum(c).over(inside).alias(f"_i_{c}") for c in sums])
+    return numbered.join(offsets, "_bucket").select(
+        *df.columns,
+        *[(F.col(f"_o_{c}") + F.col(f"_i_{c}")).alias(f"cum_{c}") for c in sums],
+        *[f"all_{c}" for c in sums],
+    )

@@ -91,7 +91,10 @@ def wildcard_patterns(templates: DataFrame) -> DataFrame:
 
 def check_patterns(templates: DataFrame) -> DataFrame:
     """Fail at load time if a pattern does not compile; returns the table."""
-    templates.select(F.sum(F.rlike(F.lit(""), F.col("pattern")).cast("int"))).collect()
+    try:
+        templates.select(F.sum(F.rlike(F.lit(""), F.col("pattern")).cast("int"))).collect()
+    except Exception as error:
+        raise ValueError("a template pattern does not compile") from error
     return templates
 
 

@@ -128,9 +128,12 @@ class GramClassifier:
             LogisticRegression(featuresCol="_v", predictionCol="_pred", regParam=reg_param, maxIter=max_iter),
         ]
         try:
-            return cls(Pipeline(stages=stages).fit(table))
+            model = Pipeline(stages=stages).fit(table)
         finally:
             table.unpersist()
+        if len(model.stages[0].vocabulary) >= MAX_GRAMS:
+            raise ValueError(f"more than {MAX_GRAMS} distinct grams")
+        return cls(model)
 
     def predict(self, sequences: DataFrame) -> DataFrame:
         """Add ``pred``."""

@@ -38,27 +38,28 @@ def split_uniform(
     ``balanced`` trains on as many negatives as positives.
     """
     _check(train_ratio, test_ratio)
-    marked = heads.withColumn("_pos", (F.col("label") > 0).cast("int"))
+    positive = F.col("label") > 0
     ranked = rank_in_order(
-        marked, line_bucket("first_line", width), ["first_line", "session_id"], ["_pos"], "class_rank"
+        heads.select("*", positive.cast("int").alias("_pos")),
+        line_bucket("first_line", width),
+        ["first_line", "session_id"],
+        ["_pos"],
+        "class_rank",
+        "_own",
     )
-    sizes = marked.groupBy("_pos").agg(F.count(F.lit(1)).alias("_n"))
-    totals = sizes.agg(
-        F.coalesce(F.sum(F.when(F.col("_pos") == 1, F.col("_n"))), F.lit(0)).alias("p"),
-        F.coalesce(F.sum(F.when(F.col("_pos") == 0, F.col("_n"))), F.lit(0)).alias("n"),
-    )
-    n_pos, n_neg = totals.select("p").scalar(), totals.select("n").scalar()
-    positive = F.col("_pos") == 1
-    own = F.when(positive, n_pos).otherwise(n_neg)
-    train_pos = _share(train_ratio, n_pos)
-    train_end = train_pos if balanced else _share(train_ratio, own)
+    own = F.col("_own")
+    train_end = _share(train_ratio, own)
+    if balanced:
+        # The positives' train size rules both classes.
+        n_pos = heads.agg(F.count_if(positive).alias("n")).scalar()
+        train_end = _share(train_ratio, n_pos)
     test_start = train_end
     if test_ratio:
         test_start = own - _share(test_ratio, own)
         if balanced:
-            past = F.floor(train_pos.cast("double") * F.lit(BALANCED_TEST_START)).cast("bigint")
+            past = F.floor(train_end.cast("double") * F.lit(BALANCED_TEST_START)).cast("bigint")
             test_start = F.when(positive, test_start).otherwise(past)
-    return _assign(ranked, "class_rank", train_end, test_start).drop("_pos")
+    return _assign(ranked, "class_rank", train_end, test_start).drop("_pos", "_own")
 
 
 def split_sequential(
@@ -67,12 +68,16 @@ def split_sequential(
     """Cut all sessions at the given shares, in order of first appearance."""
     _check(train_ratio, test_ratio)
     ranked = rank_in_order(
-        heads, line_bucket("first_line", width), ["first_line", "session_id"], out="seq_no"
+        heads,
+        line_bucket("first_line", width),
+        ["first_line", "session_id"],
+        out="seq_no",
+        count_out="_total",
     )
-    total = heads.agg(F.count(F.lit(1)).alias("n")).scalar()
+    total = F.col("_total")
     train_end = _share(train_ratio, total)
     test_start = total - _share(test_ratio, total) if test_ratio else train_end
-    return _assign(ranked, "seq_no", train_end, test_start)
+    return _assign(ranked, "seq_no", train_end, test_start).drop("_total")
 
 
 def split_sessions(

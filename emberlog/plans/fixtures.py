@@ -6,46 +6,45 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+EVENTS_SCHEMA = (
+    "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+)
+
+
 def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``line_no, ts, user_id, event_type, value, event, bad, bad200`` — one row per event."""
-    return line_columns(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    return line_columns(spark.read.schema(EVENTS_SCHEMA).parquet(f"{sf_dir}/events.parquet"))
 
 
 def line_columns(events: DataFrame) -> DataFrame:
-    step = F.least(F.floor(F.col("value") / 25).cast("int"), F.lit(3))
-    error = F.col("event_type") == "error"
-    return events.select(
-        F.col("event_id").alias("line_no"),
+    return events.selectExpr(
+        "event_id as line_no",
         "ts",
         "user_id",
         "event_type",
         "value",
-        F.concat("event_type", F.lit(":"), step.cast("string")).alias("event"),
-        (error & (F.col("value") > 100)).cast("int").alias("bad"),
-        (error & (F.col("value") > 200)).cast("int").alias("bad200"),
+        "concat(event_type, ':', least(cast(floor(value / 25) as int), 3)) as event",
+        "cast(event_type = 'error' and value > 100 as int) as bad",
+        "cast(event_type = 'error' and value > 200 as int) as bad200",
     )
 
 
 def user_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long sessions: everything one user did."""
     lines = event_lines(spark, sf_dir)
-    return lines.select(
-        F.concat(F.lit("u"), "user_id").alias("session_id"), "line_no", "event", F.col("bad200").alias("bad")
-    )
+    return lines.selectExpr("concat('u', user_id) as session_id", "line_no", "event", "bad200 as bad")
 
 
 def day_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Short sessions: what one user did on one day."""
-    lines = event_lines(spark, sf_dir)
-    day = F.date_format("ts", "yyyyMMdd")
-    return lines.select(
-        F.concat(F.lit("u"), "user_id", F.lit("d"), day).alias("session_id"),
+    return event_lines(spark, sf_dir).selectExpr(
+        "concat('u', user_id, 'd', date_format(ts, 'yyyyMMdd')) as session_id",
         "line_no",
         "event",
         "event_type",
         "bad",
-        F.date_format("ts", "HHmmss").alias("time"),
-        F.col("user_id").cast("string").alias("pid"),
+        "date_format(ts, 'HHmmss') as time",
+        "cast(user_id as string) as pid",
     )
 
 

@@ -8,6 +8,7 @@ from emberlog.operators import parse, sessions, split
 from emberlog.plans import detection, fixtures, views
 from emberlog.plans.ctes import with_parts as sql
 from emberlog.plans.views import text
+from emberlog.session import stage
 
 
 def _hdfs_matched(spark, sf, arguments=False):
@@ -20,6 +21,11 @@ def _block_rows(spark, sf):
     return sessions.block_rows(lines, "line_no", F.coalesce("event_id", F.lit("")).alias("event"))
 
 
+def _staged_block_rows(spark, sf):
+    """The text is parsed once, however often the rows are read afterwards."""
+    return stage(_block_rows(spark, sf), "block-rows")
+
+
 def _openstack(spark, sf):
     patterns = parse.wildcard_patterns(fixtures.templates_openstack(spark))
     return parse.match_templates(parse.openstack_fields(fixtures.openstack_log(spark, sf)), patterns)
@@ -90,7 +96,7 @@ def session_ids_uuid(spark, sf):
 
 
 def sessions_build(spark, sf):
-    rows = _block_rows(spark, sf)
+    rows = _staged_block_rows(spark, sf)
     chunks = sessions.session_chunks(sessions.with_positions(rows), halo=0)
     numbered = sessions.with_seq_no(sessions.session_heads(rows)).select("session_id", "seq_no", "n_events")
     return chunks.join(numbered, "session_id").select(
@@ -99,19 +105,19 @@ def sessions_build(spark, sf):
 
 
 def sessions_label(spark, sf):
-    rows = _block_rows(spark, sf)
+    rows = _staged_block_rows(spark, sf)
     labels = fixtures.block_labels(spark, sf, rows)
     return sessions.label_from_table(sessions.session_heads(rows), labels).select("session_id", "n_events", "label")
 
 
 def sessions_label_list(spark, sf):
-    rows = _uuid_rows(spark, sf)
+    rows = stage(_uuid_rows(spark, sf), "uuid-rows")
     listed = fixtures.anomaly_ids(spark, sf, rows)
     return sessions.label_from_list(sessions.session_heads(rows), listed).select("session_id", "n_events", "label")
 
 
 def sessions_unlabelled(spark, sf):
-    heads = sessions.session_heads(_block_rows(spark, sf))
+    heads = sessions.session_heads(_staged_block_rows(spark, sf))
     return split.split_sessions(heads, 0.5, "uniform", labelled=False).select("session_id", "seq_no", "split")
 
 

@@ -15,8 +15,7 @@ from emberlog.streaming import cluster, next_event, sink, windows
 
 def _event_stream(spark, sf):
     """The events file as a stream with the same columns as ``fixtures.event_lines``."""
-    schema = spark.read.parquet(f"{sf}/events.parquet").schema
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    raw = spark.readStream.schema(fixtures.EVENTS_SCHEMA).option("pathGlobFilter", "events.parquet").parquet(sf)
     return fixtures.line_columns(raw)
 
 
@@ -55,12 +54,14 @@ def stream_next_event(spark, sf):
     wins = next_event.stream_windows(rows.join(test, "session_id"), views.H)
     path = scratch_path(spark, "stream-hits")
     write = sink.batch_writer(path)
-    sink.run_available(
-        wins,
-        scratch_path(spark, "stream-state"),
-        lambda batch, i: write(model.hits(batch.persist(), views.G).select("session_id", "pos", "hit"), i),
-        mode="append",
-    )
+
+    def score(batch, batch_id):
+        # Read twice below; the stateful step must run once.
+        batch.persist()
+        write(model.hits(batch, views.G).select("session_id", "pos", "hit"), batch_id)
+        batch.unpersist()
+
+    sink.run_available(wins, scratch_path(spark, "stream-state"), score, mode="append")
     return spark.read.parquet(path).select("session_id", "pos", F.col("hit").cast("int").alias("hit"))
 
 
