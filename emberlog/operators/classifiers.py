@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from emberlog.operators.features import class_weights
-from emberlog.operators.gram import gram_matrix, weighted_totals
+from emberlog.operators.gram import weighted_totals
 
 
 def training_table(vectors: DataFrame, class_weight="none") -> DataFrame:
@@ -126,42 +126,44 @@ class SparseSvm:
     def fit(
         cls, vectors: DataFrame, size: int, c: float = 1.0, tol: float = 0.1, class_weight=None, max_iter: int = 100
     ) -> SparseSvm:
-        """Accelerated proximal gradient; the loss and gradient of a step are one Spark aggregate."""
+        """Each round takes two Spark aggregates: slope and curvature of the loss at the current
+        weights, then the loss at several step lengths towards the minimum of that model."""
         table = training_table(vectors, class_weight)
         signed = F.when(F.col("label") > 0, 1.0).otherwise(-1.0)
         # Rows enter as y * (x, 1): the margin of a row is its product with the weights.
-        margin_rows = table.select(
+        rows = table.select(
             F.transform(F.concat("features", F.array(F.lit(1.0))), lambda x: x * signed).alias("features"), "weight"
         ).persist(StorageLevel.MEMORY_AND_DISK)
+        k = size + 1
+
+        def losses(points: np.ndarray) -> np.ndarray:
+            loss = weighted_totals(
+                rows, len(points), lambda x, w: c * (w @ np.maximum(1.0 - x @ points.T, 0.0) ** 2)
+            )
+            return loss + np.abs(points).sum(axis=1)
+
+        def slopes(x: np.ndarray, w: np.ndarray, at: np.ndarray) -> np.ndarray:
+            short = np.maximum(1.0 - x @ at, 0.0)
+            active = x * (short > 0)[:, None]
+            return np.concatenate([-2.0 * c * ((w * short) @ x), (2.0 * c * active.T @ (active * w[:, None])).ravel()])
+
         try:
-            k = size + 1
-            names = [""] * k
-
-            def gradient(at: np.ndarray) -> np.ndarray:
-                return weighted_totals(
-                    margin_rows, names, lambda x, w: -2.0 * c * ((w * np.maximum(1.0 - x @ at, 0.0)) @ x)
-                )
-
-            bound = 2.0 * c * weighted_totals(margin_rows, [""], lambda x, w: [w @ (x**2).sum(axis=1)])[0]
-            curvature = margin_curvature(margin_rows, k, bound, c)
-            w, ahead, momentum = np.zeros(k), np.zeros(k), 1.0
-            first, calm = None, 0
+            at = np.zeros(k)
+            value = losses(at[None, :])[0]
             for _ in range(max_iter):
-                step = ahead - gradient(ahead) / curvature
-                new = np.sign(step) * np.maximum(np.abs(step) - 1.0 / curvature, 0.0)
-                change = curvature * np.abs(new - ahead).sum()
-                first = change if first is None else first
-                # Momentum that points uphill is dropped.
-                uphill = (ahead - new) @ (new - w) > 0
-                grown = 1.0 if uphill else (1.0 + np.sqrt(1.0 + 4.0 * momentum**2)) / 2.0
-                ahead = new if uphill else new + (momentum - 1.0) / grown * (new - w)
-                w, momentum = new, grown
-                calm = calm + 1 if change <= 0.01 * tol * first else 0
-                if calm == 2:
+                parts = weighted_totals(rows, k + k * k, lambda x, w, at=at: slopes(x, w, at))
+                target = _shrunk_minimum(at, parts[:k], parts[k:].reshape(k, k))
+                steps = np.array([at + (target - at) * 0.5**i for i in range(12)])
+                tried = losses(steps)
+                best = int(np.argmin(tried))
+                gain = value - tried[best]
+                if gain > 0:
+                    at, value = steps[best], tried[best]
+                if gain <= 1e-4 * tol * value:
                     break
-            return cls(w)
+            return cls(at)
         finally:
-            margin_rows.unpersist()
+            rows.unpersist()
 
     def predict(self, vectors: DataFrame) -> DataFrame:
         """Add ``margin`` and ``pred``."""
@@ -171,7 +173,18 @@ class SparseSvm:
         return vectors.withColumn("margin", margin).withColumn("pred", (F.col("margin") > 0).cast("int"))
 
 
-def margin_curvature(rows: DataFrame, k: int, bound: float, c: float) -> float:
-    """Largest curvature of the loss, from the rows' Gram matrix."""
-    top = 2.0 * c * float(np.linalg.eigvalsh(gram_matrix(rows, k))[-1])
-    return max(min(bound, top * 1.0001), 1e-12)
+def _shrunk_minimum(at: np.ndarray, slope: np.ndarray, curvature: np.ndarray) -> np.ndarray:
+    """Minimum of ``slope.(u - at) + (u - at).curvature.(u - at) / 2 + |u|`` over ``u``.
+
+    A model-sized problem: one coordinate at a time until nothing moves.
+    """
+    u = at.copy()
+    diagonal = np.maximum(np.diag(curvature), 1e-12)
+    for _ in range(10_000):
+        before = u.copy()
+        for j in range(len(u)):
+            pull = u[j] - (slope[j] + curvature[j] @ (u - at)) / diagonal[j]
+            u[j] = np.sign(pull) * max(abs(pull) - 1.0 / diagonal[j], 0.0)
+        if np.abs(u - before).max() <= 1e-10:
+            break
+    return u

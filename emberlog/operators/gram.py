@@ -24,8 +24,8 @@ def widened(df: DataFrame, **columns: str) -> T.StructType:
     return T.StructType([*df.schema.fields, *[T.StructField(c, kinds[k]) for c, k in columns.items()]])
 
 
-def weighted_totals(vectors: DataFrame, names: list[str], total: Callable) -> np.ndarray:
-    """Sum of ``total(matrix, weights)`` (an array per block) over all vectors.
+def weighted_totals(vectors: DataFrame, size: int, total: Callable) -> np.ndarray:
+    """Sum of ``total(matrix, weights)`` (``size`` numbers per block) over all vectors.
 
     Each partition adds up its blocks and sends one row; the sums are added by Spark.
     """
@@ -39,7 +39,7 @@ def weighted_totals(vectors: DataFrame, names: list[str], total: Callable) -> np
             yield pd.DataFrame({"slot": np.arange(acc.size), "v": acc.ravel()})
 
     rows = vectors.select("features", "weight").mapInPandas(partial, "slot bigint, v double")
-    out = np.zeros(len(names))
+    out = np.zeros(size)
     for row in rows.groupBy("slot").agg(F.sum("v").alias("v")).toLocalIterator():
         out[row["slot"]] = row["v"]
     return out

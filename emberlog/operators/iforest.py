@@ -104,9 +104,11 @@ class ForestModel:
         n = rows.count()
         wanted = {"auto": min(AUTO_SAMPLE, n)}.get(max_samples) if isinstance(max_samples, str) else max_samples
         size = min(n, int(wanted * n) if isinstance(wanted, float) else int(wanted))
+        # Little data but much work per row and tree: spread it over the cores, not by bytes.
+        tasks = min(n_estimators, rows.sparkSession.sparkContext.defaultParallelism)
         # A pool of the rows with the smallest hashes, then each tree's own draw from it.
         pool = rows.select("session_id", "features").orderBy(F.xxhash64(F.lit(seed), "session_id"), "session_id")
-        pool = pool.limit(size * n_estimators)
+        pool = pool.limit(size * n_estimators).repartition(tasks, "session_id")
         trees = F.explode(F.sequence(F.lit(0), F.lit(n_estimators - 1))).alias("tree")
         draw = F.xxhash64(F.lit(seed), F.col("tree"), F.col("session_id"))
         order = Window.partitionBy("tree").orderBy(draw, "session_id")
@@ -127,7 +129,7 @@ class ForestModel:
             columns = np.sort(rng.choice(k, size=max(1, min(k, use)), replace=False))
             return grow_tree(points, number, seed, columns)
 
-        nodes = picked.groupBy("tree").applyInPandas(build, NODES)
+        nodes = picked.repartition(tasks, "tree").groupBy("tree").applyInPandas(build, NODES)
         path_model = cls(stage(nodes, "forest"), size)
         weighted = rows.groupBy("features").agg(F.count(F.lit(1)).cast("double").alias("weight"))
         path_model.threshold = weighted_percentile(path_model.score(weighted), "score", 1.0 - contamination)

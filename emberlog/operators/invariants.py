@@ -28,9 +28,7 @@ Columns = tuple[int, ...]
 def space_dimension(vectors: DataFrame, gram: np.ndarray, n: float, epsilon: float, percentage: float) -> int:
     """Directions, from the least to the most varied, that nearly vanish on enough rows."""
     u = np.linalg.svd(gram)[0]
-    hits = weighted_totals(
-        vectors, [str(i) for i in range(len(gram))], lambda x, w: w @ (np.abs(x @ u) < epsilon)
-    )
+    hits = weighted_totals(vectors, len(gram), lambda x, w: w @ (np.abs(x @ u) < epsilon))
     enough = (hits / n >= percentage)[::-1]
     return len(gram) if enough.all() else int(np.argmin(enough))
 
@@ -64,7 +62,7 @@ def validate(
         for c, (cols, _, weights) in enumerate(part):
             table[list(cols), c] = weights
         fits = weighted_totals(
-            vectors, [""] * len(part), lambda x, w, table=table: w @ (np.abs(x @ table) < ZERO_FIT)
+            vectors, len(part), lambda x, w, table=table: w @ (np.abs(x @ table) < ZERO_FIT)
         )
         for (cols, _, weights), fit in zip(part, fits, strict=True):
             if fit >= percentage * n:
