@@ -20,6 +20,14 @@ def vocabulary(rows: DataFrame, with_pad: bool = False) -> DataFrame:
     return symbols.withColumn("idx", place.cast("bigint"))
 
 
+def chunk_positions(chunks: DataFrame, chunk_len: int = CHUNK_LEN) -> DataFrame:
+    """``session_id, pos, event`` back from chunks (without their halos)."""
+    own = F.posexplode(F.slice("events", 1, chunk_len)).alias("_i", "event")
+    return chunks.select("session_id", "chunk", own).select(
+        "session_id", (F.col("chunk") * chunk_len + F.col("_i")).alias("pos"), "event"
+    )
+
+
 def padded_left(chunks: DataFrame, lower_bound: int, chunk_len: int = CHUNK_LEN) -> DataFrame:
     """Left-pad sessions shorter than ``lower_bound``; such a session is one chunk."""
     if lower_bound > chunk_len:

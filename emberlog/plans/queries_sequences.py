@@ -169,8 +169,10 @@ def select_by_f1(spark, sf):
 
 def _likelihood(spark, sf):
     """Window log-likelihoods and ``session_id, label, split`` of the sessions outside training."""
-    first = seqwin.distinct_sequences(_positioned_day(spark, sf, "split = 'train'")).select("session_id")
     sequences = views.day_sequences(spark, sf)
+    # Which of several equal sequences is kept makes no difference to the counts.
+    spots = seqwin.chunk_positions(sequences.where("split = 'train'")).withColumn("line_no", F.lit(0))
+    first = seqwin.distinct_sequences(spots).select("session_id")
     model = likelihood.fit_window_model(sequences.join(first, "session_id"), H).staged()
     asked = sequences.where("split <> 'train'")
     parts = asked.where("chunk = 0").select("session_id", "label", "split")

@@ -56,6 +56,13 @@ def test_chunk_values_stay_aligned(spark, make_rows):
         assert [f"t{e}" for e in r["events"]] == r["tags"]
 
 
+def test_positions_come_back_from_chunks(spark, make_rows):
+    plain = {"a": list("ABCDEFGHI"), "b": list("AB")}
+    chunks = sessions.session_chunks(sessions.with_positions(make_rows(plain)), chunk_len=4, halo=3)
+    got = sorted(map(tuple, seqwin.chunk_positions(chunks, 4).collect()))
+    assert got == [(s, i, e) for s, events in plain.items() for i, e in enumerate(events)]
+
+
 def test_halo_must_cover_the_window(spark, make_rows):
     chunks = sessions.session_chunks(sessions.with_positions(make_rows({"a": ["A", "B"]})), chunk_len=4, halo=1)
     with pytest.raises(ValueError):
