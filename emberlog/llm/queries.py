@@ -7,8 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.llm import mixing, quality, url_filter
-from emberlog.llm.common import text_or_empty
+from emberlog.llm import (
+    automaton_dedup,
+    html_extract,
+    mixing,
+    ngram_join,
+    packing,
+    quality,
+    suffix_dedup,
+    token_files,
+    tokens,
+    url_filter,
+    winnowing,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -46,6 +57,45 @@ def labelled_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.join(labels, pages["_number"] == labels["doc_id"], "left").select("page_id", "url", "bad")
 
 
+@query("op1_winnowing")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.edit_report(table(spark, sf_dir, "documents"))
+
+
+@query("op3_cutting_stock")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokenizer = tokens.public_tokenizer("word_bpe_49k.json")
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer, end_id=1)
+
+
+@query("op4_main_text")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text(table(spark, sf_dir, "pages"))
+
+
+@query("op5_suffix_dedup")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.report(table(spark, sf_dir, "documents"))
+
+
+@query("op6_automaton_dedup")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return automaton_dedup.report(table(spark, sf_dir, "documents"))
+
+
+@query("op9_ngram_join")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.components_of(table(spark, sf_dir, "documents"))
+
+
+@query("op10_token_files")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokenizer = tokens.public_tokenizer("byte_bpe_50k.json")
+    folder = token_files.shared_uri(spark, "token-files")
+    manifest = token_files.write_files(table(spark, sf_dir, "documents"), tokenizer, 0, folder)
+    return token_files.read_files(manifest)
+
+
 @query("op2_url_filter")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(labelled_pages(spark, sf_dir), URL_RULES)
