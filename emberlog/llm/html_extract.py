@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -64,7 +65,8 @@ DROPPED_NAMES = frozenset(
     "comments discussion replies respond disqus pagination pager toolbar skip".split()
 )
 MAIN = frozenset(["article", "main"])
-PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th tr tbody article main body html".split())
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th tr tbody".split())
+WHOLE = frozenset(["article", "main", "body", "html"])
 
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
@@ -111,6 +113,7 @@ class _Page:
 
     def __init__(self):
         self.open = [_Element("#page", False, False, "", 0)]
+        self.opened: Counter[str] = Counter()
         self.blocks: list[Block] = []
         self.buffer: list[str] = []
         self.has_main = False
@@ -126,15 +129,14 @@ class _Page:
             self.buffer.clear()
             if text:
                 self.blocks.append(Block(text, self.open[-1].main))
-                for element in self.open:
-                    element.parts.append(text)
+                self.open[-1].parts.append(text)
 
     def start(self, tag: str, attributes: str) -> None:
         if tag in BLOCKS:
             self.flush()
             if tag != "p":
                 self._close_until(CLOSES.get(tag, frozenset()))
-            if any(e.tag == "p" for e in self.open):
+            if self.opened["p"]:
                 self._pop("p")
         elif tag == "br":
             self.text(" ")
@@ -144,15 +146,10 @@ class _Page:
         key, dropped = _names(attributes) if attributes else ("", False)
         # The page itself is never dropped for a class of its body.
         dropped = above.dropped or tag in DROPPED or (dropped and tag not in ("html", "body", *MAIN))
-        if not dropped and tag in BLOCKS or tag in MAIN:
-            self.flush()
-        elif dropped and not above.dropped and tag in BLOCKS:
-            self.flush()
         main = not dropped and (above.main or tag in MAIN)
         self.has_main |= main
         self.open.append(_Element(tag, dropped, main, key, len(self.blocks)))
-        for element in self.open[:-1]:
-            element.parts.append(f"<{tag} {key}>")
+        self.opened[tag] += 1
 
     def _close_until(self, tags: frozenset[str]) -> None:
         """Closes the innermost open element of ``tags``, unless a barrier is open inside it."""
@@ -164,12 +161,10 @@ class _Page:
                 return
 
     def end(self, tag: str) -> None:
-        if any(e.tag == tag for e in self.open[1:]):
-            if tag in BLOCKS:
-                self.flush()
-            self._pop(tag)
-        elif tag == "p":
+        if tag in BLOCKS:
             self.flush()
+        if self.opened[tag]:
+            self._pop(tag)
 
     def _pop(self, tag: str) -> None:
         """Closes the innermost element with the tag and all that is open inside it.
@@ -180,21 +175,22 @@ class _Page:
             if self.open[-1].tag in BLOCKS:
                 self.flush()
             element = self.open.pop()
+            self.opened[element.tag] -= 1
             self._mark(element)
             if element.tag == tag:
                 return
 
     def _mark(self, element: _Element) -> None:
-        """Hashes a closed subtree and notes the hash on its blocks."""
-        if element.dropped or element.tag not in BLOCKS or (element.main and element.tag in PROSE):
+        """Hashes a closed subtree from its text and the hashes of its children, and notes it on its blocks."""
+        if element.dropped:
             return
-        if element.tag in ("article", "main", "body", "html"):
+        content = "\n".join([f"{element.tag} {element.key}", *element.parts])
+        print_ = xxhash.xxh64_intdigest(content.encode("utf-8", "surrogatepass")) - 2**63
+        self.open[-1].parts.append(str(print_))
+        if element.tag not in BLOCKS or element.tag in WHOLE or (element.main and element.tag in PROSE):
             return
-        inside = self.blocks[element.first :]
-        if inside:
-            print_ = xxhash.xxh64_intdigest(f"{element.tag} {element.key}\n" + "\n".join(element.parts)) - 2**63
-            for block in inside:
-                block.marks.append(print_)
+        for block in self.blocks[element.first :]:
+            block.marks.append(print_)
 
     def close(self) -> list[Block]:
         self.flush()
@@ -244,7 +240,7 @@ def _parsed(pages: DataFrame) -> DataFrame:
                 for source in part.column(3):
                     found = blocks_of(source.as_py() or "")
                     blocks.append([{"text": b.text, "marks": b.marks} for b in found])
-                    prints.append(xxhash.xxh64_intdigest("\n".join(b.text for b in found)) - 2**63)
+                    prints.append(xxhash.xxh64_intdigest("\n".join(b.text for b in found).encode("utf-8", "surrogatepass")) - 2**63)
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns[:3], pa.array(prints, pa.int64()), pa.array(blocks, kind)],
                     names=["page_id", "url", "host", "page_print", "blocks"],
