@@ -1,6 +1,6 @@
 """Log clustering by cosine distance of count vectors: offline, online and nearest-cluster scoring.
 
-Vectors are non-negative. The pair table holds only pairs within ``max_dist``; two vectors
+Vectors may have any sign. The pair table holds only pairs within ``max_dist``; two vectors
 that close must share a coordinate among the leading ones of both (the part of a vector
 after its leading coordinates is too short to reach the similarity alone), so they meet on
 that coordinate. A crowded coordinate is cut into a grid of blocks of bounded size.
@@ -47,7 +47,7 @@ def leading_coordinates(features: np.ndarray, similarity: float) -> list[np.ndar
     unit = features / np.maximum(np.linalg.norm(features, axis=1, keepdims=True), 1e-300)
     # Length of the tail that starts at each coordinate.
     tails = np.sqrt(np.cumsum((unit**2)[:, ::-1], axis=1)[:, ::-1])
-    return [np.flatnonzero((row > 0) & (tail >= similarity - 1e-9)) for row, tail in zip(unit, tails, strict=True)]
+    return [np.flatnonzero((row != 0) & (tail >= similarity - 1e-9)) for row, tail in zip(unit, tails, strict=True)]
 
 
 def close_pairs(numbered: DataFrame, max_dist: float, block: int = BLOCK) -> DataFrame:

@@ -28,12 +28,18 @@ def session_verdict(scored: DataFrame, max_mismatch_rate: float = 0.0) -> DataFr
     )
 
 
-def confusion(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """``tp, tn, fp, fn`` from ``label`` and ``pred``."""
-    flagged, bad = F.col("pred") == 1, F.col("label") > 0
+def _known(name: str) -> Column:
+    """The column, or an error where it is null: a session must not drop out of the counts."""
+    return F.coalesce(F.col(name), F.raise_error(F.lit(f"{name} is null")).cast("double"))
+
+
+def confusion(scored: DataFrame, by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
+    """``tp, tn, fp, fn`` from ``label`` and ``pred``; rows count ``weight`` times. Nulls are an error."""
+    flagged, bad = _known("pred") == 1, _known("label") > 0
+    times = F.col(weight) if weight else F.lit(1)
 
     def n(condition: Column) -> Column:
-        return F.coalesce(F.sum(condition.cast("bigint")), F.lit(0))
+        return F.coalesce(F.sum(F.when(condition, times).otherwise(F.lit(0)).cast("bigint")), F.lit(0))
 
     return scored.groupBy(*by).agg(
         n(flagged & bad).alias("tp"),
@@ -57,14 +63,20 @@ def precision_recall_f1(counts: DataFrame) -> DataFrame:
     )
 
 
-def evaluate(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    return precision_recall_f1(confusion(scored, by))
+def evaluate(scored: DataFrame, by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
+    return precision_recall_f1(confusion(scored, by, weight))
+
+
+def _no_anomaly(like: Column) -> Column:
+    """An error with the type of ``like``."""
+    return F.when(F.raise_error(F.lit("no anomalous session to place a boundary by")).cast("boolean"), like)
 
 
 def best_boundary(scores: DataFrame, score: str = "score") -> DataFrame:
     """One row ``boundary, precision, recall, f1``: flag ``score <= boundary`` for the best F1.
 
     Candidates are the scores of anomalous sessions; of equally good ones the smallest wins.
+    Without any anomalous session there is no boundary, which is an error.
     """
     bad = (F.col("label") > 0).cast("bigint")
     per_score = scores.groupBy(F.col(score).alias("score")).agg(
@@ -77,7 +89,8 @@ def best_boundary(scores: DataFrame, score: str = "score") -> DataFrame:
     recall = F.col("b.cum_anom") / F.col("b.all_anom")
     return (
         summed.where(F.col("anom") > 0)
-        .agg(best.alias("b"))
+        .agg(best.alias("b"), F.count(F.lit(1)).alias("n"))
+        .withColumn("b", F.when(F.col("n") > 0, F.col("b")).otherwise(_no_anomaly(F.col("b"))))
         .select(
             F.col("b.score").alias("boundary"),
             precision.alias("precision"),

@@ -67,20 +67,14 @@ class NextEventModel:
             F.sequence(F.lit(1), F.lit(h)),
             lambda k: F.struct(k.alias("k"), F.slice("context", F.lit(h + 1) - k, k).alias("suffix")),
         )
-        # The set of next events rides on one of the h rows of a context only.
-        rows = asked.select("context", "nexts", F.explode(cut).alias("s")).select(
-            "context", "s.k", "s.suffix", F.when(F.col("s.k") == 1, F.col("nexts")).alias("nexts")
-        )
-        known = F.when(F.col("total").isNotNull(), F.col("k"))
-        found = (
-            rows.join(self.table.where("k > 0"), ["k", "suffix"], "left")
-            .groupBy("context")
-            .agg(
-                F.max_by(F.struct("k", "total", "dist"), known).alias("m"),
-                F.first("nexts", ignorenulls=True).alias("nexts"),
-                F.lit(0).alias("_one"),
-            )
-        )
+        # Which suffix is the longest known one is found with keys only; its counts are fetched once.
+        rows = asked.select("context", F.explode(cut).alias("s")).select("context", "s.k", "s.suffix")
+        keys = self.table.where("k > 0").select("k", "suffix")
+        longest = rows.join(keys, ["k", "suffix"]).groupBy("context").agg(F.max("k").alias("k"))
+        suffix = F.slice("context", F.lit(h + 1) - F.col("k"), F.col("k"))
+        wanted = asked.join(longest, "context", "left").withColumn("suffix", suffix)
+        stored = self.table.where("k > 0").select("k", "suffix", F.struct("k", "total", "dist").alias("m"))
+        found = wanted.join(stored, ["k", "suffix"], "left").select("context", "nexts", "m", F.lit(0).alias("_one"))
         # The empty suffix is one row (at most one entry per symbol), so it is safe to broadcast.
         base = self.table.where("k = 0").select(F.struct("k", "total", "dist").alias("m0"), F.lit(0).alias("_one"))
         return (

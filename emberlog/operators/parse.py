@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberlog.operators.order import LINE_BUCKET, line_bucket, rank_in_order
-from emberlog.session import small_rows
+from emberlog.session import small_rows, stage
 
 # Shortest valid lines of the two log families, in tokens.
 HDFS_TOKENS = 6
@@ -45,8 +45,9 @@ def hdfs_fields(lines: DataFrame, cut_comma: bool = True) -> DataFrame:
     t = F.col("_t")
     component = F.get(t, F.lit(4))
     content = _rest(t, 6)
-    return lines.select("line_no", _once(_tokens(), "_t")).select(
-        "line_no",
+    kept = [c for c in lines.columns if c in ("line_no", "line_id")]
+    return lines.select(*kept, _once(_tokens(), "_t")).select(
+        *kept,
         F.get(t, F.lit(0)).alias("date"),
         F.get(t, F.lit(1)).alias("time"),
         F.get(t, F.lit(2)).alias("pid"),
@@ -140,11 +141,14 @@ def structured_hdfs(
     lines: DataFrame, templates: DataFrame, on_bad_line: str = "stop", arguments: bool = True
 ) -> DataFrame:
     """Full structured table; lines without a template keep empty trailing columns."""
-    fields = hdfs_fields(hdfs_until_short(lines, on_bad_line))
-    return number_lines(match_templates(fields, templates, arguments))
+    # Every kept line gets a number, so numbers come from the line alone, before anything is parsed.
+    numbered = number_lines(hdfs_until_short(lines, on_bad_line).select("line_no", "value"))
+    fields = hdfs_fields(numbered)
+    return match_templates(fields, templates, arguments)
 
 
 def structured_openstack(lines: DataFrame, templates: DataFrame) -> DataFrame:
     """Full structured table; lines without a template are dropped before numbering."""
     matched = match_templates(openstack_fields(lines), templates)
-    return number_lines(matched.where(F.col("idx").isNotNull()))
+    # Which lines are kept is known only after matching; the table is read twice, the text parsed once.
+    return number_lines(stage(matched.where(F.col("idx").isNotNull()), "matched"))

@@ -286,10 +286,7 @@ def model_report(spark, sf):
         part = run().select("features", "pred", F.lit(name).alias("model"))
         scored = part if scored is None else scored.unionByName(part)
     labelled = test.groupBy("features", "label").agg(F.count(F.lit(1)).alias("weight"))
-    rows = scored.join(labelled, "features").select(
-        "model", "pred", "label", F.explode(F.array_repeat(F.lit(1), F.col("weight").cast("int")))
-    )
-    return evaluate.evaluate(rows, ["model"])
+    return evaluate.evaluate(scored.join(labelled, "features"), ["model"], weight="weight")
 
 
 # --- trained sequence models -------------------------------------------------------------

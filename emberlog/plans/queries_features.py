@@ -269,7 +269,7 @@ def snk_sessions(spark, sf):
 def snk_outcomes(spark, sf):
     path = scratch_path(spark, "outcomes")
     heads = views.user_heads(spark, sf).select("session_id", "first_line")
-    rendered = collect.render(queries_sequences.sampled_chunks(spark, sf).join(heads, "session_id"))
+    rendered = collect.render(queries_sequences.outcome_chunks(spark, sf).join(heads, "session_id"))
     writers.write_outcomes(rendered, path)
     return readers.read_outcomes(spark, path)
 
@@ -469,7 +469,7 @@ ORACLE = {
         "select session_id, 0 as chunk, array_to_string(events, ',') as events, label from day_seq", "day_seq"
     ),
     "snk_outcomes": queries_sequences._verdict_sql(
-        "select outcome, array_to_string(events, ' ') as value from picked", queries_sequences._SAMPLE
+        "select outcome, array_to_string(events, ' ') as value from tagged", queries_sequences._ALL
     ),
     "snk_tw_bounds": _tw_sql(_BOUNDS, _tw(24, 6, "_")),
 }

@@ -242,19 +242,20 @@ def event_templates(spark, sf):
     return lines.select(F.col("event").alias("EventId"), worded.alias("EventTemplate")).distinct()
 
 
-def sampled_chunks(spark, sf, n=10):
-    kept = collect.sample_outcomes(_tagged(spark, sf), n).select("session_id", "outcome")
+def outcome_chunks(spark, sf):
+    """Chunks of all scored sessions with their bucket."""
+    kept = collect.sample_outcomes(_tagged(spark, sf), None).select("session_id", "outcome")
     plain = sessions.session_chunks(sessions.with_positions(fixtures.user_rows(spark, sf)), halo=0)
     return plain.join(kept, "session_id")
 
 
 def outcome_templates(spark, sf):
-    named = collect.expand_templates(sampled_chunks(spark, sf), event_templates(spark, sf))
+    named = collect.expand_templates(outcome_chunks(spark, sf), event_templates(spark, sf))
     return named.select("session_id", "outcome", "chunk", text("events", "|").alias("events"))
 
 
 def outcome_render(spark, sf):
-    chunks = sampled_chunks(spark, sf)
+    chunks = outcome_chunks(spark, sf)
     lines = collect.render(chunks).select("session_id", F.lit("line").alias("form"), "text")
     block = collect.render(chunks, one_event_per_line=True).select("session_id", F.lit("block").alias("form"), "text")
     return lines.union(block)
@@ -321,6 +322,9 @@ _SAMPLE = f"""picked as (select session_id, outcome, events from (select *, row_
         select session_id, {_OUTCOME} as outcome, first_line, events
         from verdict join (select session_id, first_line, events from user_seq) using (session_id))) where n <= 10)"""
 
+_ALL = f"""tagged as (select session_id, {_OUTCOME} as outcome, events
+    from verdict join (select session_id, events from user_seq) using (session_id))"""
+
 ORACLE = {
     "seq_vocab": sql(_VOCAB.format(rows="day_rows", pad=""), "day_rows"),
     "seq_vocab_pad": sql(_VOCAB.format(rows="day_rows", pad=" union select '_PAD'"), "day_rows"),
@@ -450,12 +454,12 @@ ORACLE = {
     "outcome_sample": _verdict_sql("select session_id, outcome from picked", _SAMPLE),
     "outcome_templates": _verdict_sql(
         """select session_id, outcome, 0 as chunk, array_to_string([e || ' ' || upper(split_part(e, ':', 1))
-            || ' step ' || split_part(e, ':', 2) || ' of <*>' for e in events], '|') as events from picked""",
-        _SAMPLE,
+            || ' step ' || split_part(e, ':', 2) || ' of <*>' for e in events], '|') as events from tagged""",
+        _ALL,
     ),
     "outcome_render": _verdict_sql(
-        """select session_id, 'line' as form, array_to_string(events, ' ') as text from picked
-        union all select session_id, 'block', array_to_string(events, chr(10)) || chr(10) from picked""",
-        _SAMPLE,
+        """select session_id, 'line' as form, array_to_string(events, ' ') as text from tagged
+        union all select session_id, 'block', array_to_string(events, chr(10)) || chr(10) from tagged""",
+        _ALL,
     ),
 }

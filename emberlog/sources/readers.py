@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Mapping
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from emberlog.operators.parse import check_patterns
+from emberlog.session import SMALL_ROWS, stage
 
 # Column layouts of the file formats.
 HDFS_COLUMNS = "LineId bigint, Date string, Time string, Pid string, Level string, Component string, " \
@@ -20,7 +24,8 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """``line_no`` (1-based, in file order) and ``value``.
 
     Lines are counted per file split; a line's number is its place in the split plus the
-    lines of all earlier splits. Only the table with one row per split is ordered as a whole.
+    lines of all earlier splits. The table with one row per split is the only thing that is
+    ordered and joined; it is broadcast after its size is checked, so no text is shuffled.
     """
     raw = spark.read.text(path).select(
         "value",
@@ -29,31 +34,48 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
         F.monotonically_increasing_id().alias("_id"),
     )
     earlier = Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)
-    splits = (
+    splits = stage(
         raw.groupBy("_file", "_start")
         .agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
         .withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
-        .drop("_n")
+        .drop("_n"),
+        "splits",
     )
     place = F.col("_before") + F.col("_id") - F.col("_first") + 1
-    return raw.join(splits, ["_file", "_start"]).select(place.alias("line_no"), "value")
+    small = splits.count() <= SMALL_ROWS
+    return raw.join(F.broadcast(splits) if small else splits, ["_file", "_start"]).select(
+        place.alias("line_no"), "value"
+    )
+
 
+def _csv(spark: SparkSession, path: str, schema: str, defaults: Mapping[str, Column] | None = None) -> DataFrame:
+    """The columns of ``schema``, found by their names in the header, in any order and among others.
 
-def _csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return (
-        spark.read.schema(schema)
-        .option("header", True)
-        .option("escape", '"')
-        .option("emptyValue", "")
-        .option("nullValue", None)
-        .csv(path)
+    A missing column is an error unless it has a default; files whose headers differ are an error.
+    """
+    reader = (
+        spark.read.option("header", True).option("escape", '"').option("emptyValue", "").option("nullValue", None)
     )
+    header = reader.csv(path).columns
+    text = StructType([StructField(name, StringType()) for name in header])
+    table = reader.schema(text).option("enforceSchema", False).csv(path)
+    defaults = defaults or {}
+    columns = []
+    for field in StructType.fromDDL(schema):
+        if field.name in header:
+            columns.append(F.col(f"`{field.name}`").cast(field.dataType).alias(field.name))
+        elif field.name in defaults:
+            columns.append(defaults[field.name].cast(field.dataType).alias(field.name))
+        else:
+            raise ValueError(f"no column {field.name} in {path}: {header}")
+    return table.select(*columns)
 
 
 def read_structured(spark: SparkSession, path: str, family: str = "hdfs") -> DataFrame:
-    """``line_no, content, event_id`` of a structured log (CSV or parquet folder)."""
+    """``line_no, content, event_id`` of a structured log in CSV."""
     schema = {"hdfs": HDFS_COLUMNS, "openstack": OPENSTACK_COLUMNS}[family]
-    table = _csv(spark, path, schema)
+    wanted = [c for c in schema.split(", ") if c.split(" ")[0] in ("LineId", "Content", "EventId")]
+    table = _csv(spark, path, ", ".join(wanted))
     return table.select(
         F.col("LineId").alias("line_no"),
         # Empty cells are empty text, never null.
@@ -62,14 +84,17 @@ def read_structured(spark: SparkSession, path: str, family: str = "hdfs") -> Dat
     )
 
 
-def _list(cell: str) -> F.Column:
+def _list(cell: str) -> Column:
     """A list literal such as ``['E1', 'E2']``; quotes inside are backslash-escaped."""
     return F.from_json(cell, "array<string>", {"allowBackslashEscapingAnyCharacter": "true"})
 
 
 def read_instances(spark: SparkSession, path: str) -> DataFrame:
-    """``session_id, chunk, events, label`` from an instance CSV (one list literal per row)."""
-    table = _csv(spark, path, INSTANCE_COLUMNS)
+    """``session_id, chunk, events, label`` from an instance CSV (one list literal per row).
+
+    Without a ``Chunk`` column every row is a whole session.
+    """
+    table = _csv(spark, path, INSTANCE_COLUMNS, {"Chunk": F.lit(0)})
     return table.select(
         F.col("BlockId").alias("session_id"),
         F.col("Chunk").alias("chunk"),
@@ -80,7 +105,7 @@ def read_instances(spark: SparkSession, path: str) -> DataFrame:
 
 def read_rich_instances(spark: SparkSession, path: str) -> DataFrame:
     """As ``read_instances``, with aligned ``times`` and ``pids``."""
-    table = _csv(spark, path, RICH_COLUMNS)
+    table = _csv(spark, path, RICH_COLUMNS, {"Chunk": F.lit(0)})
     return table.select(
         F.col("BlockId").alias("session_id"),
         F.col("Chunk").alias("chunk"),
@@ -111,6 +136,20 @@ def read_anomaly_list(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path)
 
 
+def read_numbered_catalogue(spark: SparkSession, path: str) -> DataFrame:
+    """Ordered catalogue ``idx, pattern, args_keep`` from one line ``1.<regex> 2.<regex> ...``.
+
+    A template starts where its number follows the one before, so numbers inside a pattern do not cut it.
+    """
+    line = spark.read.text(path).where(F.trim("value") != "").orderBy(F.monotonically_increasing_id()).first()
+    found, rest, number = [], (line["value"].strip() if line else ""), 1
+    while rest.startswith(f"{number}."):
+        body, mark, after = rest[len(f"{number}.") :].partition(f" {number + 1}.")
+        found.append((number - 1, body.strip(), []))
+        rest, number = (mark + after).strip(), number + 1
+    return check_patterns(spark.createDataFrame(found, "idx int, pattern string, args_keep array<int>"))
+
+
 def read_templates(spark: SparkSession, path: str) -> DataFrame:
     """Ordered catalogue ``idx, pattern, args_keep``; every pattern is compiled once here."""
     table = _csv(spark, path, "idx int, pattern string, args_keep string")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Fixed value: argument columns of the structured table.
+# Fixed value: least number of argument columns of the structured table.
 ARG_COLUMNS = 4
 
 
@@ -28,9 +28,14 @@ def write_lines(lines: DataFrame, path: str) -> None:
     lines.orderBy("line_no").select("value").write.text(path)
 
 
-def hdfs_table(structured: DataFrame) -> DataFrame:
-    """The structured log's column layout; unused argument columns stay empty."""
-    args = [F.coalesce(F.get("args", F.lit(i)), F.lit("")).alias(f"Arg{i}") for i in range(ARG_COLUMNS)]
+def hdfs_table(structured: DataFrame, arguments: int = ARG_COLUMNS) -> DataFrame:
+    """The structured log's column layout; unused argument columns stay empty.
+
+    ``arguments`` is the number of argument columns; a line with more of them is an error.
+    """
+    too_many = F.raise_error(F.concat(F.lit("more arguments than columns in line "), F.col("line_id").cast("string")))
+    kept = F.when(F.size("args") > arguments, too_many.cast("array<string>")).otherwise(F.col("args"))
+    args = [F.coalesce(F.get(kept, F.lit(i)), F.lit("")).alias(f"Arg{i}") for i in range(max(arguments, ARG_COLUMNS))]
     return structured.select(
         F.col("line_id").alias("LineId"),
         F.col("date").alias("Date"),
@@ -69,11 +74,16 @@ def write_structured(table: DataFrame, path: str, form: str = "parquet") -> None
 
 
 def write_sessions(chunks: DataFrame, path: str, form: str = "parquet") -> None:
-    """``session_id, chunk, events, label`` (and ``times, pids``): parquet arrays, or list literals in CSV."""
+    """``session_id, chunk, events, label`` (and ``times, pids``): parquet arrays, or list literals in CSV.
+
+    The CSV has a ``Chunk`` column only if some session takes more than one row.
+    """
     if form == "parquet":
         chunks.write.parquet(path)
         return
-    named = [F.col("session_id").alias("BlockId"), F.col("chunk").alias("Chunk")]
+    named = [F.col("session_id").alias("BlockId")]
+    if not chunks.where(F.col("chunk") > 0).isEmpty():
+        named.append(F.col("chunk").alias("Chunk"))
     lists = {"events": "EventSequence", "times": "TimeSequence", "pids": "PidSequence"}
     cells = [_list_literal(c).alias(name) for c, name in lists.items() if c in chunks.columns]
     _csv(chunks.select(*named, *cells, F.col("label").alias("Label")), path)
