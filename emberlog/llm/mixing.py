@@ -128,20 +128,24 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_e
     # Repeated rows have one reading each; one number per reading keeps them from multiplying.
     copies = Window.partitionBy("doc_id", "row_hash", "epoch").orderBy("position")
     readings = readings.withColumn("_copy", F.row_number().over(copies)).select(
-        F.col("doc_id").alias("_id"), F.col("row_hash").alias("_hash"), "_copy", "size", "taken"
+        F.col("doc_id").alias("_id"),
+        F.col("row_hash").alias("_hash"),
+        "_copy",
+        (F.col("taken") < F.col("size")).alias("_cut"),
+        F.col("taken").alias("_taken"),
     )
-    keyed = docs.withColumns({"_hash2": F.xxhash64(text_or_empty())})
-    mine = Window.partitionBy("doc_id", "_hash2").orderBy(F.lit(0))
+    keyed = docs.withColumns({"_own": F.xxhash64(text_or_empty())})
+    mine = Window.partitionBy("doc_id", "_own").orderBy(F.lit(0))
     keyed = keyed.withColumn("_number", F.row_number().over(mine))
     same = (
-        F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash2") == F.col("_hash")) & (F.col("_number") == F.col("_copy"))
+        F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_hash")) & (F.col("_number") == F.col("_copy"))
     )
-    cut = F.when(F.col("taken") < F.col("size"), first_words(text_or_empty(), F.col("taken"))).otherwise(F.col("text"))
+    cut = F.when(F.col("_cut"), first_words(text_or_empty(), F.col("_taken"))).otherwise(F.col("text"))
     joined = keyed.join(readings, same).withColumn("text", cut)
     if "n_chars" in docs.columns:
-        joined = joined.withColumn(
-            "n_chars", F.when(F.col("taken") < F.col("size"), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
-        )
+        kind = docs.schema["n_chars"].dataType
+        count = F.when(F.col("_cut"), F.length("text")).otherwise(F.col("n_chars")).cast(kind)
+        joined = joined.withColumn("n_chars", count)
     return joined.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
