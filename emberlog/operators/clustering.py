@@ -26,7 +26,8 @@ NORM_GUARD = 1e-8
 ZERO_DISTANCE = 1e-8
 
 BLOCK = 2048
-REPRESENTATIVES_PER_PASS = 50_000
+# Vectors, or representatives, that one task of the nearest-representative grid holds.
+STRIPE = 20_000
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -161,42 +162,46 @@ def representatives(clustered: DataFrame) -> DataFrame:
     )
 
 
-def nearest(vectors: DataFrame, reps: DataFrame) -> DataFrame:
+def nearest(vectors: DataFrame, reps: DataFrame, stripe: int = STRIPE) -> DataFrame:
     """Add ``distance`` and ``cluster`` of the nearest representative (ties: lowest cluster).
 
-    Representatives travel to the tasks in blocks of bounded size, one pass per block, and
-    each pass keeps the better of its own and the earlier nearest.
+    Both sides are cut into stripes of bounded size. Every pair of stripes meets in one task of
+    a grid, which keeps the best of its representatives for each vector; the best of all
+    stripes is a partial aggregation. No representative passes through the driver.
     """
-    ranked = rank_in_order(
-        reps.select("cluster", "center"),
-        F.floor(F.col("cluster") / REPRESENTATIVES_PER_PASS).cast("bigint"),
-        ["cluster"],
-        out="_rank",
+    distinct = vectors.select("features").distinct()
+    columns = max(1, -(-reps.count() // stripe))
+    rows = max(1, -(-distinct.count() // stripe))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = distinct.withColumn("row", F.pmod(F.xxhash64("features"), F.lit(rows)).cast("int")).withColumn("col", every(columns))
+    right = reps.select("cluster", "center").withColumn(
+        "col", F.pmod(F.xxhash64("cluster"), F.lit(columns)).cast("int")
+    ).withColumn("row", every(rows))
+
+    def compare(_, points: pd.DataFrame, centers: pd.DataFrame) -> pd.DataFrame:
+        best = np.full(len(points), np.inf)
+        who = np.full(len(points), -1, dtype=np.int64)
+        if len(points) and len(centers):
+            centers = centers.sort_values("cluster")
+            names, middle = centers["cluster"].to_numpy(), np.vstack(centers["center"].to_numpy())
+            for low in range(0, len(points), BLOCK):
+                matrix = np.vstack(points["features"].to_numpy()[low : low + BLOCK])
+                for start in range(0, len(names), BLOCK):
+                    d = distances(matrix, middle[start : start + BLOCK])
+                    at = d.argmin(axis=1)
+                    value = d[np.arange(len(d)), at]
+                    better = np.flatnonzero(value < best[low : low + BLOCK])
+                    best[low + better], who[low + better] = value[better], names[start + at[better]]
+        return pd.DataFrame({"features": points["features"], "distance": best, "cluster": who})
+
+    found = (
+        left.groupBy("row", "col")
+        .cogroup(right.groupBy("row", "col"))
+        .applyInPandas(compare, "features array<double>, distance double, cluster bigint")
     )
-    n = reps.count()
-    out = vectors.withColumn("distance", F.lit(float("inf"))).withColumn("cluster", F.lit(-1).cast("bigint"))
-    if n > REPRESENTATIVES_PER_PASS:
-        ranked = stage(ranked, "representatives")
-    for start in range(0, n, REPRESENTATIVES_PER_PASS):
-        part = ranked.where(F.col("_rank").between(start, start + REPRESENTATIVES_PER_PASS - 1))
-        rows = sorted((r["cluster"], r["center"]) for r in part.collect())
-        out = _nearest_pass(out, np.array([r[0] for r in rows]), np.array([r[1] for r in rows], dtype=float))
-    return out
-
-
-def _nearest_pass(vectors: DataFrame, names: np.ndarray, centers: np.ndarray) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch, matrix in vector_blocks(batches):
-            best, who = batch["distance"].to_numpy().copy(), batch["cluster"].to_numpy().copy()
-            for start in range(0, len(names), BLOCK):
-                d = distances(matrix, centers[start : start + BLOCK])
-                at = d.argmin(axis=1)
-                value = d[np.arange(len(d)), at]
-                better = value < best
-                best[better], who[better] = value[better], names[start + at[better]]
-            yield batch.assign(distance=best, cluster=who)
-
-    return vectors.mapInPandas(run, vectors.schema)
+    best = found.groupBy("features").agg(F.min(F.struct("distance", "cluster")).alias("_best"))
+    joined = vectors.join(best.select("features", "_best.*"), "features")
+    return joined.select(*vectors.columns, "distance", "cluster")
 
 
 @dataclass

@@ -212,9 +212,9 @@ def clu_representatives(spark, sf):
 
 
 def clu_bootstrap(spark, sf):
+    """Clusters of the first 1,000 sessions, then all others joined or clustered on their own."""
     _, vectors = _vectors(spark, sf)
-    first = vectors.orderBy("first_line", "session_id").limit(1000)
-    return _reps(ClusterModel.fit_offline(first.select("features")))
+    return _reps(ClusterModel.fit_online(vectors, num_bootstrap_samples=1000))
 
 
 def clu_online(spark, sf):
@@ -222,6 +222,38 @@ def clu_online(spark, sf):
     return _reps(ClusterModel.fit_online(vectors, num_bootstrap_samples=500))
 
 
+# Below the distance of any two different directions of these counts, so clusters are whole directions.
+SAME_DIRECTION = 1e-6
+
+
+def direction(column):
+    """A vector divided by its sum, as text."""
+    total = F.aggregate(column, F.lit(0.0), lambda a, x: a + x)
+    return text(F.transform(column, lambda x: F.format_string("%.4f", x / total)))
+
+
+def clu_directions(spark, sf):
+    """Offline clusters at a tiny limit: the distinct vectors and sessions of every direction."""
+    _, vectors = _vectors(spark, sf)
+    numbered = stage(clustering.number_vectors(_distinct(vectors)), "numbered")
+    clustered = numbered.join(clustering.complete_linkage(numbered, SAME_DIRECTION), "id")
+    return clustered.groupBy("cluster").agg(
+        F.min(direction(F.col("features"))).alias("direction"),
+        F.count(F.lit(1)).alias("n_vectors"),
+        F.sum("weight").cast("bigint").alias("n_sessions"),
+    ).drop("cluster")
+
+
+def directions_of(model):
+    return model.reps.select(direction(F.col("center")).alias("direction"), F.col("size").cast("bigint").alias("n_sessions"))
+
+
+def clu_online_directions(spark, sf):
+    """Bootstrap and online clusters at a tiny limit, which no order of the sessions can change."""
+    _, vectors = _vectors(spark, sf)
+    return directions_of(ClusterModel.fit_online(vectors, SAME_DIRECTION, num_bootstrap_samples=500))
+
+
 # --- isolation forest --------------------------------------------------------------------
 
 
@@ -289,6 +321,22 @@ def model_report(spark, sf):
     return evaluate.evaluate(scored.join(labelled, "features"), ["model"], weight="weight")
 
 
+def report_fixed(spark, sf):
+    """The report of detectors with fixed parameters, over distinct vectors with weights."""
+    vocab, vectors = _vectors(spark, sf)
+    k = len(vocab)
+    distinct = _distinct(vectors)
+    scored = {
+        "clustering": ClusterModel(_length_means(vectors), 0.3).predict(distinct),
+        "pca": PcaModel(1, np.eye(k) - np.ones((k, k)) / k, 2.1).score(distinct),
+    }
+    parts = [df.select("features", "pred", F.lit(name).alias("model")) for name, df in scored.items()]
+    labelled = vectors.groupBy("features", "label").agg(F.count(F.lit(1)).alias("weight"))
+    rows = parts[0].unionByName(parts[1]).join(labelled, "features")
+    report = evaluate.evaluate(rows, ["model"], weight="weight")
+    return report.select("model", "tp", "tn", "fp", "fn", *[r6(c).alias(c) for c in ("precision", "recall", "f1")])
+
+
 # --- trained sequence models -------------------------------------------------------------
 
 
@@ -341,7 +389,7 @@ QUERIES = {"gram": gram_counts} | {
     for f in (
         pca_fit, pca_score, pca_score_fixed, inv_dimension, inv_zero_columns, inv_validate, inv_mine, inv_predict,
         clu_distance, clu_nearest, clu_predict, clu_pairs, clu_offline, clu_representatives, clu_bootstrap,
-        clu_online, ifo_fit, ifo_predict, lr_predict, svm_predict, svm_l1_predict, dt_predict, model_report,
+        clu_online, clu_directions, clu_online_directions, report_fixed, ifo_fit, ifo_predict, lr_predict, svm_predict, svm_l1_predict, dt_predict, model_report,
         next_softmax, next_softmax_counts, ngram_features, ngram_classify, score_udf,
     )
 }
@@ -418,6 +466,26 @@ ORACLE = {
     ),
 }
 
+DIRECTIONS = """dirs as (select array_to_string([format('{:.4f}', x / list_sum(v)) for x in v], ',') as direction,
+    v from vec)"""
+ORACLE["clu_directions"] = _type_sql(
+    """select direction, count(distinct v) as n_vectors, count(*) as n_sessions from dirs group by direction""",
+    NEAREST,
+    DIRECTIONS,
+)
+ORACLE["clu_online_directions"] = _type_sql(
+    "select direction, count(*) as n_sessions from dirs group by direction", NEAREST, DIRECTIONS
+)
+ORACLE["report_fixed"] = f"""select model, tp, tn, fp, fn,
+    round(case when tp + fp > 0 then tp / (tp + fp) else 0 end, 6) + 0.0 as precision,
+    round(case when tp + fn > 0 then tp / (tp + fn) else 0 end, 6) + 0.0 as recall,
+    round(case when 2 * tp + fp + fn > 0 then 2 * tp / (2 * tp + fp + fn) else 0 end, 6) + 0.0 as f1
+from (select model, count(*) filter (pred = 1 and label > 0) as tp, count(*) filter (pred = 0 and label = 0) as tn,
+        count(*) filter (pred = 1 and label = 0) as fp, count(*) filter (pred = 0 and label > 0) as fn
+    from (select 'clustering' as model, session_id, pred from ({ORACLE["clu_predict"]})
+        union all select 'pca', session_id, pred from ({ORACLE["pca_score_fixed"]}))
+    join ({sql("select session_id, label from day_seq", "day_seq")}) using (session_id) group by model)"""
+
 ORACLE["ngram_features"] = (
     sql("", "day_seq").rstrip()
     + ",\nparts as ("

@@ -119,7 +119,7 @@ def tw_bounds(spark, sf):
 
 def tw_grid(spark, sf):
     slots = timewin.grid_counts(tw_rows(spark, sf), 24, 6)
-    return slots.select(F.expr(EPOCH.format("start")).alias("start"), "event", "cnt")
+    return slots.select(F.expr(EPOCH.format("start")).alias("start"), "event", "cnt", "bad")
 
 
 def tw_counts(spark, sf):
@@ -389,8 +389,8 @@ ORACLE = {
     ),
     "tw_bounds": _tw_sql(_BOUNDS, _tw(1, 2, "_")),
     "tw_grid": _tw_sql(
-        """select start, event, count(*) as cnt from (
-            select event, (t // 21600 - k) * 21600 as start, t from rows, (select unnest(range(4)) as k))
+        """select start, event, count(*) as cnt, max(bad) as bad from (
+            select event, bad, (t // 21600 - k) * 21600 as start, t from rows, (select unnest(range(4)) as k))
         where start > t - 86400 group by start, event"""
     ),
     "tw_counts": _tw_sql("select win, event, count(*) as cnt from member_ group by win, event", _tw(24, 6, "_")),

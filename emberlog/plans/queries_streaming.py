@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from emberlog.operators.nextevent import NextEventModel
 from emberlog.plans import detection, fixtures, queries_sequences, views
-from emberlog.plans.queries_detectors import _vectors
+from emberlog.plans.queries_detectors import ORACLE as DETECTORS
+from emberlog.plans.queries_detectors import SAME_DIRECTION, _vectors, directions_of
 from emberlog.plans.queries_features import ORACLE as BATCH
 from emberlog.plans.views import text
 from emberlog.session import scratch_path
@@ -25,12 +26,12 @@ def stream_tw_counts(spark, sf):
     counts = windows.windowed_counts(timed, 24, 6)
     path = scratch_path(spark, "stream-counts")
     sink.run_available(counts, scratch_path(spark, "stream-state"), sink.batch_writer(path))
-    table = sink.latest(spark.read.parquet(path), ["start", "event"], ["cnt"])
-    return table.select(F.unix_timestamp("start").alias("start"), "event", "cnt")
+    table = sink.latest(spark.read.parquet(path), ["start", "event"], ["cnt", "bad"])
+    return table.select(F.unix_timestamp("start").alias("start"), "event", "cnt", "bad")
 
 
-def stream_cluster(spark, sf):
-    """Representatives after all micro-batches of session vectors."""
+def _clustered_stream(spark, sf, max_dist):
+    """The cluster model after all micro-batches of session vectors."""
     _, vectors = _vectors(spark, sf)
     source = scratch_path(spark, "vectors-in")
     vectors.repartitionByRange(4, "first_line").select("session_id", "features").write.parquet(source)
@@ -38,11 +39,21 @@ def stream_cluster(spark, sf):
         spark.readStream.schema(spark.read.parquet(source).schema).option("maxFilesPerTrigger", 2).parquet(source)
     )
     path = scratch_path(spark, "clusters")
-    sink.run_available(stream, scratch_path(spark, "stream-state"), cluster.cluster_updater(path), mode="append")
-    model = cluster.load_clusters(spark, path, cluster.last_version(spark, path))
+    sink.run_available(stream, scratch_path(spark, "stream-state"), cluster.cluster_updater(path, max_dist), mode="append")
+    return cluster.load_clusters(spark, path, cluster.last_version(spark, path))
+
+
+def stream_cluster(spark, sf):
+    """Representatives after all micro-batches."""
+    model = _clustered_stream(spark, sf, 0.3)
     return model.reps.select("cluster", text(F.col("center").cast("array<string>")).alias("center"), "size")
 
 
+def stream_directions(spark, sf):
+    """Representatives at a tiny limit: one for each direction, however the batches were cut."""
+    return directions_of(_clustered_stream(spark, sf, SAME_DIRECTION))
+
+
 def stream_next_event(spark, sf):
     """Same hits as ``topg_hit``, with sessions arriving as a stream."""
     sequences = views.user_sequences(spark, sf)
@@ -65,9 +76,10 @@ def stream_next_event(spark, sf):
     return spark.read.parquet(path).select("session_id", "pos", F.col("hit").cast("int").alias("hit"))
 
 
-QUERIES = {f.__name__: f for f in (stream_tw_counts, stream_cluster, stream_next_event)}
+QUERIES = {f.__name__: f for f in (stream_tw_counts, stream_cluster, stream_directions, stream_next_event)}
 
 ORACLE = {
     "stream_tw_counts": BATCH["tw_grid"],
+    "stream_directions": DETECTORS["clu_online_directions"],
     "stream_next_event": queries_sequences.ORACLE["topg_hit"],
 }

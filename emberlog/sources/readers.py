@@ -139,7 +139,7 @@ def read_anomaly_list(spark: SparkSession, path: str) -> DataFrame:
 def read_numbered_catalogue(spark: SparkSession, path: str) -> DataFrame:
     """Ordered catalogue ``idx, pattern, args_keep`` from one line ``1.<regex> 2.<regex> ...``.
 
-    A template starts where its number follows the one before, so numbers inside a pattern do not cut it.
+    A template ends at the first blank in front of the next number and a dot.
     """
     line = spark.read.text(path).where(F.trim("value") != "").orderBy(F.monotonically_increasing_id()).first()
     found, rest, number = [], (line["value"].strip() if line else ""), 1

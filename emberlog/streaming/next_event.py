@@ -12,20 +12,26 @@ STATE = "seen bigint, last array<string>"
 OUTPUT = "session_id string, pos bigint, context array<string>, next string"
 
 
-def stream_windows(rows: DataFrame, h: int) -> DataFrame:
+def stream_windows(rows: DataFrame, h: int, idle_minutes: int | None = None) -> DataFrame:
     """``session_id, pos, context, next`` for every event with ``h`` earlier ones in its session.
 
     ``rows``: streaming ``session_id, line_no, event``; within a session later batches must
-    hold later lines.
+    hold later lines. A session without events for ``idle_minutes`` is forgotten, so the state
+    stays bounded; what arrives for it afterwards starts a new session.
     """
 
     def advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         seen, last = (state.get[0], list(state.get[1])) if state.exists else (0, [])
         arrived = pd.concat(list(frames)).sort_values("line_no")["event"].tolist()
         line = last + arrived
         before = seen - len(last)
         first = max(h, len(last))
         state.update((seen + len(arrived), line[-h:]))
+        if idle_minutes is not None:
+            state.setTimeoutDuration(idle_minutes * 60_000)
         at = range(first, len(line))
         yield pd.DataFrame(
             {
@@ -36,6 +42,5 @@ def stream_windows(rows: DataFrame, h: int) -> DataFrame:
             }
         )
 
-    return rows.groupBy("session_id").applyInPandasWithState(
-        advance, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout
-    )
+    timeout = GroupStateTimeout.NoTimeout if idle_minutes is None else GroupStateTimeout.ProcessingTimeTimeout
+    return rows.groupBy("session_id").applyInPandasWithState(advance, OUTPUT, STATE, "append", timeout)

@@ -17,7 +17,8 @@ CHECKED = (
     "split_balanced", "split_summary", "seq_index", "win_train_dedup", "seq_train_dedup", "next_dist",
     "select_by_f1", "boundary_eval", "outcome_render", "feat_tfidf", "feat_transform", "tw_members", "tw_bounds",
     "src_raw_lines", "src_rich_instances", "snk_outcomes", "gram", "clu_pairs", "clu_predict", "ngram_features",
-    "score_udf", "stream_tw_counts",
+    "score_udf", "stream_tw_counts", "src_instances", "outcome_templates", "clu_directions", "clu_online_directions",
+    "report_fixed", "stream_directions", "tw_grid", "snk_structured_openstack", "win_loglik", "topg_hit",
 )
 
 

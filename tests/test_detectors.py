@@ -126,6 +126,14 @@ def test_close_pairs_equal_all_pairs(spark, counts, block, max_dist):
     assert all(got[p] == pytest.approx(expected[p], abs=1e-12) for p in got)
 
 
+def test_close_pairs_of_signed_vectors(spark, counts):
+    points = np.unique(counts, axis=0).astype(float)
+    points = points - points.mean(axis=0)
+    numbered = frame(spark, points).select(F.col("first_line").alias("id"), "features")
+    got = {(r["a"], r["b"]) for r in clustering.close_pairs(numbered, 0.3).collect()}
+    assert got == {(i, j) for i, j in combinations(range(len(points)), 2) if distance(points[i], points[j]) <= 0.3}
+
+
 def test_complete_linkage_equals_merging_one_by_one(spark):
     rng = np.random.default_rng(4)
     points = rng.random((25, 4))
@@ -148,12 +156,11 @@ def test_complete_linkage_equals_merging_one_by_one(spark):
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, clusters))
 
 
-def test_nearest_over_several_passes(spark, counts, monkeypatch):
-    monkeypatch.setattr(clustering, "REPRESENTATIVES_PER_PASS", 4)
+def test_nearest_over_several_stripes(spark, counts):
     reps = np.unique(counts, axis=0)[:10]
     table = spark.createDataFrame([(i, [float(v) for v in r], 1.0) for i, r in enumerate(reps)], "cluster bigint, center array<double>, size double")
     vectors = frame(spark, counts[:30]).select("features", "weight")
-    for r in clustering.nearest(vectors, table).collect():
+    for r in clustering.nearest(vectors, table, stripe=4).collect():
         all_d = [distance(np.array(r["features"]), c) for c in reps]
         assert r["distance"] == pytest.approx(min(all_d))
         assert all_d[r["cluster"]] == pytest.approx(min(all_d))

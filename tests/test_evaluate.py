@@ -74,3 +74,20 @@ def test_render_and_templates(spark):
     assert collect.render(named, one_event_per_line=True).first()["text"] == "E1 one\nE2 two\n"
     with pytest.raises(Exception, match="no template"):
         collect.expand_templates(chunks, table.where(F.col("EventId") == "E1")).collect()
+
+
+def test_no_anomaly_has_no_boundary(spark):
+    with pytest.raises(Exception, match="no anomalous session"):
+        evaluate.best_boundary(scores(spark, [-1, -2], [])).collect()
+
+
+@pytest.mark.parametrize("row", [(None, 1), (1, None)])
+def test_unknown_verdicts_are_an_error(spark, row):
+    df = spark.createDataFrame([(1, 1), row], "pred int, label int")
+    with pytest.raises(Exception, match="is null"):
+        evaluate.confusion(df).collect()
+
+
+def test_weighted_confusion(spark):
+    df = spark.createDataFrame([(1, 1, 3), (0, 1, 2), (1, 0, 4), (0, 0, 5)], "pred int, label int, weight int")
+    assert tuple(evaluate.confusion(df, weight="weight").first()) == (3, 5, 4, 2)

@@ -1,3 +1,5 @@
+import pytest
+
 from emberlog.sources import readers, writers
 
 
@@ -52,10 +54,74 @@ def test_wildcard_templates(spark, tmp_path):
     assert got == [(0, r"\[x: (.*)\] done, \(now\)\."), (1, "plain (.*)")]
 
 
+def test_instances_without_chunk_column(spark, tmp_path):
+    (tmp_path / "i.csv").write_text("BlockId,EventSequence,Label\nblk_1,\"['E1', 'E2']\",1\nblk_-2,\"['E3']\",0\n")
+    got = {r["session_id"]: (r["chunk"], r["events"], r["label"]) for r in readers.read_instances(spark, str(tmp_path / "i.csv")).collect()}
+    assert got == {"blk_1": (0, ["E1", "E2"], 1), "blk_-2": (0, ["E3"], 0)}
+
+
+def test_rich_instances_in_any_column_order(spark, tmp_path):
+    (tmp_path / "r.csv").write_text(
+        "BlockId,TimeSequence,PidSequence,extra,EventSequence,Label\nb,\"['t1', 't2']\",\"['7', '8']\",x,\"['E1', 'E2']\",1\n"
+    )
+    row = readers.read_rich_instances(spark, str(tmp_path / "r.csv")).first()
+    assert (row["session_id"], row["events"], row["times"], row["pids"], row["label"]) == (
+        "b", ["E1", "E2"], ["t1", "t2"], ["7", "8"], 1,
+    )
+
+
+def test_columns_are_found_by_name(spark, tmp_path):
+    (tmp_path / "l.csv").write_text("Label,BlockId\nAnomaly,blk_1\n")
+    assert [tuple(r) for r in readers.read_labels(spark, str(tmp_path / "l.csv")).collect()] == [("blk_1", "Anomaly")]
+    (tmp_path / "m.csv").write_text("Block,Label\nblk_1,Anomaly\n")
+    with pytest.raises(ValueError, match="BlockId"):
+        readers.read_labels(spark, str(tmp_path / "m.csv"))
+
+
+def test_long_sessions_keep_their_chunks(spark, tmp_path):
+    schema = "session_id string, chunk bigint, events array<string>, label int"
+    whole = spark.createDataFrame([("s", 0, ["a"], 1)], schema)
+    cut = spark.createDataFrame([("s", 0, ["a"], 1), ("s", 1, ["b"], 1)], schema)
+    for name, df, header in (("w", whole, "BlockId,EventSequence,Label"), ("c", cut, "BlockId,Chunk,EventSequence,Label")):
+        path = str(tmp_path / name)
+        writers.write_sessions(df, path, "csv")
+        assert spark.read.text(path).first()["value"] == header
+        assert sorted(map(tuple, readers.read_instances(spark, path).collect())) == sorted(map(tuple, df.collect()))
+
+
+def test_numbered_catalogue(spark, tmp_path):
+    (tmp_path / "c.txt").write_text("1.Receiving block (.*) src: 2.5 (.*) 2.Verified 3.x (.*) 3.Served (.*)\n")
+    got = [(r["idx"], r["pattern"]) for r in readers.read_numbered_catalogue(spark, str(tmp_path / "c.txt")).orderBy("idx").collect()]
+    assert got[0] == (0, "Receiving block (.*) src:") and len(got) >= 3
+
+
+def test_too_many_arguments_are_an_error(spark):
+    fields = "date time pid level component content event_id event_template".split()
+    df = spark.createDataFrame(
+        [(1, *["x"] * 8, list("abcde"))], "line_id bigint, " + ", ".join(f"{c} string" for c in fields) + ", args array<string>"
+    )
+    assert writers.hdfs_table(df, 5).first()["Arg4"] == "e"
+    with pytest.raises(Exception, match="more arguments than columns"):
+        writers.hdfs_table(df).collect()
+
+
+def test_line_numbers_shuffle_no_text(spark, tmp_path):
+    (tmp_path / "a.log").write_text("one\ntwo\n")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        lines = readers.read_lines(spark, str(tmp_path / "a.log"))
+        plan = lines._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert "hashpartitioning" not in plan and "BroadcastHashJoin" in plan
+
+
 def test_outcome_dump_keeps_order(spark, tmp_path):
     rows = [(f"s{i}", 9 - i, 0, "tp" if i % 2 else "fn", f"text {i}") for i in range(10)]
     df = spark.createDataFrame(rows, "session_id string, first_line bigint, chunk bigint, outcome string, text string")
-    path = str(tmp_path / "out")
-    writers.write_outcomes(df, path)
-    got = readers.read_outcomes(spark, path).where("outcome = 'tp'").collect()
-    assert sorted(r["value"] for r in got) == sorted(f"text {i}" for i in (1, 3, 5, 7, 9))
+    path = tmp_path / "out"
+    writers.write_outcomes(df, str(path))
+    lines = [x for f in sorted((path / "outcome=tp").glob("part-*")) for x in f.read_text().splitlines()]
+    assert lines == [f"text {i}" for i in (9, 7, 5, 3, 1)]
+    assert readers.read_outcomes(spark, str(path)).where("outcome = 'fn'").count() == 5

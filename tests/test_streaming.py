@@ -30,11 +30,12 @@ def pieces(df, key, cuts):
     return [df.where((F.col(key) >= a) & (F.col(key) < b)) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def test_stream_windows_equal_batch_windows(spark, make_rows, arriving, tmp_path):
+@pytest.mark.parametrize("idle", [None, 60])
+def test_stream_windows_equal_batch_windows(spark, make_rows, arriving, tmp_path, idle):
     rng = random.Random(9)
     rows = make_rows({s: [rng.choice("ABC") for _ in range(n)] for s, n in (("a", 30), ("b", 7), ("c", 2), ("d", 4))})
     rows = rows.drop("bad").cache()
-    stream = next_event.stream_windows(arriving(pieces(rows, "line_no", [0, 5, 6, 20, 100])), 3)
+    stream = next_event.stream_windows(arriving(pieces(rows, "line_no", [0, 5, 6, 20, 100])), 3, idle)
     path = str(tmp_path / "out")
     sink.run_available(stream, str(tmp_path / "state"), sink.batch_writer(path), mode="append")
     got = sorted((r["session_id"], r["pos"], r["context"], r["next"]) for r in spark.read.parquet(path).collect())
