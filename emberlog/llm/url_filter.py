@@ -21,6 +21,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from emberlog.session import stage
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LEVELS = ("host", "domain", "suffix")
 
@@ -108,7 +110,8 @@ def reputations(pages: DataFrame, settings: Reputation = Reputation()) -> DataFr
     hosts = pages.groupBy("host").agg(
         F.count("bad").alias("n"), F.coalesce(F.sum(F.col("bad").cast("long")), F.lit(0)).alias("bad")
     )
-    hosts = with_levels(hosts, settings.long_suffixes)
+    # One row per host, read at every level below.
+    hosts = stage(with_levels(hosts, settings.long_suffixes), "hosts")
     domains = hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     # All pages, with one good and one bad page added; one row.
