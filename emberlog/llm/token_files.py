@@ -157,7 +157,7 @@ def write_files(
     tokenizer: str,
     end_id: int,
     folder: str,
-    file_rows: int = 20_000,
+    file_rows: int = 8_000,
     id_column: str = "doc_id",
     text: str = "text",
 ) -> DataFrame:
