@@ -41,11 +41,11 @@ def price(values: np.ndarray, widths: np.ndarray, capacity: int) -> tuple[float,
     """The most valuable pattern: how many items of each width, by an unbounded knapsack."""
     best = np.zeros(capacity + 1)
     choice = np.full(capacity + 1, -1)
+    ends = np.searchsorted(widths, np.arange(capacity + 1), side="right").tolist()
     for room in range(int(widths[0]), capacity + 1):
-        fits = int(np.searchsorted(widths, room, side="right"))
-        gains = values[:fits] + best[room - widths[:fits]]
-        k = int(np.argmax(gains))
-        best[room], choice[room] = best[room - 1], -1
+        gains = values[: ends[room]] + best[room - widths[: ends[room]]]
+        k = int(gains.argmax())
+        best[room] = best[room - 1]
         if gains[k] > best[room] + 1e-12:
             best[room], choice[room] = gains[k], k
     pattern = np.zeros(len(widths), dtype=np.int64)
@@ -59,20 +59,22 @@ def price(values: np.ndarray, widths: np.ndarray, capacity: int) -> tuple[float,
     return float(best[capacity]), pattern
 
 
-def cutting_stock(widths: np.ndarray, demand: np.ndarray, capacity: int, gap: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
+def cutting_stock(widths: np.ndarray, demand: np.ndarray, capacity: int, gap: float = 2e-3) -> tuple[np.ndarray, np.ndarray]:
     """Patterns (columns) and how often each is used, with the demand met exactly (not yet integer).
 
-    Revised simplex; stops when the bound from the best pattern's value is within ``gap``.
+    Revised simplex; stops when no pattern helps, or within ``gap`` of a bound: the demand's total width
+    over the capacity, or the bound from the best pattern's value.
     """
     m = len(widths)
     patterns = np.diag(capacity // widths).astype(np.int64)
     inverse = np.diag(1.0 / (capacity // widths))
     amounts = inverse @ demand
+    least = float(widths @ demand) / capacity
     for _ in range(20 * m):
         duals = inverse.sum(axis=0)
         value, column = price(np.maximum(duals, 0.0), widths, capacity)
         total = amounts.sum()
-        if value <= 1 + 1e-9 or total - total / value <= gap * total:
+        if value <= 1 + 1e-9 or total - max(total / value, least) <= gap * total:
             break
         direction = inverse @ column
         steps = np.full(m, np.inf)
@@ -136,7 +138,7 @@ class Plan:
         return out
 
 
-def plan(histogram: np.ndarray, capacity: int = CAPACITY, width: int = 4, max_waste: float = 0.01) -> Plan:
+def plan(histogram: np.ndarray, capacity: int = CAPACITY, width: int = 8, max_waste: float = 0.01) -> Plan:
     """The plan for ``histogram[length]`` rests of each length below the capacity (length 0: no rest)."""
     lengths = np.arange(capacity)
     kinds = -(-lengths // width)
@@ -244,14 +246,14 @@ def pack(
     bucketed = encoded.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "row_hash"), F.lit(buckets)))
     order = [F.col("doc_id"), F.col("row_hash")]
     ranked = running_sum(bucketed, ["rest"], "_bucket", order, F.lit(1), "rank")
-    itemsize = tokens.Encoder(tokenizer).dtype.itemsize
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for document, count, rank, ids in zip(*(batch.column(i) for i in range(4)), strict=True):
                 document, count, rank = document.as_py(), count.as_py(), rank.as_py()
-                values = np.frombuffer(ids.as_buffer(), dtype=f"<u{itemsize}").astype("<u4")
+                packed = ids.as_buffer()
+                values = np.frombuffer(packed, dtype=f"<u{packed.size // count}").astype("<u4")
                 for start, length, sequence, order_ in pieces_of(count, rank, where):
                     total = zlib.crc32(values[start : start + length].tobytes())
                     rows.append((document, start, length, total, count, sequence, order_, rank))

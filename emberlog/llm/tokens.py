@@ -20,7 +20,7 @@ PIECE = re.compile(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+")
 # White space that the tokenizers know besides the six ASCII characters above, and separators near it.
 UNUSUAL = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff]")
 # The cache starts anew, keeping what is used again, after so many characters.
-CACHE_CHARS = 2_500_000
+CACHE_CHARS = 5_000_000
 
 
 def public_tokenizer(name: str) -> str:
@@ -41,6 +41,8 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 65_536 else "<u4")
         self.skips_space = not self.tokenizer.encode(" \n ", add_special_tokens=False).ids
+        alike = self._whole(["AZ", "az"])
+        self.folds_case = alike[0] == alike[1]
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.chars = 0
@@ -67,6 +69,8 @@ class Encoder:
         """The ids of a text, packed."""
         if UNUSUAL.search(text):
             return self._whole([text])[0]
+        if self.folds_case:  # ASCII letters only: other letters are folded by the tokenizer
+            text = text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
         pieces = (WORD if self.skips_space else PIECE).findall(text)
         parts = []
         # Slices bound what one very long text puts into the cache.
