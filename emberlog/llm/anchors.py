@@ -79,23 +79,63 @@ def segments(units: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.
     return anchor.view(np.int64), first, count, segment_prints(units, first, first + count + length - 1)
 
 
+class _Powers:
+    """Powers of the multiplier and of its inverse (modulo 2**64), kept for the longest text so far."""
+
+    def __init__(self):
+        self.up = self.down = np.ones(1, dtype=np.uint64)
+
+    def first(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            size = max(n, 2 * len(self.up), 4_096)
+            up = np.full(size, MULTIPLIER, dtype=np.uint64)
+            down = np.full(size, pow(MULTIPLIER, -1, 2**64), dtype=np.uint64)
+            up[0] = down[0] = 1
+            self.up, self.down = np.cumprod(up), np.cumprod(down)
+        return self.up[:n], self.down[:n]
+
+
+POWERS = _Powers()
+# A random-looking number for every byte value.
+BYTE_NUMBERS = mix((np.arange(256, dtype=np.uint64) + np.uint64(1)) * np.uint64(MULTIPLIER))
+
+
+def run_prints(numbers: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit prints of numbers[start:end] for many runs: polynomials moved to a common place."""
+    up, down = POWERS.first(len(numbers) + 1)
+    sums = np.zeros(len(numbers) + 1, dtype=np.uint64)
+    np.cumsum(numbers * up[:-1], out=sums[1:])
+    return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
+
+
 def segment_prints(units: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit prints of units[start:end] for many segments: polynomials moved to a common place."""
-    powers = np.full(len(units) + 1, MULTIPLIER, dtype=np.uint64)
-    back = np.full(len(units) + 1, pow(MULTIPLIER, -1, 2**64), dtype=np.uint64)
-    powers[0] = back[0] = 1
-    powers, back = np.cumprod(powers), np.cumprod(back)
-    spread = mix(units.astype(np.uint64) + np.uint64(MULTIPLIER)) * powers[:-1]
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(spread)])
-    return mix((sums[end] - sums[start]) * back[start] + (end - start).astype(np.uint64)).view(np.int64)
+    """Prints of units[start:end] for many segments."""
+    numbers = BYTE_NUMBERS[units] if units.dtype == np.uint8 else mix(units.astype(np.uint64))
+    return run_prints(numbers, start, end).view(np.int64)
+
+
+# The six ASCII characters that part words; in UTF-8 they are never part of another character.
+IS_SPACE = np.zeros(256, dtype=bool)
+IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+
+
+def word_hashes(data: bytes) -> np.ndarray:
+    """A 64-bit hash of every word of a UTF-8 text."""
+    letters = np.frombuffer(data, dtype=np.uint8)
+    edges = np.flatnonzero(np.diff(np.concatenate([[True], IS_SPACE[letters], [True]])))
+    return run_prints(BYTE_NUMBERS[letters], edges[::2], edges[1::2])
 
 
 Units = Callable[[str], np.ndarray]
-SEGMENTS = "row_id long, row_hash long, anchor long, print long, first int, windows int"
+SEGMENTS = "row_id long, row_hash int, anchor long, print long, first int, windows int, times int"
 
 
 def find_segments(keyed: DataFrame, units: Callable[[], Units], length: int, gram: int) -> DataFrame:
-    """All segments of all texts; ``keyed`` has row_id, row_hash and text."""
+    """All segments of all texts; ``keyed`` has row_id, row_hash and text.
+
+    Of equal segments of one text the first has their number as ``times``; the others have 0 and need
+    not travel, as all their windows are repeated. So a text that repeats itself makes no hot anchor.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = units()
@@ -104,7 +144,10 @@ def find_segments(keyed: DataFrame, units: Callable[[], Units], length: int, gra
             parts, size = [], 0
             for i, text in enumerate(batch.column(2)):
                 anchor, first, windows, prints = segments(make(text.as_py()), length, gram)
-                parts.append((np.full(len(anchor), i), anchor, prints, first, windows))
+                _, at, count = np.unique(prints, return_index=True, return_counts=True)
+                times = np.zeros(len(prints), dtype=np.int32)
+                times[at] = count
+                parts.append((np.full(len(anchor), i), anchor, prints, first, windows, times))
                 size += len(anchor)
                 if size > 200_000:
                     yield _pack(parts, ids, hashes)
@@ -116,10 +159,10 @@ def find_segments(keyed: DataFrame, units: Callable[[], Units], length: int, gra
 
 
 def _pack(parts: list, ids: np.ndarray, hashes: np.ndarray) -> pa.RecordBatch:
-    row, anchor, prints, first, windows = (np.concatenate(x) for x in zip(*parts, strict=True))
-    columns = [ids[row], hashes[row], anchor, prints, first.astype(np.int32), windows.astype(np.int32)]
+    row, anchor, prints, first, windows, times = (np.concatenate(x) for x in zip(*parts, strict=True))
+    columns = [ids[row], hashes[row], anchor, prints, first.astype(np.int32), windows.astype(np.int32), times]
     return pa.RecordBatch.from_arrays(
-        [pa.array(x) for x in columns], names=["row_id", "row_hash", "anchor", "print", "first", "windows"]
+        [pa.array(x) for x in columns], names=["row_id", "row_hash", "anchor", "print", "first", "windows", "times"]
     )
 
 
@@ -150,39 +193,35 @@ def repeated_spans(
     """
     keyed = with_row_key(docs).select("row_id", "row_hash", text_or_empty().alias("text"))
     found = stage(find_segments(keyed, units, length, gram), "segments")
-    shared = (
-        found.groupBy("anchor")
-        .agg(F.count("*").alias("_n"), F.min("print").alias("_least"), F.max("print").alias("_most"))
-        .where("_n > 1")
-        .select("anchor", (F.col("_least") != F.col("_most")).alias("mixed"))
-    )
-    candidates = stage(found.join(shared, "anchor"), "candidates")
     window = F.struct(F.col("first").alias("low"), (F.col("first") + F.col("windows")).alias("high"))
-    uniform = candidates.where("not mixed").select("row_id", "row_hash", window.alias("span"))
+    again = found.where("times = 0").select("row_id", "row_hash", window.alias("span"))
 
-    mixed = candidates.where("mixed")
-    prints = mixed.groupBy("anchor", "print").agg(
-        F.count("*").alias("n"), F.min(F.struct("row_id", "row_hash", "first", "windows")).alias("one")
+    travelling = found.where("times > 0")
+    shared = travelling.groupBy("anchor").agg(F.sum("times").alias("_n")).where("_n > 1").select("anchor")
+    candidates = stage(travelling.join(shared, "anchor"), "candidates")
+    prints = candidates.groupBy("anchor", "print").agg(
+        F.sum("times").alias("n"), F.min(F.struct("row_id", "row_hash", "first", "windows")).alias("one")
     )
     prints = stage(prints.select("anchor", "print", "n", "one.*"), "distinct-segments")
     copied = (
-        mixed.select("anchor", "print", "row_id", "row_hash", window.alias("span"))
+        candidates.select("anchor", "print", "row_id", "row_hash", window.alias("span"))
         .join(prints.where("n > 1").select("anchor", "print"), ["anchor", "print"])
         .select("row_id", "row_hash", "span")
     )
-    sizes = prints.groupBy("anchor").agg(F.count("*").alias("members"))
+    # Anchors with one distinct segment are settled by its print.
+    sizes = prints.groupBy("anchor").agg(F.count("*").alias("members")).where("members > 1")
     pieces = stage(_contents(keyed, prints.join(sizes, "anchor"), length, cut), "segment-contents")
     small = pieces.where(F.col("members") <= crowd)
     # Hash partitions of whole anchors, each anchor's rows together.
     dealt = small.repartition("anchor").sortWithinPartitions("anchor")
     partial = dealt.mapInArrow(_searcher(search, length), SPAN)
     crowded = _by_window(pieces.where(F.col("members") > crowd), length, piece_units)
-    spans = uniform.unionByName(copied).unionByName(partial.select("row_id", "row_hash", "span")).unionByName(crowded)
+    spans = again.unionByName(copied).unionByName(partial.select("row_id", "row_hash", "span")).unionByName(crowded)
     return spans.groupBy("row_id", "row_hash").agg(F.collect_list("span").alias("spans"))
 
 
-SPAN = "row_id long, row_hash long, span struct<low: int, high: int>"
-CONTENT = "anchor long, members long, n long, row_id long, row_hash long, first int, content binary"
+SPAN = "row_id long, row_hash int, span struct<low: int, high: int>"
+CONTENT = "anchor long, members long, n long, row_id long, row_hash int, first int, content binary"
 
 
 def _contents(keyed: DataFrame, prints: DataFrame, length: int, cut: Callable[[], Cut]) -> DataFrame:
@@ -210,7 +249,7 @@ def _contents(keyed: DataFrame, prints: DataFrame, length: int, cut: Callable[[]
 
 
 def _content_batch(rows: list[tuple]) -> pa.RecordBatch:
-    types = [pa.int64()] * 5 + [pa.int32(), pa.binary()]
+    types = [pa.int64()] * 4 + [pa.int32()] * 2 + [pa.binary()]
     names = ["anchor", "members", "n", "row_id", "row_hash", "first", "content"]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
@@ -234,7 +273,7 @@ def _searcher(search: Search, length: int):
             if row[1] == 1:
                 out += [(row[2], row[3], {"low": row[4] + a, "high": row[4] + b}) for a, b in runs(starts)]
         arrays = zip(*out, strict=True) if out else ([], [], [])
-        types = [pa.int64(), pa.int64(), pa.struct([("low", pa.int32()), ("high", pa.int32())])]
+        types = [pa.int64(), pa.int32(), pa.struct([("low", pa.int32()), ("high", pa.int32())])]
         return pa.RecordBatch.from_arrays(
             [pa.array(a, t) for a, t in zip(arrays, types, strict=True)], names=["row_id", "row_hash", "span"]
         )
@@ -268,13 +307,14 @@ def _by_window(pieces: DataFrame, length: int, piece_units: Callable[[bytes], np
                 units = piece_units(row["content"])
                 at = np.arange(len(units) - length + 1)
                 prints = segment_prints(units, at, at + length)
-                same = [np.full(len(at), row[k]) for k in ("anchor", "row_id", "row_hash")]
+                kinds = {"anchor": np.int64, "row_id": np.int64, "row_hash": np.int32}
+                same = [np.full(len(at), row[k], dtype=kind) for k, kind in kinds.items()]
                 yield pa.RecordBatch.from_arrays(
                     [*map(pa.array, same), pa.array((row["first"] + at).astype(np.int32)), pa.array(prints)],
                     names=["anchor", "row_id", "row_hash", "low", "window"],
                 )
 
-    schema = "anchor long, row_id long, row_hash long, low int, window long"
+    schema = "anchor long, row_id long, row_hash int, low int, window long"
     windows = pieces.mapInArrow(expand, schema)
     often = windows.groupBy("anchor", "window").agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
     return windows.join(often, ["anchor", "window"]).select(

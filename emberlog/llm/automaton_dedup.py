@@ -18,7 +18,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +26,6 @@ from emberlog.llm.common import WORD, text_or_empty, with_row_key
 
 LENGTH = 35
 GRAM = 8
-CACHE_WORDS = 300_000
 
 
 class Automaton:
@@ -112,24 +110,8 @@ def repeated_starts(contents: list[bytes], length: int = LENGTH) -> list[np.ndar
     return [np.array(automaton.repeated(x, length), dtype=np.int64) for x in sequences]
 
 
-class _Hashes(dict):
-    """Hash of a word, computed when first asked for; starts anew when it has grown large."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) > CACHE_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
-        return value
-
-
 def _word_units():
-    known = _Hashes()
-
-    def units(text: str) -> np.ndarray:
-        words = WORD.findall(text)
-        return np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
-
-    return units
+    return lambda text: anchors.word_hashes(text.encode("utf-8", "surrogatepass"))
 
 
 def _word_cut():
@@ -141,7 +123,7 @@ def _word_cut():
 
 
 def _content_words(content: bytes) -> np.ndarray:
-    return np.array([xxhash.xxh3_64_intdigest(w) for w in content.split(b" ")], dtype=np.uint64)
+    return anchors.word_hashes(content)
 
 
 def with_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:

@@ -21,7 +21,7 @@ def _large_star(pairs: DataFrame) -> DataFrame:
         pairs.select(F.col("u").alias("x"), F.col("v").alias("y"))
     )
     least = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
-    return both.join(least, "x").where("y > x").select(F.col("y").alias("v"), F.col("m").alias("u")).where("v > u").distinct()
+    return both.join(least, "x").where("y > x").select(F.col("y").alias("v"), F.col("m").alias("u")).where("v > u")
 
 
 def _small_star(pairs: DataFrame) -> DataFrame:
@@ -31,16 +31,24 @@ def _small_star(pairs: DataFrame) -> DataFrame:
     return moved.union(least.select("v", F.col("m").alias("u"))).where("v > u").distinct()
 
 
+def _settled(pairs: DataFrame) -> bool:
+    """Whether the edges are stars: no node has two smaller neighbours, and none is both end and centre.
+
+    The steps keep what is connected, so stars are the components.
+    """
+    sides = pairs.groupBy(F.col("v").alias("node")).agg(F.count("*").alias("n")).union(
+        pairs.select(F.col("u").alias("node")).distinct().select("node", F.lit(1).cast("long"))
+    )
+    return sides.groupBy("node").agg(F.sum("n").alias("n")).where("n > 1").isEmpty()
+
+
 def components(edges: DataFrame, name: str) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b): the least node it is connected with."""
     pairs = stage(_pairs(edges), f"{name}-pairs")
-    before = None
     for _ in range(ROUNDS):
-        pairs = stage(_small_star(_large_star(pairs)), f"{name}-round")
-        now = pairs.agg(F.count("*"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
-        if now == before:
+        if _settled(pairs):
             break
-        before = now
+        pairs = stage(_small_star(_large_star(pairs)), f"{name}-round")
     else:
         raise RuntimeError("components did not settle")
     roots = pairs.select(F.col("u").alias("node")).distinct().select("node", F.col("node").alias("component"))

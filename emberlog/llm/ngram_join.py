@@ -30,20 +30,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.llm.anchors import MULTIPLIER, mix
-from emberlog.llm.common import WORD, bucket_count, text_or_empty, with_row_key
+from emberlog.llm.anchors import MULTIPLIER, mix, word_hashes
+from emberlog.llm.common import bucket_count, text_or_empty, with_row_key
 from emberlog.llm.components import components
 from emberlog.session import stage
 
-LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-CACHE_WORDS = 300_000
+LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 BITS = 2_048
-# Elements of all sets that one tile should hold.
-TILE_ELEMENTS = 400_000
+# Elements of all sets that one tile should hold; larger tiles send a text to fewer of them.
+TILE_ELEMENTS = 2_000_000
 
 
 @dataclass(frozen=True)
@@ -65,28 +63,17 @@ class Join:
         """(m, d) of a tile: the number of parts and the most elements in which linked sets differ."""
         size = int(self.edges[tile + 2]) - 1
         d = 2 * size * (100 - self.percent) // (100 + self.percent)
-        return d + 3 + d // 8, d
+        return d + 3 + d // 16, d
 
     def links(self, a: int, b: int, shared: int) -> bool:
         return 100 * shared >= self.percent * (a + b - shared)
 
 
-class _Hashes(dict):
-    """Hash of a word, computed when first asked for; starts anew when it has grown large."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) > CACHE_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
-        return value
-
-
-def elements(text: str, n: int, known: dict) -> np.ndarray:
+def elements(text: str, n: int) -> np.ndarray:
     """The sorted set of hashed n-grams of a text."""
-    words = WORD.findall(text.translate(LOWER))
-    if not words:
-        return np.zeros(0, dtype=np.uint64)
-    units = np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
+    units = word_hashes(text.encode("utf-8", "surrogatepass").translate(LOWER))
+    if not len(units):
+        return units
     width = min(n, len(units))
     value = np.zeros(len(units) - width + 1, dtype=np.uint64)
     for i in range(width):
@@ -121,16 +108,15 @@ def signatures(found: np.ndarray, join: Join) -> np.ndarray:
     return np.concatenate(out).view(np.int64) if out else np.zeros(0, dtype=np.int64)
 
 
-CLASSES = "row_id long, row_hash long, size long, class long"
+CLASSES = "row_id long, row_hash int, size long, class long"
 
 
 def document_classes(keyed: DataFrame, join: Join) -> DataFrame:
     """(row_id, row_hash, size, class) of every row; equal sets have equal classes."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Hashes()
         for batch in batches:
-            sets = [elements(t.as_py(), join.n, known) for t in batch.column(2)]
+            sets = [elements(t.as_py(), join.n) for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
@@ -148,11 +134,10 @@ def stars(keyed: DataFrame, join: Join, rows: int) -> DataFrame:
     """Distinct (a, b): a class and the least class that it meets somewhere."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Hashes()
         for batch in batches:
             places, owners, size = [], [], 0
             for text in batch.column(2):
-                found = elements(text.as_py(), join.n, known)
+                found = elements(text.as_py(), join.n)
                 if not len(found):
                     continue
                 mine = signatures(found, join)
@@ -227,8 +212,8 @@ def _tile_links(join: Join):
     than k links.
     """
 
-    def settle(rows: list[dict], known: dict) -> list[tuple[int, int]]:
-        sets = [elements(r["text"], join.n, known) for r in rows]
+    def settle(rows: list[dict]) -> list[tuple[int, int]]:
+        sets = [elements(r["text"], join.n) for r in rows]
         sizes = np.array([len(x) for x in sets], dtype=np.int64)
         maps = bitmaps(sets)
         label = {}
@@ -252,12 +237,11 @@ def _tile_links(join: Join):
         return out
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Hashes()
         held, last, out = [], None, []
         for batch in batches:
             for row in batch.to_pylist():
                 if row["tile"] != last and held:
-                    out += settle(held, known)
+                    out += settle(held)
                     held = []
                     if len(out) > 10_000:
                         yield _links(out)
@@ -265,7 +249,7 @@ def _tile_links(join: Join):
                 last = row["tile"]
                 held.append(row)
         if held:
-            out += settle(held, known)
+            out += settle(held)
         yield _links(out)
 
     return work
@@ -372,6 +356,8 @@ def linked_classes(docs: DataFrame, join: Join) -> tuple[DataFrame, DataFrame]:
         .join(sizes.select("class", "size"), "class")
     )
     more = stage(_compare(_group_places(inside, join), texts, join), "join-more-links")
+    if more.isEmpty():
+        return classes, labels
     return classes, components(links.union(more), "join-last")
 
 
@@ -392,14 +378,15 @@ def components_of(docs: DataFrame, join: Join = Join(), id_column: str = "doc_id
 
 
 def one_of_each(docs: DataFrame, join: Join = Join()) -> DataFrame:
-    """The documents with the first (least id, then text hash) of each component; columns as they came.
+    """The first document (least id, null last, then text hash) of each component; columns as they came.
 
     Documents without words are kept. Of repeated rows one stays.
     """
     classes, labels = linked_classes(docs, join)
-    place = F.struct("row_id", "row_hash")
+    place = F.struct((F.col("row_id") == -(2**63)).alias("unnamed"), "row_id", "row_hash")
     found = classes.where("size > 0").join(labels.withColumnRenamed("node", "class"), "class", "left")
-    first = found.groupBy(F.coalesce("component", "class").alias("_c")).agg(F.min(place).alias("one")).select("one.*")
+    first = found.groupBy(F.coalesce("component", "class").alias("_c")).agg(F.min(place).alias("one"))
+    first = first.select("one.row_id", "one.row_hash")
     keyed = with_row_key(docs)
     empty = classes.where("size = 0").select("row_id", "row_hash").distinct()
     chosen = keyed.join(first.union(empty), ["row_id", "row_hash"])

@@ -30,10 +30,6 @@ def text_of(row):
     return row[1] or ""
 
 
-def result(df, *names):
-    return sorted(tuple(r[n] for n in names) for r in df.collect())
-
-
 def by_null(rows):
     return sorted(rows, key=lambda r: tuple((x is not None, x) for x in r))
 
@@ -54,11 +50,6 @@ def covered(sequences, length):
 # Winnowing
 
 
-def brute_fingerprint(text):
-    """Positions that winnowing chooses, by another hash than the operator's: only for shared substrings."""
-    return {text[i : i + winnowing.K] for i in range(len(text) - winnowing.K + 1)}
-
-
 def test_winnowing_report(documents, corpus):
     rows = sorted(corpus, key=lambda r: (r[0] is None, -(r[0] or 0)))
     got = collections.defaultdict(list)
@@ -82,7 +73,7 @@ def test_winnowing_report(documents, corpus):
 
 
 def test_winnowing_guarantee_and_ties(spark):
-    shared = "a shared passage of just thirty-nine code points!"[: winnowing.K + winnowing.W - 1]
+    shared = "a shared passage of a few code points!"[: winnowing.K + winnowing.W - 1]
     texts = ["xyz 123 " * 3 + shared + " tail one", "other words " + shared, "ab" * 60, "short", "", None]
     rows = winnowing.fingerprints(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")).collect()
     prints = [{p["hash"] for p in r.fingerprint} for r in rows]
@@ -90,7 +81,7 @@ def test_winnowing_guarantee_and_ties(spark):
     # A text of period two has two different runs; the rightmost least one of every window is kept.
     kept = [p["position"] for p in rows[2].fingerprint]
     assert kept == sorted(kept) and len({p % 2 for p in kept}) == 1 and len(prints[2]) == 1
-    # The last position of each window of 32 runs with the kept parity.
+    # The last position of each window with the kept parity.
     runs = 120 - winnowing.K + 1
     assert kept == sorted({max(p for p in range(i, i + winnowing.W) if p % 2 == kept[0] % 2) for i in range(runs - winnowing.W + 1)})
     assert len(rows[3].fingerprint) == 1 and rows[4].fingerprint == [] and rows[5].fingerprint == []
@@ -104,6 +95,27 @@ def test_winnowing_blocks_agree(spark, monkeypatch):
     assert winnowing.fingerprints(df).first().fingerprint == whole
 
 
+def test_winnowing_of_edited_texts_equals_whole(documents, spark):
+    """The edited text's fingerprint, put together from parts, is the one that the text has by itself."""
+    slim = documents.select("doc_id", "text").dropDuplicates(["doc_id"])
+    texts = {r.doc_id: r.text or "" for r in slim.collect()}
+    order = sorted(texts, key=lambda d: (d is None, -(d or 0)))
+    edited = []
+    for a, b in zip(order, order[1:] + order[:1], strict=True):
+        third = len(texts[a]) // 3
+        edited.append((a, texts[a], texts[a][: len(texts[a]) - third] + texts[b][:third]))
+    df = spark.createDataFrame(edited, "doc_id bigint, own string, edited string")
+    whole = {
+        r.doc_id: (r.own, r.edited)
+        for r in df.select(
+            "doc_id",
+            *[winnowing.as_string(winnowing.chosen(winnowing.F.col(c))).alias(c) for c in ("own", "edited")],
+        ).collect()
+    }
+    for r in winnowing.edit_report(slim).collect():
+        assert (r.fingerprint, r.edited_fingerprint) == whole[r.doc_id]
+
+
 # URLs
 
 
