@@ -42,6 +42,8 @@ HEADLINE = (
     "outcome_render",
     "src_raw_lines",
     "snk_structured",
+    "clu_offline",
+    "stream_next_event",
 )
 
 

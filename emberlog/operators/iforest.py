@@ -15,6 +15,7 @@ from emberlog.operators.order import running_sums
 from emberlog.session import small_rows, stage
 
 AUTO_SAMPLE = 256
+AUTO_THRESHOLD = 0.5
 EULER_GAMMA = float(np.euler_gamma)
 NODES = "tree int, node int, feature int, cut double, low int, high int, depth double"
 
@@ -71,7 +72,8 @@ def _mean_depth(matrix: np.ndarray, trees: list[np.ndarray]) -> np.ndarray:
 
 def weighted_percentile(scores: DataFrame, value: str, share: float) -> float:
     """Exact percentile (linear between neighbours) of ``value`` counted ``weight`` times."""
-    per_value = scores.groupBy(F.col(value).alias("v")).agg(F.sum("weight").alias("w"))
+    # Written once: the bounds, the total and the sums below would each score every row again.
+    per_value = stage(scores.groupBy(F.col(value).alias("v")).agg(F.sum("weight").alias("w")), "scores")
     summed = running_sums(per_value, "v", ["w"])
     n = per_value.agg(F.sum("w").alias("n")).first()["n"]
     place = (n - 1) * share
@@ -95,12 +97,15 @@ class ForestModel:
         rows: DataFrame,
         n_estimators: int = 100,
         max_samples: int | float | str = "auto",
-        contamination: float = 0.03,
+        contamination: float | str = 0.03,
         max_features: int | float = 1.0,
         bootstrap: bool = False,
         seed: int = 42,
     ) -> ForestModel:
-        """``rows``: ``session_id, features``, one row per session."""
+        """``rows``: ``session_id, features``, one row per session.
+
+        ``contamination="auto"`` flags scores above one half instead of a share of the rows.
+        """
         n = rows.count()
         wanted = {"auto": min(AUTO_SAMPLE, n)}.get(max_samples) if isinstance(max_samples, str) else max_samples
         size = min(n, int(wanted * n) if isinstance(wanted, float) else int(wanted))
@@ -131,6 +136,9 @@ class ForestModel:
 
         nodes = picked.repartition(tasks, "tree").groupBy("tree").applyInPandas(build, NODES)
         path_model = cls(stage(nodes, "forest"), size)
+        if contamination == "auto":
+            path_model.threshold = AUTO_THRESHOLD
+            return path_model
         weighted = rows.groupBy("features").agg(F.count(F.lit(1)).cast("double").alias("weight"))
         path_model.threshold = weighted_percentile(path_model.score(weighted), "score", 1.0 - contamination)
         return path_model

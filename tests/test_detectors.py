@@ -215,6 +215,12 @@ def test_forest_finds_a_far_point(spark):
     assert per_tree.count() == 30 and per_tree.agg(F.max("leaves")).first()[0] <= 256
 
 
+def test_forest_with_a_fixed_cut(spark, counts):
+    model = ForestModel.fit(frame(spark, counts), n_estimators=5, contamination="auto")
+    assert model.threshold == 0.5
+    assert {r["pred"] == int(r["score"] > 0.5) for r in model.predict(frame(spark, counts)).collect()} == {True}
+
+
 def test_forest_options(spark, counts):
     rows = frame(spark, counts)
     model = ForestModel.fit(rows, n_estimators=5, max_samples=0.5, max_features=2, bootstrap=True)
