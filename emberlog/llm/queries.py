@@ -109,3 +109,53 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_quality_bands")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
+# --- SQL ---------------------------------------------------------------------------------
+
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+ORACLE["op6_automaton_dedup"] = rf"""with d as (select doc_id, {_WORDS} as w from documents),
+win as (select doc_id, i, array_to_string(w[i : i + 34], ' ') as s
+    from (select doc_id, w, unnest(range(1, len(w) - 33)) as i from d)),
+rep as (select doc_id, i from win where s in (select s from win group by s having count(*) > 1)),
+cov as (select distinct doc_id, i + k as pos from rep, (select unnest(range(35)) as k)),
+words as (select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as pos from d),
+kept as (select doc_id, string_agg(word, ' ' order by pos) as t from words anti join cov using (doc_id, pos)
+    group by doc_id)
+select doc_id, cast(len(w) as bigint) as n_words, coalesce(n, 0) as n_removed, sha256(coalesce(t, '')) as kept_sha256
+from d left join (select doc_id, count(*) as n from cov group by doc_id) using (doc_id) left join kept using (doc_id)"""
+
+ORACLE["op7_mixing"] = rf"""with d as (select doc_id, source, cast(len({_WORDS}) as bigint) as size,
+    md5(coalesce(cast(doc_id as varchar), '')) as s from documents),
+src as (select source, cast(sum(size) as bigint) as source_size from d group by source),
+weighed as (select *, ((row_number() over (order by source nulls last) - 1) % 3 + 1)::double as weight,
+    3 * source_size::double as cap from src),
+filling as (select *, sum(source_size) over () - coalesce(sum(cap) over before, 0) as rest,
+        sum(weight) over () - coalesce(sum(weight) over before, 0) as open from weighed
+    window before as (order by cap / weight, source nulls last rows between unbounded preceding and 1 preceding)),
+goal as (select source, source_size, least(cap, weight * max(case when cap * open >= weight * rest
+    then rest / open end) over ()) as target from filling),
+queued as (select d.*, source_size, target, coalesce(sum(size) over (partition by d.source order by s, doc_id
+        rows between unbounded preceding and 1 preceding), 0) as given
+    from d join goal on d.source is not distinct from goal.source)
+select doc_id, size, source_size, target,
+    cast(sum(greatest(0, least(size, floor(target) - e * source_size - given))) as bigint) as taken
+from queued, (select unnest(range(3)) as e) group by all"""
+
+_LOWERED = f"translate(coalesce(text, ''), '{url_filter.UPPER}', '{url_filter.LOWER}')"
+
+ORACLE["op9_ngram_join"] = rf"""with recursive d as (
+    select doc_id, regexp_extract_all({_LOWERED}, '[^\x20\x09-\x0D]+') as w from documents),
+sh as (select distinct doc_id, s from (
+    select doc_id, array_to_string(w[i : i + 3], ' ') as s from (select doc_id, w, unnest(range(1, len(w) - 2)) as i from d)
+    union all select doc_id, array_to_string(w, ' ') from d where len(w) between 1 and 3)),
+sizes as (select doc_id, count(*) as n from sh group by doc_id),
+shared as (select a.doc_id as x, b.doc_id as y, count(*) as c from sh a join sh b on a.s = b.s and a.doc_id < b.doc_id
+    group by a.doc_id, b.doc_id),
+links as (select x, y from shared join sizes p on p.doc_id = x join sizes q on q.doc_id = y
+    where 100 * c >= 85 * (p.n + q.n - c)),
+edges as (select x, y from links union all select y, x from links),
+reach as (select doc_id, doc_id as c from d union select y, c from reach join edges on x = doc_id)
+select doc_id, coalesce(n, 0) as n_shingles, min(c) as component_id
+from reach left join sizes using (doc_id) group by doc_id, n"""
