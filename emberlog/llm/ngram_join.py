@@ -11,8 +11,9 @@ threshold; the result is the component of every document, not its pairs.
 2. In each meeting place, the least class is compared with the others (a star). The compared sets are
    bounded first by bitmaps: elements in bits that the other set has not are not shared. Only pairs
    that may reach the threshold have their sorted arrays intersected.
-3. Places where the stars leave more than one component are settled by tiles of whole groups: every
-   pair of classes in different components, block against block, again bounded by bitmaps first.
+3. Places where the stars leave more than one component are settled by tiles of whole groups, block
+   against block: every pair of classes in different components that meets somewhere, again bounded by
+   bitmaps first.
 
 So no link between different texts is lost, and dense groups cost their stars only.
 
@@ -41,7 +42,7 @@ from emberlog.session import stage
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 BITS = 2_048
 # Elements of all sets that one tile should hold; larger tiles send a text to fewer of them.
-TILE_ELEMENTS = 2_000_000
+TILE_ELEMENTS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -184,6 +185,33 @@ def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
     return np.packbits(maps, axis=1).view(np.uint64)
 
 
+class Meetings:
+    """Which sets of a tile meet under a signature; sets that link always do."""
+
+    def __init__(self, sets: list[np.ndarray], join: Join):
+        marks = [signatures(x, join) if len(x) else np.zeros(0, dtype=np.int64) for x in sets]
+        places = np.concatenate(marks)
+        owners = np.repeat(np.arange(len(sets)), [len(x) for x in marks])
+        order = np.argsort(places, kind="stable")
+        places, owners = places[order], owners[order]
+        sizes = np.diff(np.flatnonzero(np.concatenate([[True], places[1:] != places[:-1], [True]]))) if len(places) else []
+        shared = np.repeat(sizes, sizes) > 1 if len(places) else np.zeros(0, dtype=bool)
+        self.members = owners[shared]
+        kept = np.asarray(sizes)[np.asarray(sizes) > 1] if len(places) else np.zeros(0, dtype=np.int64)
+        self.ends = np.concatenate([[0], np.cumsum(kept)]).astype(np.int64)
+        group = np.repeat(np.arange(len(kept)), kept)
+        by_owner = np.argsort(self.members, kind="stable")
+        self.groups = group[by_owner]
+        self.first = np.searchsorted(self.members[by_owner], np.arange(len(sets) + 1))
+
+    def of(self, one: int) -> np.ndarray:
+        """The sets that meet set ``one``, itself included."""
+        groups = self.groups[self.first[one] : self.first[one + 1]]
+        if not len(groups):
+            return np.zeros(0, dtype=np.int64)
+        return np.unique(np.concatenate([self.members[self.ends[g] : self.ends[g + 1]] for g in groups]))
+
+
 def linked(one: int, others: np.ndarray, sets: list, sizes: np.ndarray, maps: np.ndarray, join: Join) -> list[int]:
     """Those of ``others`` that link with set ``one``."""
     size = sizes[one]
@@ -219,16 +247,16 @@ def _tile_links(join: Join):
         label = {}
         parent = np.array([label.setdefault(r["label"], i) for i, r in enumerate(rows)])
         out = []
-        order = np.argsort(sizes, kind="stable")
         centres = [i for i in range(len(rows)) if rows[i]["role"] == 0]
         block = np.array([r["role"] for r in rows])
-        for turn, one in enumerate(centres if centres else order):
+        meetings = None if centres else Meetings(sets, join)
+        for one in centres or range(len(rows)):
             if centres:
                 others = np.flatnonzero(block == 1)
             else:
-                others = order[turn + 1 :]
+                others = meetings.of(one)
                 # Two different blocks meet here (roles 2 and 3), or one block with itself (role 4).
-                others = others[(block[others] != block[one]) | (block[one] == 4)]
+                others = others[(others > one) & ((block[others] != block[one]) | (block[one] == 4))]
             others = others[parent[others] != parent[one]]
             for k in linked(int(one), others, sets, sizes, maps, join):
                 if parent[k] != parent[one]:
