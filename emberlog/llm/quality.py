@@ -2,7 +2,8 @@
 
 A text passes when its compression ratio, as a whole and in every fixed chunk, lies in the band for
 its length. Repetitive text compresses too well, random text too badly; short texts compress badly
-whatever they say, so the bands depend on the length.
+whatever they say, so the bands depend on the length. The limits are quantiles of the ratios of texts
+labelled clean, with a margin (``fitted``).
 
 Defined results: a null text is the empty text, has no words and fails the base rules. Rows are
 judged one by one, so repeated rows get the same verdict, and an empty table gives an empty table.
@@ -14,7 +15,7 @@ from __future__ import annotations
 import functools
 import itertools
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -33,18 +34,30 @@ NON_SPACE = re.compile(r"[^\x20\x09-\x0D]")
 class Bands:
     """Limits of the ratio (bytes before / after compression).
 
-    ``edges[i]`` is the least number of UTF-8 bytes of band i; ``low`` and ``high`` its limits.
+    ``edges[i]`` is the least number of UTF-8 bytes of band i; ``low`` and ``high`` its limits. Texts of more
+    than one chunk have limits of their own for the chunks. The numbers are what ``fitted`` gives for the
+    labelled clean rows of sf0.1 whose ``fold`` is 0.
     """
 
-    edges: tuple[int, ...] = (0, 200, 500, 1_000, 2_000, 5_000, 20_000)
-    low: tuple[float, ...] = (0.0, 1.0, 1.3, 1.45, 1.55, 1.65, 1.75)
-    high: tuple[float, ...] = (3.0, 3.5, 4.0, 5.0, 6.0, 7.0, 8.0)
+    edges: tuple[int, ...] = (0, 200, 300, 420, 600, 850, 1_200, 1_700, 2_400, 3_400, 4_800, 6_800, 9_600, 14_000)
+    low: tuple[float, ...] = (1.0, 1.2, 1.28, 1.38, 1.47, 1.61, 1.68, 1.79, 1.89, 1.97, 2.01, 2.06, 2.08, 2.07)
+    high: tuple[float, ...] = (1.62, 1.7, 1.79, 1.87, 1.95, 2.03, 2.09, 2.17, 2.21, 2.29, 2.35, 2.42, 2.47, 2.58)
+    chunk_edges: tuple[int, ...] = (0, 5_000, 6_500)
+    chunk_low: tuple[float, ...] = (1.98, 2.0, 1.98)
+    chunk_high: tuple[float, ...] = (2.27, 2.37, 2.48)
     chunk_bytes: int = 4_096
     level: int = 3
 
     def holds(self, size: int, ratio: float) -> bool:
-        band = int(np.searchsorted(self.edges, size, side="right")) - 1
-        return self.low[band] <= ratio <= self.high[band]
+        return _inside(self.edges, self.low, self.high, size, ratio)
+
+    def chunk_holds(self, size: int, ratio: float) -> bool:
+        return _inside(self.chunk_edges, self.chunk_low, self.chunk_high, size, ratio)
+
+
+def _inside(edges: tuple[int, ...], low: tuple[float, ...], high: tuple[float, ...], size: int, ratio: float) -> bool:
+    band = int(np.searchsorted(edges, size, side="right")) - 1
+    return low[band] <= ratio <= high[band]
 
 
 @dataclass(frozen=True)
@@ -119,7 +132,8 @@ def measure(text: str, rules: BaseRules, bands: Bands, compressor: zstandard.Zst
     data = text.encode("utf-8", "surrogatepass")
     whole, chunks = ratios(data, bands.chunk_bytes, compressor)
     failed = len(words) < rules.min_words or 100 * repeats > rules.max_repeat_percent * len(words)
-    kept = not failed and bands.holds(len(data), whole) and all(bands.holds(*x) for x in chunks)
+    kept = not failed and bands.holds(len(data), whole)
+    kept = kept and (len(chunks) == 1 or all(bands.chunk_holds(*x) for x in chunks))
     return (
         len(words),
         sum(map(len, words)),
@@ -156,3 +170,63 @@ def accepted(docs: DataFrame, rules: BaseRules = BaseRules(), bands: Bands = Ban
     """The documents that pass, with the columns they came with."""
     scored = docs.withColumn("_quality", _scorer(rules, bands)(text_or_empty(text)))
     return scored.where("_quality.kept").drop("_quality")
+
+
+# Rows of the sample that limits are fitted to, at most; its ratios come to the driver.
+SAMPLE_ROWS = 20_000
+
+
+def labelled(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
+    """``text, clean, fold`` of the documents with a label; clean needs quality 1 in every label of the id.
+
+    ``fold`` is 0 or 1 by the text, so equal texts are in the same fold.
+    """
+    marks = labels.groupBy("doc_id").agg((F.min("quality") == 1).alias("clean"))
+    return docs.join(marks.where("clean is not null"), "doc_id").select(
+        text_or_empty(text).alias("text"), "clean", F.pmod(F.xxhash64(text_or_empty(text)), F.lit(2)).alias("fold")
+    )
+
+
+def fitted(
+    clean: DataFrame,
+    rules: BaseRules = BaseRules(),
+    bands: Bands = Bands(),
+    tail: float = 0.005,
+    below: float = 0.05,
+    above: float = 0.02,
+) -> Bands:
+    """``bands`` with limits from the texts of ``clean`` that pass the base rules (at most SAMPLE_ROWS of them).
+
+    A limit is the quantile ``tail`` (or 1 - ``tail``) of the ratios in its band, moved outwards by the share
+    ``below`` or ``above`` and by 1 / n more, as n ratios say little about the tail if they are few. A band
+    without ratios is an error.
+    """
+
+    @F.pandas_udf("array<struct<size: long, ratio: double>>")
+    def all_ratios(texts: pd.Series) -> pd.Series:
+        compressor, rows = zstandard.ZstdCompressor(level=bands.level), []
+        for text in texts:
+            words, data = WORD.findall(text), text.encode("utf-8", "surrogatepass")
+            failed = len(words) < rules.min_words or 100 * repeated_words(words, rules.window) > rules.max_repeat_percent * len(words)
+            whole, chunks = (0.0, []) if failed else ratios(data, bands.chunk_bytes, compressor)
+            rows.append([] if failed else [(len(data), whole), *(chunks if len(chunks) > 1 else [])])
+        return pd.Series([[{"size": n, "ratio": x} for n, x in row] for row in rows])
+
+    measured = clean.select(F.xxhash64("text").alias("print"), all_ratios("text").alias("found")).where(F.size("found") > 0)
+    found = [r.found for r in measured.orderBy("print").limit(SAMPLE_ROWS).collect()]
+
+    def limits(edges: tuple[int, ...], pairs: list) -> tuple[tuple[float, ...], tuple[float, ...]]:
+        band = np.searchsorted(edges, [x.size for x in pairs], side="right") - 1
+        values, low, high = np.array([x.ratio for x in pairs]), [], []
+        for i in range(len(edges)):
+            inside = values[band == i]
+            if not len(inside):
+                raise ValueError(f"no clean text in the band from {edges[i]} bytes")
+            few = 1 / len(inside)
+            low.append(round(float(np.quantile(inside, tail) * (1 - below - few)), 2))
+            high.append(round(float(np.quantile(inside, 1 - tail) * (1 + above + few)), 2))
+        return tuple(low), tuple(high)
+
+    low, high = limits(bands.edges, [x[0] for x in found])
+    chunk_low, chunk_high = limits(bands.chunk_edges, [y for x in found for y in x[1:]])
+    return replace(bands, low=low, high=high, chunk_low=chunk_low, chunk_high=chunk_high)

@@ -392,6 +392,23 @@ def test_quality_bands_reject_junk(spark):
     assert quality.accepted(df).columns == ["text"]
 
 
+def test_quality_bands_on_labels_outside_the_fit(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    rows = quality.labelled(docs, labels).cache()
+    assert quality.fitted(rows.where("clean and fold = 0")) == quality.Bands()
+    judged = quality.quality(rows.where("fold = 1")).where("not base_failed")
+    kept = {(r.clean, r.kept): r["count"] for r in judged.groupBy("clean", "kept").count().collect()}
+    clean, junk = ({k: kept.get((c, k), 0) for k in (True, False)} for c in (True, False))
+    assert clean[False] <= 0.01 * sum(clean.values())
+    assert junk[False] >= 0.6 * sum(junk.values())
+    rows.unpersist()
+
+
+def test_quality_chunks_have_their_own_bands():
+    bands = quality.Bands()
+    assert bands.holds(5_000, 2.3) and not bands.holds(5_000, 2.4) and not bands.chunk_holds(4_096, 2.3)
+
+
 # N-gram join
 
 
