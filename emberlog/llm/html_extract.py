@@ -6,9 +6,9 @@ role, class or id. If the page has an ``article`` or ``main`` element, only what
 
 What is left may still be boilerplate of the site. Every container around a block is hashed as a
 subtree (tags, classes and text); Spark counts on how many different pages of a host each subtree
-occurs, and subtrees that recur on many of them are deleted. Pages with the same main text count once,
-so copies of one article do not look like a template, and paragraphs inside an article are prose, which
-several articles may share, so only other containers inside it can go this way.
+occurs, and subtrees that recur on a share of them are deleted. Pages with the same main text count once,
+so copies of one article do not look like a template. Paragraphs and the like are prose, which several
+pages may share, so they need a larger share, and inside an article they never go this way.
 
 Defined results: a null html is the empty page and has the empty text; a null url is a host of its own;
 repeated rows get the same text and count as one page; an empty table gives an empty table.
@@ -67,6 +67,8 @@ DROPPED_NAMES = frozenset(
 MAIN = frozenset(["article", "main"])
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th tr tbody".split())
 WHOLE = frozenset(["article", "main", "body", "html"])
+# This bit of the hash of a subtree says whether it is prose.
+PROSE_BIT = 1
 
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
@@ -186,6 +188,7 @@ class _Page:
             return
         content = "\n".join([f"{element.tag} {element.key}", *element.parts])
         print_ = xxhash.xxh64_intdigest(content.encode("utf-8", "surrogatepass")) - 2**63
+        print_ = print_ | PROSE_BIT if element.tag in PROSE else print_ & ~PROSE_BIT
         self.open[-1].parts.append(str(print_))
         if element.tag not in BLOCKS or element.tag in WHOLE or (element.main and element.tag in PROSE):
             return
@@ -251,17 +254,21 @@ def _parsed(pages: DataFrame) -> DataFrame:
 
 def main_text(
     pages: DataFrame,
-    least_pages: int = 3,
+    least_pages: int = 10,
     least_share: float = 0.1,
-    enough_pages: int = 50,
+    few_pages: int = 5,
+    prose_pages: int = 20,
+    prose_share: float = 0.5,
     id_column: str = "page_id",
     url: str = "url",
     source: str = "html",
 ) -> DataFrame:
     """One row per page: ``page_id, url, text, n_chars``.
 
-    A subtree is a template when it occurs on at least ``least_pages`` different pages of its host and
-    on ``least_share`` of them, or on ``enough_pages``.
+    A subtree is a template when it occurs on ``least_share`` of the different pages of its host, whatever
+    their number, and on ``least_pages`` at least; on hosts of fewer than twice as many pages half of the pages
+    are enough, but never fewer than ``few_pages``. For prose (see PROSE) the share is ``prose_share`` and
+    the least number ``prose_pages``.
     """
     slim = pages.select(
         F.col(id_column).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(source).cast("string").alias("html")
@@ -271,7 +278,10 @@ def main_text(
     seen = marked.select("host", "page_print", F.explode(F.array_distinct(F.flatten("blocks.marks"))).alias("mark")).distinct()
     known = parsed.select("host", "page_print").distinct().groupBy("host").agg(F.count("*").alias("_pages"))
     counts = seen.groupBy("host", "mark").agg(F.count("*").alias("_on"))
-    needed = F.least(F.greatest(F.lit(least_pages), F.ceil(F.col("_pages") * least_share)), F.lit(enough_pages))
+    few = F.greatest(F.lit(few_pages), F.least(F.lit(least_pages), F.ceil(F.col("_pages") / 2)))
+    needed = F.when(
+        F.col("mark").bitwiseAND(PROSE_BIT) != 0, F.greatest(F.lit(prose_pages), F.ceil(F.col("_pages") * prose_share))
+    ).otherwise(F.greatest(few, F.ceil(F.col("_pages") * least_share)))
     templates = counts.join(known, "host").where(F.col("_on") >= needed).select("host", "mark")
     # Which templates a page has: by its print, so that copies share the answer.
     of_page = seen.join(templates, ["host", "mark"]).groupBy("host", "page_print").agg(F.collect_list("mark").alias("gone"))

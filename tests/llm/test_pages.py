@@ -61,3 +61,19 @@ def test_templates_go_and_copies_stay(spark):
     assert all(got[40 + i] == [f"shared prose\n\nown {i}"] for i in range(5))
     assert got[60] == [""] and got[61] == [""] and got[None] == ["x", "x"]
     assert html_extract.main_text(df.where("false")).count() == 0
+
+
+def test_passages_of_few_pages_stay_on_large_hosts(spark):
+    """A passage on 60 of 3,000 pages is prose, in a container of an article or in a bare paragraph."""
+    quote = "<p>a passage that some pages share</p>"
+    rows = []
+    for i in range(3_000):
+        shared = i % 50 == 0
+        rows.append((i, "http://l.test/x", f"<article><p>own {i}</p>{f'<div>{quote}</div>' * shared}</article>"))
+        rows.append((10_000 + i, "http://m.test/x", f"<p>own {i}</p>{quote * shared}"))
+    rows += [(20_000 + i, "http://s.test/x", f"<p>own {i}</p>{quote * (i < 4)}<div>{quote * (i < 4)}</div>") for i in range(30)]
+    df = spark.createDataFrame(rows, "page_id int, url string, html string").repartition(3)
+    got = {r.page_id: r.text for r in html_extract.main_text(df).collect()}
+    assert sum("passage" in got[i] for i in range(3_000)) == 60
+    assert sum("passage" in got[10_000 + i] for i in range(3_000)) == 60
+    assert sum(got[20_000 + i].count("passage") for i in range(30)) == 8
