@@ -1,14 +1,15 @@
-"""Main text of web pages: structure first, then site templates found by counting subtrees.
+"""Main text of web pages: site templates found by counting subtrees, and structural rules.
 
 A page is cut into blocks (headings, paragraphs, list items and so on). Elements that are never main
 text (menus, headers, footers, sidebars, forms, scripts, adverts, notices, comments) go by their tag,
 role, class or id. If the page has an ``article`` or ``main`` element, only what is inside counts.
 
-What is left may still be boilerplate of the site. Every container around a block is hashed as a
-subtree (tags, classes and text); Spark counts on how many different pages of a host each subtree
-occurs, and subtrees that recur on a share of them are deleted. Pages with the same main text count once,
-so copies of one article do not look like a template. Paragraphs and the like are prose, which several
-pages may share, so they need a larger share, and inside an article they never go this way.
+What is left may still be boilerplate of the site. Every block element of the page, also one that the rules
+above drop, is hashed as a subtree (tags, classes and text); Spark counts on how many different pages of a
+host each subtree occurs, and subtrees that recur on a share of them are deleted. So a box that is in the
+sidebar of most pages also goes where it is in the text. Pages with the same main text count once, so
+copies of one article do not look like a template. Paragraphs and the like, and whole articles, are prose,
+which several pages may share, so they need a larger share.
 
 Defined results: a null html is the empty page and has the empty text; a null url is a host of its own;
 repeated rows get the same text and count as one page; an empty table gives an empty table.
@@ -65,8 +66,9 @@ DROPPED_NAMES = frozenset(
     "comments discussion replies respond disqus pagination pager toolbar skip".split()
 )
 MAIN = frozenset(["article", "main"])
-PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th tr tbody".split())
-WHOLE = frozenset(["article", "main", "body", "html"])
+PROSE = MAIN | frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th tr tbody".split())
+# Never counted: pages with an equal body have the same main text, so they count as one page.
+WHOLE = frozenset(["body", "html", "head"])
 # This bit of the hash of a subtree says whether it is prose.
 PROSE_BIT = 1
 
@@ -82,15 +84,17 @@ HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|disp
 class _Element:
     tag: str
     dropped: bool
+    own: bool  # dropped by its own tag or attributes, not only by those of an element around it
     main: bool
     key: str
     first: int  # number of the first block inside
     parts: list[str] = field(default_factory=list)
+    words: bool = False  # has text inside
 
 
 @dataclass
 class Block:
-    """A block of text with the hashes of the containers around it that a template may be."""
+    """A block of text with the numbers of the subtrees around it that a template may be."""
 
     text: str
     main: bool
@@ -114,15 +118,22 @@ class _Page:
     """Builds the blocks of one page from its tags, closing elements the way browsers do."""
 
     def __init__(self):
-        self.open = [_Element("#page", False, False, "", 0)]
+        self.open = [_Element("#page", False, False, False, "", 0)]
         self.opened: Counter[str] = Counter()
         self.blocks: list[Block] = []
         self.buffer: list[str] = []
+        self.seen: dict[int, int] = {}  # the hashes of all subtrees, of dropped ones too, numbered
         self.has_main = False
 
     def text(self, raw: str) -> None:
-        if raw and not self.open[-1].dropped:
+        if not raw:
+            return
+        above = self.open[-1]
+        if not above.dropped:
             self.buffer.append(raw)
+        elif above.tag not in RAW and (text := " ".join(html.unescape(raw).split())):
+            above.parts.append(text)
+            above.words = True
 
     def flush(self) -> None:
         """Ends the current block."""
@@ -132,6 +143,7 @@ class _Page:
             if text:
                 self.blocks.append(Block(text, self.open[-1].main))
                 self.open[-1].parts.append(text)
+                self.open[-1].words = True
 
     def start(self, tag: str, attributes: str) -> None:
         if tag in BLOCKS:
@@ -147,10 +159,11 @@ class _Page:
         above = self.open[-1]
         key, dropped = _names(attributes) if attributes else ("", False)
         # The page itself is never dropped for a class of its body.
-        dropped = above.dropped or tag in DROPPED or (dropped and tag not in ("html", "body", *MAIN))
+        own = tag in DROPPED or (dropped and tag not in ("html", "body", *MAIN))
+        dropped = above.dropped or own
         main = not dropped and (above.main or tag in MAIN)
         self.has_main |= main
-        self.open.append(_Element(tag, dropped, main, key, len(self.blocks)))
+        self.open.append(_Element(tag, dropped, own, main, key, len(self.blocks)))
         self.opened[tag] += 1
 
     def _close_until(self, tags: frozenset[str]) -> None:
@@ -183,17 +196,23 @@ class _Page:
                 return
 
     def _mark(self, element: _Element) -> None:
-        """Hashes a closed subtree from its text and the hashes of its children, and notes it on its blocks."""
-        if element.dropped:
-            return
+        """Hashes a closed subtree from its text and the hashes of its children, and notes it on its blocks.
+
+        What the rules drop is no part of the subtree around it, so adverts do not make equal boxes differ.
+        """
         content = "\n".join([f"{element.tag} {element.key}", *element.parts])
         print_ = xxhash.xxh64_intdigest(content.encode("utf-8", "surrogatepass")) - 2**63
         print_ = print_ | PROSE_BIT if element.tag in PROSE else print_ & ~PROSE_BIT
-        self.open[-1].parts.append(str(print_))
-        if element.tag not in BLOCKS or element.tag in WHOLE or (element.main and element.tag in PROSE):
+        if not element.own:
+            self.open[-1].parts.append(str(print_))
+            self.open[-1].words |= element.words
+        if element.tag not in BLOCKS or element.tag in WHOLE or not element.words:
+            return
+        number = self.seen.setdefault(print_, len(self.seen))
+        if element.dropped:
             return
         for block in self.blocks[element.first :]:
-            block.marks.append(print_)
+            block.marks.append(number)
 
     def close(self) -> list[Block]:
         self.flush()
@@ -204,6 +223,11 @@ class _Page:
 
 def blocks_of(source: str) -> list[Block]:
     """The blocks of a page that may be main text, in page order."""
+    return parse_page(source)[0]
+
+
+def parse_page(source: str) -> tuple[list[Block], list[int]]:
+    """The blocks of a page that may be main text, and the hashes of all its subtrees by number."""
     page, at, size = _Page(), 0, len(source)
     while at < size:
         m = TAG.search(source, at)
@@ -225,28 +249,30 @@ def blocks_of(source: str) -> list[Block]:
             page.text(inside)
             at = end.end() if end else size
             page.end(tag)
-    return page.close()
+    return page.close(), list(page.seen)
 
 
 BLOCK_ROWS = (
-    "page_id long, url string, host string, page_print long, blocks array<struct<text: string, marks: array<long>>>"
+    "page_id long, url string, host string, page_print long, seen array<long>, "
+    "blocks array<struct<text: string, marks: array<int>>>"
 )
 
 
 def _parsed(pages: DataFrame) -> DataFrame:
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("text", pa.string()), ("marks", pa.list_(pa.int64()))]))
+        kind = pa.list_(pa.struct([("text", pa.string()), ("marks", pa.list_(pa.int32()))]))
         for batch in batches:
             for low in range(0, batch.num_rows, 500):
                 part = batch.slice(low, 500)
-                blocks, prints = [], []
+                blocks, prints, subtrees = [], [], []
                 for source in part.column(3):
-                    found = blocks_of(source.as_py() or "")
+                    found, seen = parse_page(source.as_py() or "")
+                    subtrees.append(seen)
                     blocks.append([{"text": b.text, "marks": b.marks} for b in found])
                     prints.append(xxhash.xxh64_intdigest("\n".join(b.text for b in found).encode("utf-8", "surrogatepass")) - 2**63)
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:3], pa.array(prints, pa.int64()), pa.array(blocks, kind)],
-                    names=["page_id", "url", "host", "page_print", "blocks"],
+                    [*part.columns[:3], pa.array(prints, pa.int64()), pa.array(subtrees, pa.list_(pa.int64())), pa.array(blocks, kind)],
+                    names=["page_id", "url", "host", "page_print", "seen", "blocks"],
                 )
 
     return pages.select("page_id", "url", "host", "html").mapInArrow(parse, BLOCK_ROWS)
@@ -274,22 +300,25 @@ def main_text(
         F.col(id_column).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(source).cast("string").alias("html")
     )
     parsed = stage(_parsed(with_host(slim)), "page-blocks")
-    marked = parsed.where(F.exists("blocks", lambda b: F.size(b["marks"]) > 0))
-    seen = marked.select("host", "page_print", F.explode(F.array_distinct(F.flatten("blocks.marks"))).alias("mark")).distinct()
+    marks = parsed.select("host", "page_print", F.explode("seen").alias("mark"))
+    # Most subtrees are on too few rows to be on enough pages, so their pages need no counting.
+    often = marks.groupBy("host", "mark").agg(F.count("*").alias("_rows")).where(F.col("_rows") >= min(few_pages, prose_pages))
+    often = stage(often.select("host", "mark"), "page-recurring")
+    seen = marks.join(often, ["host", "mark"]).distinct()
     known = parsed.select("host", "page_print").distinct().groupBy("host").agg(F.count("*").alias("_pages"))
     counts = seen.groupBy("host", "mark").agg(F.count("*").alias("_on"))
     few = F.greatest(F.lit(few_pages), F.least(F.lit(least_pages), F.ceil(F.col("_pages") / 2)))
     needed = F.when(
         F.col("mark").bitwiseAND(PROSE_BIT) != 0, F.greatest(F.lit(prose_pages), F.ceil(F.col("_pages") * prose_share))
     ).otherwise(F.greatest(few, F.ceil(F.col("_pages") * least_share)))
-    templates = counts.join(known, "host").where(F.col("_on") >= needed).select("host", "mark")
+    templates = stage(counts.join(known, "host").where(F.col("_on") >= needed).select("host", "mark"), "page-templates")
     # Which templates a page has: by its print, so that copies share the answer.
-    of_page = seen.join(templates, ["host", "mark"]).groupBy("host", "page_print").agg(F.collect_list("mark").alias("gone"))
-    plain = parsed.where(~F.exists("blocks", lambda b: F.size(b["marks"]) > 0)).withColumn("gone", F.lit(None).cast("array<bigint>"))
-    checked = marked.join(of_page, ["host", "page_print"], "left")
-    rows = plain.unionByName(checked)
+    # Written, so that its size is known and few templates do not make the texts travel.
+    of_page = marks.join(templates, ["host", "mark"]).groupBy("host", "page_print").agg(F.collect_set("mark").alias("gone"))
+    rows = parsed.join(stage(of_page, "pages-with-templates"), ["host", "page_print"], "left")
+    inside = lambda b: F.transform(b["marks"], lambda i: F.element_at("seen", i + 1))
     kept = F.when(F.col("gone").isNull(), F.col("blocks")).otherwise(
-        F.filter("blocks", lambda b: ~F.arrays_overlap(b["marks"], F.col("gone")))
+        F.filter("blocks", lambda b: ~F.arrays_overlap(inside(b), F.col("gone")))
     )
     text = F.array_join(F.transform(kept, lambda b: b["text"]), "\n\n")
     return rows.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))

@@ -77,3 +77,20 @@ def test_passages_of_few_pages_stay_on_large_hosts(spark):
     assert sum("passage" in got[i] for i in range(3_000)) == 60
     assert sum("passage" in got[10_000 + i] for i in range(3_000)) == 60
     assert sum(got[20_000 + i].count("passage") for i in range(30)) == 8
+
+
+def test_recurrence_decides_over_structure(spark):
+    """What recurs on most pages of a host goes from articles too, and dropped parts count."""
+    note, card, tip = "<p>read also our letters</p>", "<article>today's offer</article>", "<div class=tip>ask us</div>"
+    rows = [(i, "http://a.test/x", f"<article><h1>title {i}</h1><p>own {i}</p>{note}</article>{card}") for i in range(40)]
+    # The box is in the sidebar of most pages and inside the article of a few.
+    rows += [(100 + i, "http://b.test/x", f"<aside>{tip}</aside><main><p>own {i}</p></main>") for i in range(30)]
+    rows += [(200 + i, "http://b.test/x", f"<main><p>other {i}</p>{tip}</main>") for i in range(3)]
+    # A passage that less than half of the pages share is prose.
+    rows += [(300 + i, "http://c.test/x", f"<article><p>own {i}</p>{note * (i < 25)}</article>") for i in range(60)]
+    df = spark.createDataFrame(rows, "page_id int, url string, html string").repartition(3)
+    got = {r.page_id: r.text for r in html_extract.main_text(df).collect()}
+    assert all(got[i] == f"title {i}\n\nown {i}" for i in range(40))
+    assert all(got[100 + i] == f"own {i}" for i in range(30))
+    assert all(got[200 + i] == f"other {i}" for i in range(3))
+    assert sum("read also" in got[300 + i] for i in range(60)) == 25
