@@ -127,7 +127,7 @@ def word_hashes(data: bytes) -> np.ndarray:
 
 
 Units = Callable[[str], np.ndarray]
-SEGMENTS = "row_id long, row_hash int, anchor long, print long, first int, windows int, times int"
+SEGMENTS = "row_id long, row_hash long, anchor long, print long, first int, windows int, times int"
 
 
 def find_segments(keyed: DataFrame, units: Callable[[], Units], length: int, gram: int) -> DataFrame:
@@ -220,8 +220,8 @@ def repeated_spans(
     return spans.groupBy("row_id", "row_hash").agg(F.collect_list("span").alias("spans"))
 
 
-SPAN = "row_id long, row_hash int, span struct<low: int, high: int>"
-CONTENT = "anchor long, members long, n long, row_id long, row_hash int, first int, content binary"
+SPAN = "row_id long, row_hash long, span struct<low: int, high: int>"
+CONTENT = "anchor long, members long, n long, row_id long, row_hash long, first int, content binary"
 
 
 def _contents(keyed: DataFrame, prints: DataFrame, length: int, cut: Callable[[], Cut]) -> DataFrame:
@@ -249,7 +249,7 @@ def _contents(keyed: DataFrame, prints: DataFrame, length: int, cut: Callable[[]
 
 
 def _content_batch(rows: list[tuple]) -> pa.RecordBatch:
-    types = [pa.int64()] * 4 + [pa.int32()] * 2 + [pa.binary()]
+    types = [pa.int64()] * 5 + [pa.int32(), pa.binary()]
     names = ["anchor", "members", "n", "row_id", "row_hash", "first", "content"]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
@@ -273,7 +273,7 @@ def _searcher(search: Search, length: int):
             if row[1] == 1:
                 out += [(row[2], row[3], {"low": row[4] + a, "high": row[4] + b}) for a, b in runs(starts)]
         arrays = zip(*out, strict=True) if out else ([], [], [])
-        types = [pa.int64(), pa.int32(), pa.struct([("low", pa.int32()), ("high", pa.int32())])]
+        types = [pa.int64(), pa.int64(), pa.struct([("low", pa.int32()), ("high", pa.int32())])]
         return pa.RecordBatch.from_arrays(
             [pa.array(a, t) for a, t in zip(arrays, types, strict=True)], names=["row_id", "row_hash", "span"]
         )
@@ -307,14 +307,14 @@ def _by_window(pieces: DataFrame, length: int, piece_units: Callable[[bytes], np
                 units = piece_units(row["content"])
                 at = np.arange(len(units) - length + 1)
                 prints = segment_prints(units, at, at + length)
-                kinds = {"anchor": np.int64, "row_id": np.int64, "row_hash": np.int32}
+                kinds = {"anchor": np.int64, "row_id": np.int64, "row_hash": np.int64}
                 same = [np.full(len(at), row[k], dtype=kind) for k, kind in kinds.items()]
                 yield pa.RecordBatch.from_arrays(
                     [*map(pa.array, same), pa.array((row["first"] + at).astype(np.int32)), pa.array(prints)],
                     names=["anchor", "row_id", "row_hash", "low", "window"],
                 )
 
-    schema = "anchor long, row_id long, row_hash int, low int, window long"
+    schema = "anchor long, row_id long, row_hash long, low int, window long"
     windows = pieces.mapInArrow(expand, schema)
     often = windows.groupBy("anchor", "window").agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
     return windows.join(often, ["anchor", "window"]).select(

@@ -47,6 +47,23 @@ def covered(sequences, length):
     return out
 
 
+# Row keys
+
+
+def test_texts_under_one_null_id_stay_apart(spark):
+    """The two texts without an id have the same 32-bit Murmur hash."""
+    numbers = lambda low: " ".join(map(str, range(low, low + 100)))
+    first, second, third = f"63939 {numbers(1000)}", f"183158 {numbers(5000)}", f"x {numbers(1000)}"
+    rows = spark.createDataFrame([(None, first), (None, second), (1, third)], "doc_id long, text string")
+    assert rows.where("doc_id is null").selectExpr("hash(text) as h").distinct().count() == 1
+    unnamed = rows.where("doc_id is null")
+    assert {r.text for r in ngram_join.one_of_each(unnamed).collect()} == {first, second}
+    left = [r.text for r in suffix_dedup.deduplicated(rows).collect()]
+    assert second in left and first not in left
+    report = automaton_dedup.report(rows).where("doc_id is null").collect()
+    assert sorted(r.n_removed for r in report) == [0, 100]
+
+
 # Winnowing
 
 
