@@ -3,8 +3,8 @@
 Every source gets a target number of words. Its documents are shuffled (by the MD5 of their id) and
 read up to ``max_epochs`` times; the virtual finish time of a reading is the number of words the
 source has given by then, divided by its target. All readings are merged by finish time, in range
-buckets, and the stream is cut where the budget is used up. At that moment each source has one
-document in service; it is cut there too, so a source gives its target to within one word.
+buckets, which numbers the stream. It is cut at virtual time 1, per source: readings that finish by
+then are whole, and the one in service is cut, so a source gives its target to within one word.
 
 Defined results: a null text has no words, is never in service and takes 0. The null source is a
 source of its own and comes last. Rows with the same id and text are ordered by nothing: they are
