@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from emberlog.llm import (
     automaton_dedup,
+    decontaminate,
     html_extract,
     mixing,
     ngram_join,
@@ -111,6 +112,19 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+@query("op13_decontamination")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    report = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return report.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 # --- SQL ---------------------------------------------------------------------------------
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -159,3 +173,21 @@ edges as (select x, y from links union all select y, x from links),
 reach as (select doc_id, doc_id as c from d union select y, c from reach join edges on x = doc_id)
 select doc_id, coalesce(n, 0) as n_shingles, min(c) as component_id
 from reach left join sizes using (doc_id) group by doc_id, n"""
+
+_TOKENS = rf"regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+ORACLE["op13_decontamination"] = rf"""with d as (select doc_id, {_TOKENS} as w from documents),
+item as (select cast(item_id as varchar) as item, {_TOKENS} as w from benchmark),
+win as (select distinct item, w[i : i + 9] as s from (select item, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) as i
+    from item where len(w) > 0)),
+sizes as (select distinct len(s) as k from win),
+place as (select doc_id, k, i, w[i : i + k - 1] as s
+    from (select doc_id, w, k, unnest(range(1, len(w) - k + 2)) as i from d, sizes)),
+hit as (select doc_id, k, i, s from place where s in (select s from win)),
+n as (select doc_id, count(distinct i + j) as n_hit from (select doc_id, i, unnest(range(k)) as j from hit)
+    group by doc_id),
+which as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as names
+    from (select distinct doc_id, item from hit join win using (s)) group by doc_id)
+select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+    sha256(coalesce(names, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join n using (doc_id) left join which using (doc_id)"""

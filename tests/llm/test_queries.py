@@ -11,7 +11,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", queries.ORACLE)
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    for table in ("documents", "pages", "labels"):
+    for table in ("documents", "pages", "labels", "benchmark", "conversations"):
         con.sql(f"create view {table} as select * from '{SF}/{table}.parquet'")
     oracle = con.sql(queries.ORACLE[name])
     columns = sorted(oracle.columns)
