@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from emberlog.llm import (
     automaton_dedup,
+    conversation_repair,
     decontaminate,
     html_extract,
     mixing,
@@ -112,6 +113,11 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+@query("op12_conversation_repair")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.report(conversation_repair.damaged(table(spark, sf_dir, "conversations")))
+
+
 @query("op13_decontamination")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     report = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -191,3 +197,59 @@ which as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item
 select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
     sha256(coalesce(names, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from d left join n using (doc_id) left join which using (doc_id)"""
+
+# The bytes of a string of characters below U+0800, and crc32 of them, bit by bit.
+_BYTES = "flatten(list_transform(string_split({0}, ''), lambda c: case when unicode(c) < 128 then [unicode(c)] " \
+    "else [192 + (unicode(c) >> 6), 128 + (unicode(c) & 63)] end))"
+_CRC32 = "xor(4294967295, list_reduce(list_concat([4294967295], {0}), lambda a, b: list_reduce(list_concat(" \
+    "[xor(a, b)], list_transform(range(8), lambda z: 0::bigint)), lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))))"
+
+
+def _crc32(text: str) -> str:
+    return _CRC32.format(f"list_transform({_BYTES.format(text)}, lambda u: u::bigint)")
+
+
+ORACLE["op12_conversation_repair"] = rf"""with recursive coded as (
+    select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+        {_crc32("concat(coalesce(cast(conv_id as varchar), ' '), ':', coalesce(cast(turn as varchar), ' '))")} % 20 as c
+    from conversations),
+rows as (select conv_id, turn, case when c = 4 then 'user' else role end as role,
+        case c when 1 then '' when 2 then translate(text, '.!?', '') else text end as text,
+        unnest(range(case c when 0 then 0 when 3 then 2 else 1 end)) as copy from coded),
+placed as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text, copy) as k,
+        right(regexp_replace(text, '[\x20\x09-\x0D]+$', ''), 1) as final from rows),
+judged as (select *, case when final = '' then 'b' when row_number() over (partition by conv_id, role, text order by k) > 1
+            then 'd' when final not in ('.', '!', '?') then 't' else '' end as fault,
+        left(role, 1) as c, lead(left(role, 1)) over (partition by conv_id order by k) as after from placed),
+ways(st, n, mid, lines) as (values (0, 0, 0, null), (0, 1, 2, 'user:'), (0, 2, 3, 'user:
+assistant:'), (1, 0, 1, null), (1, 1, 2, 'user:'), (1, 2, 3, 'user:
+assistant:'), (2, 0, 2, null), (2, 1, 3, 'assistant:'), (3, 0, 3, null), (3, 1, 2, 'user:')),
+edits(letter, price, mid, st, c, name) as (values ('D', 3, 0, 0, null, null), ('D', 3, 1, 1, null, null),
+    ('D', 3, 2, 2, null, null), ('D', 3, 3, 3, null, null), ('K', 0, 0, 1, 's', null), ('K', 0, 0, 2, 'u', null),
+    ('K', 0, 1, 2, 'u', null), ('K', 0, 3, 2, 'u', null), ('K', 0, 2, 3, 'a', null), ('R', 2, 0, 2, null, 'user'),
+    ('R', 2, 1, 2, null, 'user'), ('R', 2, 3, 2, null, 'user'), ('R', 2, 2, 3, null, 'assistant')),
+steps as (
+    select distinct conv_id, 0::bigint as k, 0 as st, 0 as cost, '' as audit, null::varchar as lines from coded
+    union all
+    select conv_id, k, st, cost, audit, lines from (
+        select s.conv_id, j.k, e.st, s.cost + 2 * w.n + e.price + case when e.letter <> 'D' and fault = 't' then 1 else 0 end as cost,
+            s.audit || repeat('I', w.n) || e.letter as audit,
+            case when e.letter = 'D' then nullif(concat_ws(chr(10), s.lines, w.lines), '')
+                else concat_ws(chr(10), s.lines, w.lines, coalesce(e.name, j.role) || ':' || j.text) end as lines
+        from steps s join judged j on j.conv_id is not distinct from s.conv_id and j.k = s.k + 1
+            join ways w on w.st = s.st join edits e on e.mid = w.mid
+        where (e.letter = 'D' or fault not in ('b', 'd')) and (e.c is null or e.c = j.c))
+    qualify row_number() over (partition by conv_id, st order by cost, audit) = 1),
+ends as (select conv_id, cost + 2 * n as cost, audit || repeat('I', n) as audit,
+        nullif(concat_ws(chr(10), s.lines, w.lines), '') as lines
+    from steps s join ways w on w.st = s.st
+    where k = (select count(*) from rows r where r.conv_id is not distinct from s.conv_id) and (mid = 3 or (s.st = 0 and n = 0))
+    qualify row_number() over (partition by conv_id order by cost + 2 * n, audit || repeat('I', n)) = 1),
+counts as (select conv_id, count(*) filter (fault = 'b') as blank, count(*) filter (fault = 'd') as duplicate,
+        count(*) filter (fault = 't') as truncated,
+        count(*) filter (after is not null and concat(c, after) not in ('su', 'ua', 'au')) as illegal,
+        coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps from judged group by conv_id)
+select e.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate,
+    coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal, cast(cost as bigint) as cost, audit,
+    sha256(coalesce(lines, '')) as repaired_sha256
+from ends e left join counts n on n.conv_id is not distinct from e.conv_id"""
