@@ -16,6 +16,7 @@ from emberlog.llm import (
     ngram_join,
     packing,
     quality,
+    spelling,
     suffix_dedup,
     token_files,
     tokens,
@@ -113,6 +114,12 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+@query("op11_spelling_variants")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spelling.with_typos(spelling.runs(table(spark, sf_dir, "documents")))
+    return spelling.variants(spelling.vocabulary(found))
+
+
 @query("op12_conversation_repair")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.report(conversation_repair.damaged(table(spark, sf_dir, "conversations")))
@@ -253,3 +260,23 @@ select e.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coales
     coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal, cast(cost as bigint) as cost, audit,
     sha256(coalesce(lines, '')) as repaired_sha256
 from ends e left join counts n on n.conv_id is not distinct from e.conv_id"""
+
+ORACLE["op11_spelling_variants"] = rf"""with recursive run as (select cast(doc_id as varchar) as doc,
+        unnest(regexp_extract_all({_LOWERED}, '[a-zÀ-ÿ]+')) as r from documents),
+seen as (select doc, r, count(*) as times from run where length(r) >= 7 group by all),
+coded as (select r, times, {_crc32("concat(doc, ':', r)")} as h from seen),
+edited as (select times, case when h % 31 = 0
+        then left(r, cast(h % length(r) as int)) || substr(r, cast(h % length(r) as int) + 2) else r end as word from coded),
+w as (select word, cast(sum(times) as bigint) as n from edited where length(word) >= 7 group by word having sum(times) >= 2),
+cut as (select distinct word, n, left(word, i) || m || substr(word, i + 2) as c, m
+    from (select word, n, unnest(range(length(word))) as i from w), (select unnest(['', '*']) as m)),
+pair as (select a.word as x, b.word as y, b.n from cut a join cut b using (c) where a.m = '*' and b.m = '*' and a.word <> b.word
+    union select c.word, w.word, w.n from cut c join w on c.c = w.word and m = ''
+    union select w.word, c.word, c.n from cut c join w on c.c = w.word and m = ''),
+best as (select x as word, count(*) as n_near, arg_min(y, (-pair.n, y)) as y, max(pair.n) as y_n from pair group by x),
+near as (select w.word, w.n, coalesce(n_near, 0) as n_near, case when y_n >= 10 * w.n then y end as form,
+    case when y_n >= 10 * w.n then y_n end as form_n from w left join best using (word)),
+chain as (select word, word as goal from near union select chain.word, near.form from chain join near on near.word = goal
+    where near.form is not null)
+select near.word, near.form, root.goal as root, near.n, n_near, form_n
+from near join (select chain.word, goal from chain join near on near.word = goal where near.form is null) root using (word)"""
