@@ -76,10 +76,48 @@ def stream_next_event(spark, sf):
     return spark.read.parquet(path).select("session_id", "pos", F.col("hit").cast("int").alias("hit"))
 
 
-QUERIES = {f.__name__: f for f in (stream_tw_counts, stream_cluster, stream_directions, stream_next_event)}
+IDLE_MINUTES = 12 * 60
+
+
+def stream_next_event_idle(spark, sf):
+    """Hits of a stream whose sessions end after half a day of silence; windows lie inside episodes."""
+    sequences = views.user_sequences(spark, sf)
+    model = NextEventModel.fit(detection.train_windows(sequences), views.H).staged()
+    test = sequences.where("split = 'test' and chunk = 0").select("session_id")
+    rows = _event_stream(spark, sf).select(
+        F.concat(F.lit("u"), "user_id").alias("session_id"),
+        "line_no",
+        "event",
+        F.to_utc_timestamp(F.col("ts").cast("string"), "UTC").alias("ts"),
+    )
+    wins = next_event.stream_windows(rows.join(test, "session_id"), views.H, IDLE_MINUTES)
+    path = scratch_path(spark, "idle-windows")
+    sink.run_available(wins, scratch_path(spark, "stream-state"), sink.batch_writer(path), mode="append")
+    hits = model.hits(spark.read.parquet(path).drop("batch_id"), views.G)
+    return hits.select("session_id", "episode", "pos", F.col("hit").cast("int").alias("hit"))
+
+
+QUERIES = {f.__name__: f for f in (stream_tw_counts, stream_cluster, stream_directions, stream_next_event, stream_next_event_idle)}
+
+EPISODES = """timed as (select r.session_id, r.line_no, r.event, ts,
+    lag(ts) over (partition by r.session_id order by r.line_no) as before from user_rows r join ev using (line_no)),
+opened as (select *, max(case when before is null or ts - before >= interval 12 hour then line_no end)
+    over (partition by session_id order by line_no) as episode from timed),
+episodes as (select session_id, episode, list(event order by line_no) as e from opened
+    group by session_id, episode),
+idle_wins as (select session_id, episode, i as pos, e[i + 1 : i + 4] as ctx, e[i + 5] as nxt from (
+    select *, unnest(range(len(e) - 4)) as i from episodes where len(e) > 4))"""
 
 ORACLE = {
     "stream_tw_counts": BATCH["tw_grid"],
     "stream_directions": DETECTORS["clu_online_directions"],
     "stream_next_event": queries_sequences.ORACLE["topg_hit"],
+    "stream_next_event_idle": queries_sequences.model_sql(
+        """select session_id, episode, pos, cast(hit as int) as hit from idle_wins join hits using (ctx, nxt)
+        where session_id in (select session_id from user_split where split = 'test')""",
+        queries_sequences.WINDOWS,
+        queries_sequences.NEXT_MODEL,
+        queries_sequences.HITS,
+        EPISODES,
+    ),
 }

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 
 def run_available(
@@ -13,8 +14,8 @@ def run_available(
     checkpoint: str,
     write: Callable[[DataFrame, int], None],
     mode: str = "update",
-) -> None:
-    """Process everything available now, calling ``write(batch, batch_id)`` per micro-batch."""
+) -> StreamingQuery:
+    """Process everything available now, calling ``write(batch, batch_id)`` per micro-batch; the ended query."""
     query = (
         stream.writeStream.outputMode(mode)
         .option("checkpointLocation", checkpoint)
@@ -23,6 +24,7 @@ def run_available(
         .start()
     )
     query.awaitTermination()
+    return query
 
 
 def batch_writer(path: str) -> Callable[[DataFrame, int], None]:
