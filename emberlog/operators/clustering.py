@@ -1,9 +1,9 @@
 """Log clustering by cosine distance of count vectors: offline, online and nearest-cluster scoring.
 
-Vectors may have any sign. The pair table holds only pairs within ``max_dist``; two vectors
-that close must share a coordinate among the leading ones of both (the part of a vector
-after its leading coordinates is too short to reach the similarity alone), so they meet on
-that coordinate. A crowded coordinate is cut into a grid of blocks of bounded size.
+Vectors may have any sign. Two vectors within ``max_dist`` must share a coordinate among the leading
+ones of both (the part of a vector after its leading coordinates is too short to reach the similarity
+alone), so they meet on that coordinate. Coordinates that few vectors have come first, so few meet on
+crowded ones; those are cut into a grid of blocks of bounded size.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from emberlog.operators.components import components, joined_up
 from emberlog.operators.features import distinct_vectors
 from emberlog.operators.gram import vector_blocks
 from emberlog.operators.order import rank_in_order
@@ -25,7 +26,13 @@ from emberlog.session import stage
 NORM_GUARD = 1e-8
 ZERO_DISTANCE = 1e-8
 
+# Distances are compared to this many decimals: equal ones may differ in the last bits.
+DIGITS = 12
+
 BLOCK = 2048
+# A component of close vectors with at most so many rows and close pairs is clustered in one task.
+SOLVE_ROWS = 20_000
+SOLVE_PAIRS = 4_000_000
 # Vectors, or representatives, that one task of the nearest-representative grid holds.
 STRIPE = 20_000
 
@@ -43,111 +50,264 @@ def number_vectors(vectors: DataFrame) -> DataFrame:
     return rank_in_order(keyed, bucket, ["_key"], out="id").drop("_key")
 
 
-def leading_coordinates(features: np.ndarray, similarity: float) -> list[np.ndarray]:
-    """Per row: the non-zero coordinates before the remaining tail is shorter than ``similarity``."""
-    unit = features / np.maximum(np.linalg.norm(features, axis=1, keepdims=True), 1e-300)
+def rare_first(vectors: DataFrame) -> np.ndarray:
+    """The coordinates by rising number of vectors that have them (a number per coordinate reaches the driver)."""
+    counts = vectors.select(F.posexplode("features").alias("i", "x")).groupBy("i").agg(
+        F.count_if(F.col("x") != 0).alias("n")
+    )
+    return np.array([r["i"] for r in sorted(counts.collect(), key=lambda r: (r["n"], r["i"]))], dtype=np.int64)
+
+
+def leading_coordinates(features: np.ndarray, similarity: float, order: np.ndarray | None = None) -> np.ndarray:
+    """Which coordinates of each row are non-zero and not in the tail (in ``order``) that is shorter than ``similarity``."""
+    order = np.arange(features.shape[1]) if order is None else order
+    unit = features[:, order] / np.maximum(np.linalg.norm(features, axis=1, keepdims=True), 1e-300)
     # Length of the tail that starts at each coordinate.
     tails = np.sqrt(np.cumsum((unit**2)[:, ::-1], axis=1)[:, ::-1])
-    return [np.flatnonzero((row != 0) & (tail >= similarity - 1e-9)) for row, tail in zip(unit, tails, strict=True)]
+    return (unit != 0) & (tails >= similarity - 1e-9)
 
 
-def close_pairs(numbered: DataFrame, max_dist: float, block: int = BLOCK) -> DataFrame:
-    """``a, b, d`` (``a < b``) for all pairs of vectors within ``max_dist`` (below 1)."""
+def _cells(rows: DataFrame, max_dist: float, order: np.ndarray, block: int) -> DataFrame:
+    """``key, coord, own, row, col``: the grid cells in which each row (``key, features``) meets others.
+
+    ``coord`` is a place in ``order``; its rows are cut into stripes, and cell (row, col) holds two of them.
+    """
     if not 0 <= max_dist < 1:
         raise ValueError("max_dist must lie in [0, 1)")
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch, matrix in vector_blocks(batches):
-            yield batch.assign(lead=leading_coordinates(matrix, 1.0 - max_dist))[["id", "features", "lead"]]
+            row, coord = np.nonzero(leading_coordinates(matrix, 1.0 - max_dist, order))
+            yield pd.DataFrame({"key": batch["key"].to_numpy()[row], "coord": coord})
 
-    led = numbered.select("id", "features").mapInPandas(
-        spread, "id bigint, features array<double>, lead array<bigint>"
-    )
-    placed = led.select("id", "features", "lead", F.explode("lead").alias("coord"))
+    placed = rows.mapInPandas(spread, "key bigint, coord bigint")
     # One row per coordinate: how many stripes its vectors are cut into.
     stripes = placed.groupBy("coord").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("stripes"))
-    own = F.pmod(F.hash("id"), F.col("stripes"))
-    cells = (
+    own = F.pmod(F.hash("key"), F.col("stripes"))
+    other = F.explode(F.sequence(F.lit(0), F.col("stripes") - 1)).alias("other")
+    return (
         placed.join(stripes, "coord")
-        .withColumn("own", own)
-        .select(
-            "*", F.explode(F.sequence(F.lit(0), F.col("stripes") - 1)).alias("other")
-        )
-        .select(
-            "id",
-            "features",
-            "lead",
-            "coord",
-            "own",
-            F.least("own", "other").alias("row"),
-            F.greatest("own", "other").alias("col"),
-        )
+        .select("key", "coord", own.alias("own"), other)
+        .select("key", "coord", "own", F.least("own", "other").alias("row"), F.greatest("own", "other").alias("col"))
     )
 
+
+def _close(cell: pd.DataFrame, max_dist: float, order: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``a, b, d`` of the pairs of one cell that are close; a pair of several coordinates is left to the first one."""
+    coord, row, col = (int(cell[c].iloc[0]) for c in ("coord", "row", "col"))
+    left, right = cell[cell["own"] == row], cell[cell["own"] == col]
+    found: list[tuple] = [(np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0))]
+    if len(left) and len(right):
+        x, y = left["key"].to_numpy(), right["key"].to_numpy()
+        a, b = np.vstack(left["features"]), np.vstack(right["features"])
+        # Only the coordinates before this one decide whether the pair was met there.
+        before = slice(0, coord)
+        lead_a = leading_coordinates(a, 1.0 - max_dist, order)[:, before].astype(np.float32)
+        lead_b = leading_coordinates(b, 1.0 - max_dist, order)[:, before].astype(np.float32)
+        for low in range(0, len(x), 256):
+            at = slice(low, low + 256)
+            d = np.round(distances(a[at], b), DIGITS)
+            near = (d <= max_dist) & ((x[at, None] < y) if row == col else (x[at, None] != y))
+            near &= (lead_a[at] @ lead_b.T) == 0
+            i, j = np.nonzero(near)
+            p, q = x[low + i], y[j]
+            found.append((np.minimum(p, q), np.maximum(p, q), d[i, j]))
+    return tuple(np.concatenate(part) for part in zip(*found, strict=True))
+
+
+def _meeting(numbered: DataFrame, max_dist: float, block: int):
+    """The rows of all cells with their features, grouped by cell, and the order of coordinates."""
+    rows = numbered.select(F.col("id").alias("key"), "features")
+    order = rare_first(rows)
+    return _cells(rows, max_dist, order, block).join(rows, "key").groupBy("coord", "row", "col"), order
+
+
+def close_pairs(numbered: DataFrame, max_dist: float, block: int = BLOCK) -> DataFrame:
+    """``a, b, d`` (``a < b``) for all pairs of vectors within ``max_dist`` (below 1)."""
+    cells, order = _meeting(numbered, max_dist, block)
+
+    def pairs(cell: pd.DataFrame) -> pd.DataFrame:
+        a, b, d = _close(cell, max_dist, order)
+        return pd.DataFrame({"a": a, "b": b, "d": d})
+
+    return cells.applyInPandas(pairs, "a bigint, b bigint, d double")
+
+
+def close_links(numbered: DataFrame, max_dist: float, block: int = BLOCK) -> DataFrame:
+    """``a, b, pairs``: stars that connect what close pairs connect, and how many pairs they stand for.
+
+    A cell returns at most a row per vector, however many of its vectors are close to each other.
+    """
+    cells, order = _meeting(numbered, max_dist, block)
+
+    def stars(cell: pd.DataFrame) -> pd.DataFrame:
+        a, b, _ = _close(cell, max_dist, order)
+        names, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        left, right = at[: len(a)], at[len(a) :]
+        centre = joined_up(len(names), left, right)
+        return pd.DataFrame({"a": names[centre], "b": names, "pairs": np.bincount(left, minlength=len(names))})
+
+    return cells.applyInPandas(stars, "a bigint, b bigint, pairs bigint")
+
+
+def merged(points: np.ndarray, max_dist: float) -> np.ndarray:
+    """Complete linkage of a few thousand vectors by nearest-neighbour chains: the first member of each one's cluster.
+
+    Only distances within ``max_dist`` are kept. A merged cluster keeps those to clusters that both parts
+    were close to; clusters that are each other's nearest stay so whatever else merges.
+    """
+    n = len(points)
+    near: list[dict[int, float]] = [{} for _ in range(n)]
+    for low in range(0, n, 512):
+        d = np.round(distances(points[low : low + 512], points), DIGITS)
+        for i, j in zip(*(x.tolist() for x in np.nonzero(d <= max_dist)), strict=True):
+            if low + i < j:
+                near[low + i][j] = near[j][low + i] = float(d[i, j])
+    into = list(range(n))
+
+    def nearest_of(c: int) -> int:
+        around = near[c]
+        least = min(around.values())
+        return min(j for j, d in around.items() if d == least)
+
+    for start in range(n):
+        chain = [start]
+        while chain:
+            c = chain[-1]
+            if into[c] != c or not near[c]:
+                chain.pop()
+                continue
+            other = nearest_of(c)
+            if len(chain) > 1 and chain[-2] == other:
+                del chain[-2:]
+                a, b = min(c, other), max(c, other)
+                mine, theirs = near[a], near[b]
+                both = {x: max(d, theirs[x]) for x, d in mine.items() if x in theirs}
+                for x in mine:
+                    if x in both:
+                        near[x][a] = both[x]
+                    elif x != b:
+                        del near[x][a]
+                for x in theirs:
+                    if x != a:
+                        del near[x][b]
+                near[a], near[b], into[b] = both, {}, a
+                if not chain and into[start] == start:
+                    chain.append(start)
+            else:
+                chain.append(other)
+    out = np.arange(n)
+    for i in range(n):  # a cluster's name is below its members'
+        out[i] = out[into[i]] if into[i] != i else i
+    return out
+
+
+def _solved(max_dist: float):
+    """Clusters of whole components; rows are sorted by component and id."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+
+        def done() -> pd.DataFrame:
+            rows = pd.concat(held)
+            ids = rows["id"].to_numpy()
+            return pd.DataFrame({"id": ids, "cluster": ids[merged(np.vstack(rows["features"]), max_dist)]})
+
+        for batch in batches:
+            for _, part in batch.groupby("component", sort=True):
+                if held and held[0]["component"].iloc[0] != part["component"].iloc[0]:
+                    yield done()
+                    held = []
+                held.append(part)
+        if held:
+            yield done()
+
+    return run
+
+
+def _merged_in_rounds(numbered: DataFrame, max_dist: float, block: int) -> DataFrame:
+    """``id, cluster`` without a table of pairs: in every round clusters that are each other's nearest merge.
+
+    All members of close clusters are close, so two of them meet where their first members meet. A cell
+    keeps the nearest cluster of each of its clusters, a row per cluster.
+    """
+    order = rare_first(numbered)
+    members = stage(numbered.select("id", F.col("id").alias("cluster"), "features"), "members")
+
     def compare(cell: pd.DataFrame) -> pd.DataFrame:
-        coord, row, col = (int(cell[c].iloc[0]) for c in ("coord", "row", "col"))
+        row, col = (int(cell[c].iloc[0]) for c in ("row", "col"))
+        cell = cell.sort_values(["key", "id"])
         left, right = cell[cell["own"] == row], cell[cell["own"] == col]
-        empty = pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64"), "d": pd.Series(dtype="float64")})
-        if left.empty or right.empty:
-            return empty
-        d = distances(np.vstack(left["features"]), np.vstack(right["features"]))
-        x, y = left["id"].to_numpy()[:, None], right["id"].to_numpy()[None, :]
-        near = (d <= max_dist) & ((x < y) if row == col else (x != y))
-        i, j = np.nonzero(near)
-        if not i.size:
-            return empty
-        # A pair that meets on several coordinates is reported on the first one only.
-        leads_l, leads_r = left["lead"].to_numpy(), right["lead"].to_numpy()
-        first = np.array([np.intersect1d(leads_l[p], leads_r[q])[0] == coord for p, q in zip(i, j, strict=True)])
-        i, j = i[first], j[first]
-        ids = np.sort(np.column_stack([x[i, 0], y[0, j]]), axis=1)
-        return pd.DataFrame({"a": ids[:, 0], "b": ids[:, 1], "d": d[i, j]})
-
-    return cells.groupBy("coord", "row", "col").applyInPandas(compare, "a bigint, b bigint, d double")
-
-
-def complete_linkage(numbered: DataFrame, max_dist: float) -> DataFrame:
-    """``id, cluster``: complete-linkage clusters cut at ``max_dist``.
-
-    In every round, clusters that are each other's nearest neighbour merge; a merged pair is
-    as far apart as its farthest members and survives only if all of those pairs were close.
-    """
-    members = numbered.select("id", F.col("id").alias("cluster"))
-    pairs = stage(close_pairs(numbered, max_dist).withColumn("links", F.lit(1).cast("bigint")), "pairs")
-    sizes = None
-    while not pairs.isEmpty():
-        key = F.struct("d", "a", "b")
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("cluster"), key.alias("pair"))
-        nearest = ends.groupBy("cluster").agg(F.min("pair").alias("pair"))
-        merges = stage(
-            nearest.groupBy("pair")
-            .agg(F.count(F.lit(1)).alias("n"))
-            .where("n = 2")
-            .select(F.col("pair.b").alias("gone"), F.col("pair.a").alias("into")),
-            "merges",
-        )
+        out = [pd.DataFrame({"cluster": [], "d": [], "other": []}).astype({"cluster": "int64", "other": "int64"})]
+        if len(left) and len(right):
+            x, first_x = np.unique(left["key"].to_numpy(), return_index=True)
+            y, first_y = np.unique(right["key"].to_numpy(), return_index=True)
+            a, b = np.vstack(left["features"]), np.vstack(right["features"])
+            least, who = np.full(len(y), np.inf), np.full(len(y), -1)
+            ends = np.append(first_x[1:], len(a))
+            low = 0
+            while low < len(x):  # some whole clusters at a time
+                high = max(low + 1, int(np.searchsorted(ends, first_x[low] + 512, side="right")))
+                d = np.round(distances(a[first_x[low] : ends[high - 1]], b), DIGITS)
+                d = np.maximum.reduceat(d, first_x[low:high] - first_x[low], axis=0)
+                d = np.maximum.reduceat(d, first_y, axis=1)
+                d[(d > max_dist) | (x[low:high, None] == y)] = np.inf
+                at = d.argmin(axis=1)
+                best = d[np.arange(len(d)), at]
+                keep = np.isfinite(best)
+                out.append(pd.DataFrame({"cluster": x[low:high][keep], "d": best[keep], "other": y[at[keep]]}))
+                at = d.argmin(axis=0)
+                best = d[at, np.arange(len(y))]
+                closer = best < least
+                least[closer], who[closer] = best[closer], x[low + at[closer]]
+                low = high
+            keep = np.isfinite(least)
+            out.append(pd.DataFrame({"cluster": y[keep], "d": least[keep], "other": who[keep]}))
+        return pd.concat(out)
+
+    while True:
+        heads = members.where("id = cluster").select(F.col("id").alias("key"), "features")
+        cells = _cells(heads, max_dist, order, block).join(members.withColumnRenamed("cluster", "key"), "key")
+        found = cells.groupBy("coord", "row", "col").applyInPandas(compare, "cluster bigint, d double, other bigint")
+        nearest_ = found.groupBy("cluster").agg(F.min(F.struct("d", "other")).alias("n"))
+        pair = [F.least("cluster", "n.other").alias("into"), F.greatest("cluster", "n.other").alias("gone")]
+        merges = stage(nearest_.select(*pair).groupBy("into", "gone").count().where("count = 2"), "merges")
+        if merges.isEmpty():
+            return members.select("id", "cluster")
         members = stage(
-            members.join(merges, F.col("cluster") == F.col("gone"), "left")
-            .select("id", F.coalesce("into", "cluster").alias("cluster")),
+            members.join(merges, F.col("cluster") == F.col("gone"), "left").select(
+                "id", F.coalesce("into", "cluster").alias("cluster"), "features"
+            ),
             "members",
         )
-        sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
-        moved = (
-            pairs.join(merges.select(F.col("gone").alias("a"), F.col("into").alias("_a")), "a", "left")
-            .join(merges.select(F.col("gone").alias("b"), F.col("into").alias("_b")), "b", "left")
-            .select(F.coalesce("_a", "a").alias("x"), F.coalesce("_b", "b").alias("y"), "d", "links")
-            .where("x <> y")
-            .groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-            .agg(F.max("d").alias("d"), F.sum("links").alias("links"))
-        )
-        pairs = stage(
-            moved.join(sizes.select(F.col("cluster").alias("a"), F.col("n").alias("na")), "a")
-            .join(sizes.select(F.col("cluster").alias("b"), F.col("n").alias("nb")), "b")
-            .where("links = na * nb")
-            .select("a", "b", "d", "links"),
-            "pairs",
-        )
-    return members
+
+
+def complete_linkage(
+    numbered: DataFrame,
+    max_dist: float,
+    block: int = BLOCK,
+    solve_rows: int = SOLVE_ROWS,
+    solve_pairs: int = SOLVE_PAIRS,
+) -> DataFrame:
+    """``id, cluster``: complete-linkage clusters cut at ``max_dist``; ties go to the lower ids.
+
+    Clusters never reach over a connected component of the close pairs. A component of bounded size is
+    solved in one task, a larger one in rounds over the whole table; neither writes its pairs.
+    """
+    links = stage(close_links(numbered, max_dist, block), "links")
+    found = stage(components(links), "components")
+    pairs = links.join(found, F.col("b") == F.col("id")).groupBy("component").agg(F.sum("pairs").alias("pairs"))
+    rows = found.groupBy("component").agg(F.count(F.lit(1)).alias("rows"))
+    fits = (F.col("rows") <= solve_rows) & (F.col("pairs") <= solve_pairs)
+    sizes = rows.join(pairs, "component").select("component", fits.alias("fits"))
+    placed = stage(numbered.select("id", "features").join(found.join(sizes, "component"), "id", "left"), "placed")
+    small = placed.where("fits").repartition("component").sortWithinPartitions("component", "id")
+    out = placed.where("component is null").select("id", F.col("id").alias("cluster"))
+    out = out.unionByName(
+        small.select("id", "component", "features").mapInPandas(_solved(max_dist), "id bigint, cluster bigint")
+    )
+    large = placed.where("not fits").select("id", "features")
+    return out if large.isEmpty() else out.unionByName(_merged_in_rounds(large, max_dist, block))
 
 
 def representatives(clustered: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from emberlog.operators import classifiers, clustering, gram, iforest, invariants
 from emberlog.operators.clustering import ClusterModel
+from emberlog.operators.components import components
 from emberlog.operators.iforest import ForestModel
 from emberlog.operators.invariants import InvariantModel
 from emberlog.operators.pca import PcaModel, component_count
@@ -134,26 +135,62 @@ def test_close_pairs_of_signed_vectors(spark, counts):
     assert got == {(i, j) for i, j in combinations(range(len(points)), 2) if distance(points[i], points[j]) <= 0.3}
 
 
-def test_complete_linkage_equals_merging_one_by_one(spark):
-    rng = np.random.default_rng(4)
-    points = rng.random((25, 4))
-    limit = 0.08
+def one_by_one(points, limit):
+    """Complete linkage: the closest pair of clusters merges, ties by the lowest members."""
     clusters = [{i} for i in range(len(points))]
+    d = np.round(clustering.distances(points, points), clustering.DIGITS)
     while True:
         best = None
         for p, q in combinations(range(len(clusters)), 2):
-            d = max(distance(points[i], points[j]) for i in clusters[p] for j in clusters[q])
-            if d <= limit and (best is None or d < best[0]):
-                best = (d, p, q)
+            far = max(d[i, j] for i in clusters[p] for j in clusters[q])
+            key = (far, *sorted((min(clusters[p]), min(clusters[q]))))
+            if far <= limit and (best is None or key < best[0]):
+                best = (key, p, q)
         if best is None:
-            break
+            return sorted(map(sorted, clusters))
         clusters[best[1]] |= clusters[best[2]]
         del clusters[best[2]]
+
+
+@pytest.mark.parametrize(
+    "options", [{}, {"block": 7}, {"solve_rows": 0}, {"solve_rows": 0, "block": 5}, {"solve_pairs": 12, "block": 9}]
+)
+def test_complete_linkage_equals_merging_one_by_one(spark, options):
+    """In one task, in rounds and mixed, with many equal distances, zero vectors and vectors far from all."""
+    rng = np.random.default_rng(4)
+    points = np.vstack([rng.integers(0, 3, (40, 5)), rng.integers(0, 9, (8, 5)), np.zeros((2, 5)), 7 * np.eye(5)])
+    points = np.unique(points, axis=0).astype(float)
     numbered = frame(spark, points).select(F.col("first_line").alias("id"), "features")
-    got = {}
-    for r in clustering.complete_linkage(numbered, limit).collect():
-        got.setdefault(r["cluster"], set()).add(r["id"])
-    assert sorted(map(sorted, got.values())) == sorted(map(sorted, clusters))
+    for limit in (0.08, 0.3):
+        got = {}
+        for r in clustering.complete_linkage(numbered, limit, **options).collect():
+            assert r["cluster"] <= r["id"]
+            got.setdefault(r["cluster"], set()).add(r["id"])
+        assert all(min(ids) == name for name, ids in got.items())
+        assert sorted(map(sorted, got.values())) == one_by_one(points, limit)
+
+
+def test_a_dense_group_sends_no_pairs(spark):
+    """300 vectors that are all close: at most a row per vector and cell, not 45,000 pairs."""
+    rng = np.random.default_rng(8)
+    points = 10 + rng.random((300, 3))
+    numbered = frame(spark, points).select(F.col("first_line").alias("id"), "features").cache()
+    links = clustering.close_links(numbered, 0.2, block=100)
+    rows = links.agg(F.count(F.lit(1)).alias("n"), F.sum("pairs").alias("pairs")).first()
+    assert rows["pairs"] == 300 * 299 // 2 and rows["n"] <= 6 * 300
+    assert clustering.complete_linkage(numbered, 0.2).select("cluster").distinct().count() == 1
+
+
+def test_components(spark):
+    rng = random.Random(1)
+    links = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(i, i + 1) for i in range(300, 340)]
+    want = {x: x for link in links for x in link}
+    for _ in range(len(want)):
+        for a, b in links:
+            want[a] = want[b] = min(want[a], want[b])
+    table = spark.createDataFrame(links, "a bigint, b bigint")
+    for bound in (0, 10_000):
+        assert {r.id: r.component for r in components(table, bound).collect()} == want
 
 
 def test_nearest_over_several_stripes(spark, counts):
