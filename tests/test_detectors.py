@@ -93,11 +93,85 @@ def test_longest_stops_the_search(spark):
     assert InvariantModel.fit(vectors, 3, longest=2).invariants == {}
 
 
+def mined_one_by_one(x, percentage, epsilon, longest=None):
+    """The search in its plain order: every set tested on all rows, sets closed as invariants are found."""
+    n, k = x.shape
+    u = np.linalg.svd(x.T @ x)[0]
+    wanted = 0
+    for i in range(k - 1, -1, -1):
+        if np.sum(np.abs(x @ u[:, i]) < epsilon) / n < percentage:
+            break
+        wanted += 1
+    found = {(c,): [1.0] for c in range(k) if not x[:, c].any()}
+    open_ = {(c,) for c in range(k)} - set(found)
+    failed, length = sorted(open_), 2
+    while failed and not (longest and length > longest):
+        joined = sorted({tuple(sorted({*a, *b})) for a, b in combinations(failed, 2) if len({*a, *b}) == length})
+        whole = lambda s: all(p in open_ for p in combinations(s, length - 1))  # noqa: E731, B023
+        open_ |= {s for s in joined if whole(s)}
+        failed = []
+        for cols in joined:
+            if cols not in open_ or not whole(cols):
+                open_.discard(cols)
+                continue
+            theta = np.linalg.svd(x[:, cols].T @ x[:, cols])[0][:, -1]
+            weights = None
+            for scale in (1, 2, 3) if np.all(np.abs(theta) >= 1e-6) else ():
+                least = int(np.argmin(np.abs(theta)))
+                w = np.array([round(v * (scale / theta[least])) for v in theta], dtype=float)
+                w[least] = scale
+                if np.all(w != 0) and np.sum(np.abs(x[:, cols] @ w) < 1e-8) >= percentage * n:
+                    weights = w.tolist()
+                    break
+            if weights is None:
+                failed.append(cols)
+            else:
+                for earlier in found:
+                    both = set(cols) | set(earlier)
+                    open_ -= {tuple(sorted(both - {c})) for c in set(cols) & set(earlier)}
+                found[cols] = weights
+                open_.discard(cols)
+            if len(found) >= wanted:
+                return wanted, found
+        length += 1
+    return wanted, found
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_mining_equals_the_plain_search(spark, seed):
+    rng = np.random.default_rng(seed)
+    a, b, c = rng.integers(0, 4, (3, 70))
+    noise = rng.integers(0, 3, 70)
+    columns = [a, b, a + b, c, c + a, 2 * b, noise, np.zeros(70), a + (rng.random(70) < 0.05)]
+    x = np.column_stack([columns[i] for i in rng.permutation(9)[: 5 + seed % 4]]).astype(float)
+    if seed == 5:
+        x = rng.integers(0, 3, (70, 6)).astype(float)  # nothing holds
+    percentage, epsilon = (0.98, 0.5) if seed % 2 else (0.5, 0.8)
+    wanted, found = mined_one_by_one(x, percentage, epsilon)
+    model = InvariantModel.fit(frame(spark, x).select("features", "weight"), x.shape[1], percentage, epsilon)
+    assert model.dimension == wanted and list(model.invariants) == list(found)
+    for cols, weights in found.items():
+        assert model.invariants[cols] in (weights, [-w for w in weights])
+
+
+def test_mining_of_many_columns(spark):
+    """300 columns: 44,850 pairs are candidates, but hardly any leaves the bounds, and none passes the driver."""
+    rng = np.random.default_rng(3)
+    x = rng.poisson(1.5, (150, 300)).astype(float)
+    x[:, 299] = x[:, 7]
+    vectors = frame(spark, x).select("features", "weight")
+    moments = invariants.Moments.of(vectors, 300)
+    pairs = invariants._next_sets(spark, None, list(range(300)), 2)
+    assert pairs.count() == 44_850
+    assert invariants._tries(pairs, moments, 150 * 0.02).count() < 1_000
+    assert [tuple(r["items"]) for r in invariants.holding(vectors, pairs, moments, 0.98).collect()] == [(7, 299)]
+
+
 def test_validate_counts_every_candidate(spark, counts):
     vectors = frame(spark, counts).select("features", "weight")
     g = counts.T @ counts
     sets = [c for n in (2, 3) for c in combinations(range(5), n)]
-    got = invariants.validate(vectors, g, len(counts), sets, 0.3, block=7)
+    got = invariants.validate(vectors, g, len(counts), sets, 0.3, stripe_bytes=300)
     expected = {}
     for cols in sets:
         for scale in invariants.SCALES:
