@@ -28,13 +28,9 @@ from emberlog.session import stage
 H = views.H
 
 
-def _type_rows(spark, sf):
-    return fixtures.day_rows(spark, sf).withColumn("event", F.col("event_type"))
-
-
 def _vectors(spark, sf):
-    """``session_id, first_line, n_events, label, split, features``: counts per event type, written once."""
-    rows = _type_rows(spark, sf)
+    """``session_id, first_line, n_events, label, split, features``: counts per event, written once."""
+    rows = fixtures.day_rows(spark, sf)
     vocab = vocabulary_list(seqwin.vocabulary(rows))
     heads = split.split_uniform(views.day_heads(spark, sf), views.TRAIN, views.TEST)
     wide = features.count_vectors(features.event_counts(rows), vocab).join(heads, "session_id")
@@ -115,7 +111,7 @@ def inv_zero_columns(spark, sf):
 
 
 def inv_validate(spark, sf):
-    """All column pairs and triples of event types with the weights that hold often enough."""
+    """All column pairs and triples of events with the weights that hold often enough."""
     from itertools import combinations
 
     vocab, vectors = _vectors(spark, sf)
@@ -135,12 +131,12 @@ def inv_mine(spark, sf):
 
 
 def inv_predict(spark, sf):
-    """Fixed invariants: as many clicks as views, and signups + purchases = 2 errors."""
+    """Fixed invariants: as many cheap clicks as views, and signups + purchases = 2 errors of the next price."""
     vocab, vectors = _vectors(spark, sf)
     place = {v: i for i, v in enumerate(vocab)}
     fixed = {
-        (place["click"], place["view"]): [1.0, -1.0],
-        (place["error"], place["purchase"], place["signup"]): [-2.0, 1.0, 1.0],
+        (place["click:0"], place["view:0"]): [1.0, -1.0],
+        (place["error:1"], place["purchase:1"], place["signup:1"]): [-2.0, 1.0, 1.0],
     }
     scored = InvariantModel(fixed).predict(_distinct(vectors))
     return _per_session(vectors, scored, "pred").select("session_id", "pred")
@@ -394,16 +390,16 @@ QUERIES = {"gram": gram_counts} | {
     )
 }
 
-TYPE_COUNTS = """tc as (select session_id, c.event_type, count(d.line_no) as x
+EVENT_COUNTS = """tc as (select session_id, c.event, count(d.line_no) as x
     from (select distinct session_id from day_rows) s
-    join (select unnest(['click', 'error', 'purchase', 'signup', 'view']) as event_type) c on true
-    left join day_rows d using (session_id, event_type) group by session_id, c.event_type)"""
+    join (select distinct event from day_rows) c on true
+    left join day_rows d using (session_id, event) group by session_id, c.event)"""
 
-NEAREST = """vec as (select session_id, n_events, list(x order by event_type) as v
+NEAREST = """vec as (select session_id, n_events, list(x order by event) as v
     from tc join day_seq using (session_id) group by session_id, n_events),
-mean as (select n_events, list(m order by event_type) as m from (
-    select n_events, event_type, avg(x) as m from tc join day_seq using (session_id)
-    group by n_events, event_type) group by n_events),
+mean as (select n_events, list(m order by event) as m from (
+    select n_events, event, avg(x) as m from tc join day_seq using (session_id)
+    group by n_events, event) group by n_events),
 dist as (select session_id, v.n_events as n, m.n_events as rep,
     1 - list_dot_product(v.v::double[], m.m) / (sqrt(list_dot_product(v.v::double[], v.v::double[]))
         * sqrt(list_dot_product(m.m, m.m)) + 1e-8::double) as raw from vec v, mean m),
@@ -411,18 +407,18 @@ near as (select session_id, min(case when raw < 1e-8::double then 0 else raw end
     group by session_id)"""
 
 
-def _type_sql(select: str, *steps: str) -> str:
-    return sql("", "day_rows", "day_seq").rstrip() + ",\n" + ",\n".join((TYPE_COUNTS, *steps)) + "\n" + select
+def _count_sql(select: str, *steps: str) -> str:
+    return sql("", "day_rows", "day_seq").rstrip() + ",\n" + ",\n".join((EVENT_COUNTS, *steps)) + "\n" + select
 
 
 ORACLE = {
-    "gram": _type_sql(
-        """select a.event_type as event_a, b.event_type as event_b, cast(sum(a.x * b.x) as bigint) as g
-        from tc a join tc b using (session_id) group by a.event_type, b.event_type"""
+    "gram": _count_sql(
+        """select a.event as event_a, b.event as event_b, cast(sum(a.x * b.x) as bigint) as g
+        from tc a join tc b using (session_id) group by a.event, b.event"""
     ),
-    "pca_score_fixed": _type_sql(
+    "pca_score_fixed": _count_sql(
         """select session_id, round(spe, 6) + 0.0 as spe, cast(spe > 2.1::double as int) as pred from (
-            select session_id, sum(x * x) - sum(x) * sum(x) / 5 as spe from tc group by session_id)"""
+            select session_id, sum(x * x) - sum(x) * sum(x) / count(*) as spe from tc group by session_id)"""
     ),
     "inv_zero_columns": sql(
         """select event, count(session_id) as n_rows, cast(count(session_id) = 0 as int) as is_zero
@@ -430,19 +426,19 @@ ORACLE = {
         left join (select distinct session_id, event from day_rows) using (event) group by event""",
         "day_rows",
     ),
-    "inv_predict": _type_sql(
-        """select session_id, cast(abs(sum(case event_type when 'click' then x when 'view' then -x else 0 end))
-            + abs(sum(case event_type when 'error' then -2 * x when 'purchase' then x when 'signup' then x
+    "inv_predict": _count_sql(
+        """select session_id, cast(abs(sum(case event when 'click:0' then x when 'view:0' then -x else 0 end))
+            + abs(sum(case event when 'error:1' then -2 * x when 'purchase:1' then x when 'signup:1' then x
                 else 0 end)) > 1e-6 as int) as pred from tc group by session_id"""
     ),
-    "clu_distance": _type_sql(
+    "clu_distance": _count_sql(
         """select session_id, round(case when raw < 1e-8::double then 0 else raw end, 6) + 0.0 as distance
         from dist where n = rep""",
         NEAREST,
     ),
-    "clu_nearest": _type_sql("select session_id, round(distance, 6) + 0.0 as distance from near", NEAREST),
-    "clu_predict": _type_sql("select session_id, cast(distance > 0.3 as int) as pred from near", NEAREST),
-    "clu_pairs": _type_sql(
+    "clu_nearest": _count_sql("select session_id, round(distance, 6) + 0.0 as distance from near", NEAREST),
+    "clu_predict": _count_sql("select session_id, cast(distance > 0.3 as int) as pred from near", NEAREST),
+    "clu_pairs": _count_sql(
         """select x, y, round(d, 6) + 0.0 as d from (
             select a.t as x, b.t as y, greatest(1 - list_dot_product(a.v, b.v)
                 / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v)) + 1e-8::double), 0) as d
@@ -468,12 +464,12 @@ ORACLE = {
 
 DIRECTIONS = """dirs as (select array_to_string([format('{:.4f}', x / list_sum(v)) for x in v], ',') as direction,
     v from vec)"""
-ORACLE["clu_directions"] = _type_sql(
+ORACLE["clu_directions"] = _count_sql(
     """select direction, count(distinct v) as n_vectors, count(*) as n_sessions from dirs group by direction""",
     NEAREST,
     DIRECTIONS,
 )
-ORACLE["clu_online_directions"] = _type_sql(
+ORACLE["clu_online_directions"] = _count_sql(
     "select direction, count(*) as n_sessions from dirs group by direction", NEAREST, DIRECTIONS
 )
 ORACLE["report_fixed"] = f"""select model, tp, tn, fp, fn,
