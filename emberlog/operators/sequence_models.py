@@ -1,4 +1,4 @@
-"""Trained sequence models: per-position softmax for the next event, n-gram classifier, plug-in scorer."""
+"""Trained sequence models: per-position softmax for the next event, n-gram presence, plug-in scorer."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, VectorAssembler
+from pyspark.ml.feature import CountVectorizerModel, VectorAssembler
 from pyspark.ml.functions import predict_batch_udf, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,7 +20,6 @@ from emberlog.operators.seqwin import score_distinct
 
 # Gram lengths of the supervised classifier.
 GRAM_SIZES = (3, 4, 5)
-MAX_GRAMS = 1 << 24
 
 
 def _position_tokens(contexts: DataFrame) -> DataFrame:
@@ -113,34 +112,6 @@ def gram_presence(sequences: DataFrame) -> DataFrame:
     return sequences.withColumn("_real", real).withColumn("grams", grams).drop("_real", "events")
 
 
-@dataclass
-class GramClassifier:
-    """Session label from n-gram presence (taking the maximum over time is presence)."""
-
-    model: PipelineModel
-
-    @classmethod
-    def fit(cls, train: DataFrame, reg_param: float = 0.01, max_iter: int = 50) -> GramClassifier:
-        """``train``: ``grams, label``."""
-        table = train.select("grams", F.col("label").cast("double").alias("label")).persist(StorageLevel.MEMORY_AND_DISK)
-        stages = [
-            CountVectorizer(inputCol="grams", outputCol="_v", binary=True, vocabSize=MAX_GRAMS),
-            LogisticRegression(featuresCol="_v", predictionCol="_pred", regParam=reg_param, maxIter=max_iter),
-        ]
-        try:
-            model = Pipeline(stages=stages).fit(table)
-        finally:
-            table.unpersist()
-        if len(model.stages[0].vocabulary) >= MAX_GRAMS:
-            raise ValueError(f"more than {MAX_GRAMS} distinct grams")
-        return cls(model)
-
-    def predict(self, sequences: DataFrame) -> DataFrame:
-        """Add ``pred``."""
-        out = self.model.transform(sequences)
-        return out.select(*sequences.columns, F.col("_pred").cast("int").alias("pred"))
-
-
 def score_with(
     wins: DataFrame, encoded: str, make_predict: Callable, width: int, batch_size: int = 4096
 ) -> DataFrame:

@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from emberlog.functions.sequences import PAD, cosine_distance, index_of
 from emberlog.operators import classifiers, clustering, evaluate, features, gram, invariants, seqwin, split
 from emberlog.operators.clustering import ClusterModel
+from emberlog.operators.gram_classifier import GramClassifier
 from emberlog.operators.iforest import ForestModel
 from emberlog.operators.invariants import InvariantModel
 from emberlog.operators.nextevent import vocabulary_list
 from emberlog.operators.pca import PcaModel
 from emberlog.operators.sequence_models import (
-    GramClassifier,
     NextEventSoftmax,
     gram_presence,
     linear_predictor,
@@ -370,6 +370,14 @@ def ngram_classify(spark, sf):
     return model.predict(grams.where("split = 'test'")).select("session_id", "label", "pred")
 
 
+def ngram_fixed(spark, sf):
+    """The verdicts of fixed weights: one for each gram by its length, whatever the grams are."""
+    grams = stage(_grams(spark, sf), "grams")
+    weights = grams.select(F.explode("grams").alias("gram")).distinct().withColumn("weight", (F.length("gram") % 7 - 3) / 8.0)
+    model = GramClassifier(weights, 0.0625)
+    return model.margin(grams).select("session_id", "label", "margin", (F.col("margin") > 0).cast("int").alias("pred"))
+
+
 def score_udf(spark, sf):
     """A plugged-in predictor over index-encoded windows: here a weighted sum of the slots."""
     vocab = vocabulary_list(seqwin.vocabulary(fixtures.day_rows(spark, sf)))
@@ -386,7 +394,7 @@ QUERIES = {"gram": gram_counts} | {
         pca_fit, pca_score, pca_score_fixed, inv_dimension, inv_zero_columns, inv_validate, inv_mine, inv_predict,
         clu_distance, clu_nearest, clu_predict, clu_pairs, clu_offline, clu_representatives, clu_bootstrap,
         clu_online, clu_directions, clu_online_directions, report_fixed, ifo_fit, ifo_predict, lr_predict, svm_predict, svm_l1_predict, dt_predict, model_report,
-        next_softmax, next_softmax_counts, ngram_features, ngram_classify, score_udf,
+        next_softmax, next_softmax_counts, ngram_features, ngram_classify, ngram_fixed, score_udf,
     )
 }
 
@@ -496,3 +504,12 @@ ORACLE["ngram_features"] = (
             select session_id, label, split, events[1:50] as e, unnest([3, 4, 5]) as n
             from day_seq join parts using (session_id, label)))"""
 )
+
+ORACLE["ngram_fixed"] = (
+    sql("", "day_seq").rstrip()
+    + f""",
+grams as ({ORACLE["ngram_features"]})
+select session_id, label, margin, cast(margin > 0 as int) as pred from (
+    select session_id, s.label, 0.0625::double + coalesce(sum((length(gram) % 7 - 3) / 8.0::double), 0) as margin
+    from day_seq s left join grams using (session_id) group by session_id, s.label)"""
+)
