@@ -19,17 +19,16 @@ def pad_right(events: Column, length: int) -> Column:
     return F.slice(F.concat(events, F.array_repeat(F.lit(PAD), missing)), 1, length)
 
 
-def index_of(events: Column, vocab: list[str]) -> Column:
-    """Vocabulary index of each event, -1 where unknown."""
-    pairs = [F.lit(x) for i, event in enumerate(vocab) for x in (event, i)]
-    table = F.create_map(*pairs)
-    return F.transform(events, lambda e: F.coalesce(F.try_element_at(table, e), F.lit(-1)))
+def dense_vector(entries: Column, size: int) -> Column:
+    """Doubles at ``size`` places from an array of (``idx``, ``x``) that rises in ``idx``; 0 elsewhere."""
+    zeros = lambda n: F.array_repeat(F.lit(0.0), n.cast("int"))
 
+    def part(e: Column, i: Column) -> Column:
+        before = F.coalesce(F.get(entries, i - 1)["idx"], F.lit(-1))
+        return F.concat(zeros(e["idx"] - before - 1), F.array(e["x"]))
 
-def count_vector(events: Column, vocab: list[str]) -> Column:
-    """How often each vocabulary event occurs; padding and unknown events are not counted."""
-    symbols = F.array(*[F.lit(v) for v in vocab if v != PAD])
-    return F.transform(symbols, lambda s: F.size(F.filter(events, lambda e: e == s)))
+    last = F.coalesce(F.try_element_at(entries, F.lit(-1))["idx"], F.lit(-1))
+    return F.concat(F.flatten(F.transform(entries, part)), zeros(F.lit(size - 1) - last))
 
 
 def one_hot_label(label: Column) -> Column:

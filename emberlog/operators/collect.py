@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberlog.session import small_rows
+from emberlog.operators.lookup import encoded
 
 # Bucket names.
 OUTCOMES = ("tp", "tn", "fp", "fn")
@@ -31,15 +31,10 @@ def sample_outcomes(tagged: DataFrame, sample: int | None = 100) -> DataFrame:
 
 
 def expand_templates(chunks: DataFrame, templates: DataFrame) -> DataFrame:
-    """Events as ``"<id> <template>"``; an id without template is an error."""
-    pairs = [F.lit(x) for r in small_rows(templates) for x in (r["EventId"], r["EventTemplate"])]
-    table = F.create_map(*pairs)
-
-    def named(e):
-        unknown = F.raise_error(F.concat(F.lit("no template for event "), e)).cast("string")
-        return F.concat_ws(" ", e, F.coalesce(F.try_element_at(table, e), unknown))
-
-    return chunks.withColumn("events", F.transform("events", named))
+    """Events of chunks (``session_id, chunk``) as ``"<id> <template>"``; an id without template is an error."""
+    named = F.concat_ws(" ", "EventId", "EventTemplate").alias("value")
+    unknown = F.raise_error(F.concat(F.lit("no template for event "), F.col("event"))).cast("string")
+    return encoded(chunks, "events", templates.select(F.col("EventId").alias("event"), named), ["session_id", "chunk"], unknown)
 
 
 def render(chunks: DataFrame, one_event_per_line: bool = False) -> DataFrame:

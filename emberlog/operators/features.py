@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from emberlog.functions.sequences import sigmoid_nonzero
-from emberlog.session import small_rows, stage
+from emberlog.functions.sequences import dense_vector, sigmoid_nonzero
+from emberlog.operators.lookup import looked_up
+from emberlog.session import SMALL_ROWS, stage
 
 OOV = "_OOV"
 
@@ -33,9 +34,13 @@ def vocabulary_with_df(counts: DataFrame, min_count: int = 1) -> DataFrame:
 
 def oov_counts(counts: DataFrame, vocab: DataFrame) -> DataFrame:
     """``session_id, oov``: distinct events of each session outside the vocabulary (0 included)."""
-    known = vocab.select("event", F.lit(1).alias("_known"))
     unknown = F.col("_known").isNull().cast("bigint")
-    return counts.join(known, "event", "left").groupBy("session_id").agg(F.sum(unknown).alias("oov"))
+    return _marked(counts, vocab).groupBy("session_id").agg(F.sum(unknown).alias("oov"))
+
+
+def _marked(counts: DataFrame, vocab: DataFrame, *columns: str) -> DataFrame:
+    """Counts with ``_known`` (null for an event outside the vocabulary) and columns of the vocabulary."""
+    return looked_up(counts, vocab.select("event", *columns, F.lit(1).alias("_known")), "event")
 
 
 @dataclass
@@ -56,7 +61,7 @@ class FeatureModel:
         oov: bool = False,
         min_count: int = 1,
     ) -> FeatureModel:
-        vocab = vocabulary_with_df(counts, min_count if oov else 1)
+        vocab = stage(vocabulary_with_df(counts, min_count if oov else 1), "vocabulary")
         long = _with_oov(counts, vocab, oov)
         seen = long.groupBy("event").agg(F.count(F.lit(1)).alias("df"), F.sum("cnt").alias("total"))
         columns = vocab.select("event", "idx")
@@ -81,48 +86,62 @@ class FeatureModel:
     def load(cls, spark: SparkSession, path: str, **options) -> FeatureModel:
         return cls(spark.read.parquet(path), **options)
 
+    def _weighted(self, cnt: Column, idf: Column) -> Column:
+        x = cnt * idf
+        return sigmoid_nonzero(x) if self.normalization == "sigmoid" else x
+
     def transform_sparse(self, counts: DataFrame) -> DataFrame:
         """``session_id, event, idx, x`` for non-zero counts; unknown events go to the OOV column."""
         long = _with_oov(counts, self.table.where(F.col("event") != OOV), self.oov)
-        x = F.col("cnt") * F.col("idf")
-        out = long.join(self.table, "event").withColumn("x", x)
-        if self.normalization == "sigmoid":
-            out = out.withColumn("x", sigmoid_nonzero(F.col("x")))
-        return out.select("session_id", "event", "idx", "x")
+        out = looked_up(long, self.table.select("event", "idx", "idf"), "event", "inner")
+        return out.select("session_id", "event", "idx", self._weighted(F.col("cnt"), F.col("idf")).alias("x"))
 
     def transform(self, counts: DataFrame) -> DataFrame:
-        """``session_id, features array<double>``, one slot per fitted column."""
-        columns = sorted(small_rows(self.table), key=lambda r: r["idx"])
-        means = F.array(*[F.lit(float(r["mean"])) for r in columns])
-        slots = self.transform_sparse(counts).groupBy("session_id").agg(
-            F.map_from_entries(F.collect_list(F.struct("idx", "x"))).alias("_x")
+        """``session_id, features array<double>``, one slot per fitted column, in one shuffle by session.
+
+        For more than ``SMALL_ROWS`` columns use ``transform_sparse``.
+        """
+        width = self.table.count()
+        if width > SMALL_ROWS:
+            raise ValueError(f"more than {SMALL_ROWS} columns")
+        marked = _marked(counts, self.table.where(F.col("event") != OOV), "idx", "idf")
+        entry = F.struct("idx", self._weighted(F.col("cnt"), F.col("idf")).alias("x"))
+        unknown = F.col("_known").isNull()
+        grouped = marked.groupBy("session_id").agg(
+            F.sort_array(F.collect_list(F.when(~unknown, entry))).alias("_entries"),
+            F.count_if(unknown).alias("_oov"),
         )
-        every = counts.select("session_id").distinct()
-        found = every.join(slots, "session_id", "left")
-        places = F.sequence(F.lit(0), F.lit(len(columns) - 1)).cast("array<bigint>")
-        features = F.transform(places, lambda i: F.coalesce(F.try_element_at("_x", i), F.lit(0.0)))
-        if self.normalization == "zero-mean":
-            features = F.zip_with(features, means, lambda v, m: v - m)
-        return found.select("session_id", features.alias("features"))
+        if self.oov:
+            # The column of unknown events is the last one.
+            last = self.table.where(F.col("event") == OOV).first()
+            x = self._weighted(F.col("_oov"), F.lit(float(last["idf"]))).alias("x")
+            own = F.array(F.struct(F.lit(last["idx"]).cast("bigint").alias("idx"), x))
+            grouped = grouped.withColumn("_entries", F.when(F.col("_oov") > 0, F.concat("_entries", own)).otherwise(F.col("_entries")))
+        dense = grouped.select("session_id", dense_vector(F.col("_entries"), width).alias("features"))
+        if self.normalization != "zero-mean":
+            return dense
+        # One row: the means in the order of the columns.
+        means = self.table.agg(F.transform(F.sort_array(F.collect_list(F.struct("idx", "mean"))), lambda m: m["mean"]).alias("_means"))
+        both = dense.withColumn("_one", F.lit(1)).join(F.broadcast(means.withColumn("_one", F.lit(1))), "_one")
+        return both.select("session_id", F.zip_with("features", "_means", lambda v, m: v - m).alias("features"))
 
 
 def _with_oov(counts: DataFrame, vocab: DataFrame, oov: bool) -> DataFrame:
     """Counts of vocabulary events, plus one ``OOV`` row per session that has unknown ones."""
-    known = counts.join(vocab.select("event"), "event").select("session_id", "event", "cnt")
+    marked = _marked(counts, vocab)
+    known = marked.where(F.col("_known").isNotNull()).select("session_id", "event", "cnt")
     if not oov:
         return known
-    extra = oov_counts(counts, vocab).where("oov > 0")
-    return known.union(extra.select("session_id", F.lit(OOV).alias("event"), F.col("oov").alias("cnt")))
+    extra = marked.where(F.col("_known").isNull()).groupBy("session_id").agg(F.count(F.lit(1)).alias("cnt"))
+    return known.union(extra.select("session_id", F.lit(OOV).alias("event"), "cnt"))
 
 
 def count_vectors(counts: DataFrame, vocab: list[str]) -> DataFrame:
     """``session_id, features array<double>`` of raw counts over a given vocabulary."""
-    slots = counts.groupBy("session_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("event", "cnt"))).alias("_c")
-    )
-    symbols = F.array(*[F.lit(v) for v in vocab])
-    features = F.transform(symbols, lambda e: F.coalesce(F.try_element_at("_c", e), F.lit(0)).cast("double"))
-    return slots.select("session_id", features.alias("features"))
+    table = counts.sparkSession.createDataFrame([(e, i) for i, e in enumerate(vocab)], "event string, idx bigint")
+    entry = F.when(F.col("_known").isNotNull(), F.struct("idx", F.col("cnt").cast("double").alias("x")))
+    slots = _marked(counts, table, "idx").groupBy("session_id").agg(F.sort_array(F.collect_list(entry)).alias("_entries"))
+    return slots.select("session_id", dense_vector(F.col("_entries"), len(vocab)).alias("features"))
 
 
 def distinct_vectors(vectors: DataFrame, *keep: str) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.functions.sequences import PAD, pad_left, pad_right
+from emberlog.functions.sequences import PAD, dense_vector, pad_left, pad_right
+from emberlog.operators.lookup import encoded, looked_up
 from emberlog.operators.sessions import CHUNK_LEN, HALO
 
 
@@ -74,6 +75,26 @@ def windows_per_session(heads: DataFrame, h: int, lower_bound: int = 0) -> DataF
     return heads.select("session_id", F.greatest(length - F.lit(h - 1), F.lit(0)).alias("n_windows"))
 
 
+def indexed(rows: DataFrame, column: str, vocab: DataFrame, by: list[str]) -> DataFrame:
+    """``column`` as vocabulary indexes, -1 where unknown; ``by`` tells the rows apart."""
+    table = vocab.select("event", F.col("idx").cast("int").alias("value"))
+    return encoded(rows, column, table, by, F.lit(-1))
+
+
+def count_vectors(wins: DataFrame, column: str, vocab: DataFrame, size: int) -> DataFrame:
+    """Windows plus ``counts``: how often each of ``size`` vocabulary events occurs in ``column``.
+
+    Padding and unknown events are not counted. Each distinct window is counted once.
+    """
+    long = wins.select(column).distinct().select(column, F.explode(column).alias("event"))
+    known = looked_up(long, vocab.where(F.col("event") != PAD), "event")
+    per_symbol = known.groupBy(column, "idx").agg(F.count(F.lit(1)).cast("double").alias("x"))
+    entry = F.when(F.col("idx").isNotNull(), F.struct("idx", "x"))
+    once = per_symbol.groupBy(column).agg(F.sort_array(F.collect_list(entry)).alias("_entries"))
+    dense = once.select(column, dense_vector(F.col("_entries"), size).cast("array<int>").alias("counts"))
+    return wins.join(dense, column)
+
+
 def distinct_windows(wins: DataFrame, key: str = "win") -> DataFrame:
     """Distinct windows with ``weight``, the number of occurrences."""
     return wins.groupBy(key).agg(F.count(F.lit(1)).alias("weight"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from emberlog.functions.sequences import PAD, cosine_distance, index_of
+from emberlog.functions.sequences import PAD, cosine_distance
 from emberlog.operators import classifiers, clustering, evaluate, features, gram, invariants, seqwin, split
 from emberlog.operators.clustering import ClusterModel
 from emberlog.operators.gram_classifier import GramClassifier
@@ -267,6 +267,27 @@ def ifo_predict(spark, sf):
     return _per_session(test, model.predict(_distinct(test)), "score", "pred").drop("features")
 
 
+def ifo_fixed(spark, sf):
+    """Scores of a fixed forest: one tree for each event, in which sessions with the event end early."""
+    vocab, vectors = _vectors(spark, sf)
+    trees = spark.range(len(vocab)).select(F.col("id").cast("int").alias("tree"))
+    shape = F.array(
+        *[
+            F.struct(F.lit(node).cast("bigint").alias("node"), feature.alias("feature"), F.lit(cut).alias("cut"), F.lit(depth).alias("depth"))
+            for node, feature, cut, depth in (
+                (1, F.col("tree"), 0.5, 0.0),
+                (2, F.lit(-1), 0.0, 9.0),
+                (3, F.col("tree"), 1.5, 0.0),
+                (6, F.lit(-1), 0.0, 4.0),
+                (7, F.lit(-1), 0.0, 2.0),
+            )
+        ]
+    )
+    model = ForestModel(trees.select("tree", F.inline(shape)), 256, 0.52)
+    scored = _per_session(vectors, model.predict(_distinct(vectors)), "score", "pred")
+    return scored.select("session_id", r6("score").alias("score"), "pred")
+
+
 # --- supervised --------------------------------------------------------------------------
 
 
@@ -380,11 +401,11 @@ def ngram_fixed(spark, sf):
 
 def score_udf(spark, sf):
     """A plugged-in predictor over index-encoded windows: here a weighted sum of the slots."""
-    vocab = vocabulary_list(seqwin.vocabulary(fixtures.day_rows(spark, sf)))
+    symbols = seqwin.vocabulary(fixtures.day_rows(spark, sf)).withColumn("idx", F.col("idx") + 1)
+    vocab = stage(symbols.union(spark.createDataFrame([(PAD, 0)], "event string, idx bigint")), "vocabulary")
     wins = seqwin.windows(seqwin.padded_left(views.day_chunks(spark, sf), H), H)
-    known = [PAD, *vocab]
-    encoded = wins.withColumn("slots", index_of(F.col("win"), known).cast("array<double>"))
-    scored = score_with(encoded, "slots", linear_predictor([0.5, 1.0, 2.0, 4.0]), H)
+    coded = seqwin.indexed(wins, "win", vocab, ["session_id", "pos"]).withColumn("slots", F.col("win").cast("array<double>"))
+    scored = score_with(coded, "slots", linear_predictor([0.5, 1.0, 2.0, 4.0]), H)
     return scored.select("session_id", "pos", r6("score").alias("score"))
 
 
@@ -393,7 +414,7 @@ QUERIES = {"gram": gram_counts} | {
     for f in (
         pca_fit, pca_score, pca_score_fixed, inv_dimension, inv_zero_columns, inv_validate, inv_mine, inv_predict,
         clu_distance, clu_nearest, clu_predict, clu_pairs, clu_offline, clu_representatives, clu_bootstrap,
-        clu_online, clu_directions, clu_online_directions, report_fixed, ifo_fit, ifo_predict, lr_predict, svm_predict, svm_l1_predict, dt_predict, model_report,
+        clu_online, clu_directions, clu_online_directions, report_fixed, ifo_fit, ifo_predict, ifo_fixed, lr_predict, svm_predict, svm_l1_predict, dt_predict, model_report,
         next_softmax, next_softmax_counts, ngram_features, ngram_classify, ngram_fixed, score_udf,
     )
 }
@@ -513,3 +534,10 @@ select session_id, label, margin, cast(margin > 0 as int) as pred from (
     select session_id, s.label, 0.0625::double + coalesce(sum((length(gram) % 7 - 3) / 8.0::double), 0) as margin
     from day_seq s left join grams using (session_id) group by session_id, s.label)"""
 )
+
+ORACLE["ifo_fixed"] = _count_sql(
+    """select session_id, round(score, 6) + 0.0 as score, cast(score > 0.52::double as int) as pred from (
+        select session_id, power(2.0::double, -avg(case when x <= 0.5 then 9.0 when x <= 1.5 then 4.0 else 2.0 end::double)
+            / (2 * (ln(255.0::double) + 0.5772156649015329::double) - 2 * 255 / 256.0::double)) as score
+        from tc group by session_id)"""
+)

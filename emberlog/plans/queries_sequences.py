@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from emberlog.functions.sequences import count_vector, index_of, one_hot_label
+from emberlog.functions.sequences import one_hot_label
 from emberlog.operators import collect, evaluate, likelihood, seqwin, sessions
 from emberlog.operators.nextevent import suffix_counts, vocabulary_list
 from emberlog.plans import detection, fixtures, views
@@ -45,10 +45,10 @@ def seq_pad_right(spark, sf):
 
 
 def seq_index(spark, sf):
-    vocab = vocabulary_list(seqwin.vocabulary(fixtures.user_rows(spark, sf), with_pad=True))
+    vocab = stage(seqwin.vocabulary(fixtures.user_rows(spark, sf), with_pad=True), "vocabulary")
     fixed = seqwin.fixed_length(views.user_chunks(spark, sf), 50)
-    places = index_of(F.col("events"), vocab).cast("array<string>")
-    return fixed.select("session_id", text(places).alias("indexes"))
+    places = seqwin.indexed(fixed, "events", vocab, ["session_id"])
+    return places.select("session_id", text(F.col("events").cast("array<string>")).alias("indexes"))
 
 
 # --- windows -----------------------------------------------------------------------------
@@ -75,11 +75,10 @@ def win_counts_per_seq(spark, sf):
 
 
 def win_count_vector(spark, sf):
-    vocab = vocabulary_list(seqwin.vocabulary(fixtures.day_rows(spark, sf)))
+    vocab = stage(seqwin.vocabulary(fixtures.day_rows(spark, sf)), "vocabulary")
     chunks = seqwin.padded_left(views.day_chunks(spark, sf), H + 1)
-    wins = seqwin.next_event_windows(chunks, H)
-    counts = count_vector(F.col("context"), vocab).cast("array<string>")
-    return wins.select("session_id", "pos", text(counts).alias("counts"))
+    counted = seqwin.count_vectors(seqwin.next_event_windows(chunks, H), "context", vocab, vocab.count())
+    return counted.select("session_id", "pos", text(F.col("counts").cast("array<string>")).alias("counts"))
 
 
 def win_train_dedup(spark, sf):

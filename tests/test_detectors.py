@@ -340,6 +340,42 @@ def test_forest_options(spark, counts):
     assert used.agg(F.max("n")).first()[0] <= 2
 
 
+def test_draws_are_the_least_hashes(spark, counts):
+    rows = frame(spark, counts)
+    for size in (7, 60, 120):
+        got = iforest._drawn(rows, 4, size, 120, 3).collect()
+        assert sorted((r.tree, r.place) for r in got) == [(t, i) for t in range(4) for i in range(size)]
+        draw = F.shiftrightunsigned(F.xxhash64(F.lit(3), "tree", "session_id"), 2)
+        order = rows.crossJoin(spark.range(4).select(F.col("id").cast("int").alias("tree"))).withColumn("draw", draw)
+        want = {(r.tree, tuple(r.features)) for t in range(4) for r in order.where(F.col("tree") == t).orderBy("draw").limit(size).collect()}
+        assert {(r.tree, tuple(r.features)) for r in got} == want
+
+
+@pytest.mark.parametrize("bootstrap", [False, True])
+def test_large_samples_are_split_over_tasks(spark, counts, bootstrap):
+    """Parts of at most ten rows a task: the trees are whole, their leaves hold all points, cuts lie in range."""
+    model = ForestModel.fit(frame(spark, counts), 6, max_samples=0.9, max_features=4, bootstrap=bootstrap, task_rows=10, contamination="auto")
+    assert model.sample_size == 108
+    for tree, nodes in model.nodes.toPandas().groupby("tree"):
+        known = dict(zip(nodes["node"], nodes["feature"]))
+        assert len(known) == len(nodes) and 1 in known
+        assert all((2 * n in known and 2 * n + 1 in known) == (f >= 0) for n, f in known.items())
+        assert int(nodes["node"].max()).bit_length() - 1 <= math.ceil(math.log2(108))
+        assert set(nodes.loc[nodes["feature"] >= 0, "feature"]) <= set(iforest.tree_columns(5, 6, 4, 42)[tree].tolist())
+
+
+def test_scores_of_blocks_equal_scores_of_the_whole(spark, counts, monkeypatch, tmp_path):
+    model = ForestModel.fit(frame(spark, counts), 8, contamination=0.1)
+    whole = {tuple(r.features): r.score for r in model.predict(frame(spark, counts)).collect()}
+    monkeypatch.setattr(iforest, "BLOCK_NODES", 600)
+    monkeypatch.setattr(iforest, "STRIPE", 30)
+    loaded = model.write(str(tmp_path / "forest"))
+    loaded.small_nodes = 0
+    assert loaded.threshold == model.threshold
+    got = loaded.predict(frame(spark, counts)).collect()
+    assert len(got) == len(counts) and all(whole[tuple(r.features)] == pytest.approx(r.score, abs=1e-12) for r in got)
+
+
 @pytest.fixture(scope="module")
 def labelled():
     rng = np.random.default_rng(8)

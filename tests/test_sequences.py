@@ -4,7 +4,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from emberlog.functions.sequences import PAD, count_vector, one_hot_label, pad_left, pad_right
+from emberlog.functions.sequences import PAD, dense_vector, one_hot_label, pad_left, pad_right
 from emberlog.operators import evaluate, likelihood, seqwin, sessions
 from emberlog.operators.nextevent import NextEventModel
 
@@ -19,7 +19,9 @@ def test_padding(spark):
     assert one(spark, pad_left(ab, 1)) == ["A", "B"]
     assert one(spark, pad_right(ab, 3)) == ["A", "B", PAD]
     assert one(spark, pad_right(F.array(*map(F.lit, "ABCD")), 3)) == list("ABC")
-    assert one(spark, count_vector(F.array(F.lit(PAD), F.lit("B"), F.lit("B")), ["A", "B"])) == [0, 2]
+    entries = F.from_json(F.lit('[{"idx": 1, "x": 2.5}, {"idx": 2, "x": -1}, {"idx": 5, "x": 7}]'), "array<struct<idx: bigint, x: double>>")
+    assert one(spark, dense_vector(entries, 7)) == [0, 2.5, -1, 0, 0, 7, 0]
+    assert one(spark, dense_vector(F.filter(entries, lambda e: e["x"] > 9), 2)) == [0, 0]
     assert one(spark, one_hot_label(F.lit(1))) == [0, 1]
 
 
