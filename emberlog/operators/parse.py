@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import ahocorasick
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +18,8 @@ OPENSTACK_TOKENS = 8
 
 # Templates per generated projection; longer catalogues are matched in several steps.
 MATCH_STEP = 50
+# Catalogues with more templates are searched for their fixed parts first.
+LONG_CATALOGUE = 60
 
 
 def _tokens() -> Column:
@@ -104,10 +110,118 @@ def _start_match(pattern: str) -> str:
     return f"(?dU)^(?:{pattern})"
 
 
-def match_templates(fields: DataFrame, templates: DataFrame, arguments: bool = False) -> DataFrame:
+def required_literals(pattern: str) -> list[str]:
+    """Strings that every match of a pattern contains: runs of plain characters outside groups and classes.
+
+    None for a pattern with alternatives at the top or with inline flags; a character before a quantifier
+    does not count.
+    """
+    runs, run, i, n = [], "", 0, len(pattern)
+
+    def skipped(i: int) -> int:
+        """The place after the group or class that opens at ``i``; classes may nest."""
+        groups = classes = 0
+        while i < n:
+            c = pattern[i]
+            if c == "\\":
+                i += 1
+            elif c == "[":
+                classes += 1
+                # A closing bracket that comes first in a class is a character of it.
+                i += 1 if pattern[i + 1 : i + 2] == "^" else 0
+                i += 1 if pattern[i + 1 : i + 2] == "]" else 0
+            elif c == "]":
+                classes -= classes > 0
+            elif not classes:
+                groups += (c == "(") - (c == ")")
+            i += 1
+            if groups <= 0 and not classes:
+                break
+        return i
+
+    while i < n:
+        c = pattern[i]
+        if c == "|" or pattern.startswith("(?", i) and pattern[i + 2 : i + 3] not in (":", "=", "!", "<", ">"):
+            return []
+        if c == "\\" and i + 1 < n and not pattern[i + 1].isalnum():
+            run, i = run + pattern[i + 1], i + 2
+            continue
+        if c in "*+?{":
+            runs.append(run[:-1])
+            run = ""
+            i = pattern.find("}", i) + 1 if c == "{" and "}" in pattern[i:] else i + 1
+        elif c in "([":
+            runs.append(run)
+            run, i = "", skipped(i)
+        elif c in "\\.^$":
+            runs.append(run)
+            run, i = "", i + (2 if c == "\\" else 1)
+        else:
+            run, i = run + c, i + 1
+    return sorted({r for r in (*runs, run) if r})
+
+
+def _candidates(patterns: list[str]):
+    """A function from text to the places of the patterns all of whose required literals occur in it."""
+    literals = [required_literals(p) for p in patterns]
+    always = [k for k, found in enumerate(literals) if not found]
+    owners: dict[str, list[int]] = {}
+    for k, found in enumerate(literals):
+        for literal in found:
+            owners.setdefault(literal, []).append(k)
+
+    @F.pandas_udf("array<int>")
+    def places(texts: pd.Series) -> pd.Series:
+        automaton = ahocorasick.Automaton()
+        for literal in owners:
+            automaton.add_word(literal, literal)
+        if owners:
+            automaton.make_automaton()
+
+        def of(text: str | None) -> list[int]:
+            if text is None:
+                return []
+            seen: Counter = Counter()
+            for literal in {found for _, found in automaton.iter(text)} if owners else ():
+                seen.update(owners[literal])
+            return sorted([*always, *(k for k, times in seen.items() if times == len(literals[k]))])
+
+        return texts.map(of, na_action=None)
+
+    return places
+
+
+def _match_long(fields: DataFrame, catalogue: list, arguments: bool) -> DataFrame:
+    """The same for a long catalogue: one automaton over the fixed parts of all templates, then the regexes
+    of the few templates whose parts all occur, in order."""
+    catalogue_patterns = [t["pattern"] for t in catalogue]
+    constant = lambda values: F.array(*[F.lit(v) for v in values])
+    patterns = constant([_start_match(p) for p in catalogue_patterns])
+    content = F.col("content")
+    out = fields.withColumn("_places", _candidates(catalogue_patterns)("content"))
+    fits = F.filter("_places", lambda k: F.call_function("rlike", content, F.get(patterns, k)))
+    out = out.select(*fields.columns, _once(F.get(fits, 0), "_place"))
+    idx = F.get(constant([t["idx"] for t in catalogue]), F.col("_place"))
+    names = constant([t["template"] if "template" in t else t["pattern"] for t in catalogue])
+    out = out.withColumns({"idx": idx, "event_id": F.concat(F.lit("E"), idx.cast("string")), "event_template": F.get(names, F.col("_place"))})
+    if arguments:
+        kept = constant([",".join(map(str, t["args_keep"] or [])) for t in catalogue])
+        groups = F.filter(F.split(F.coalesce(F.get(kept, F.col("_place")), F.lit("")), ","), lambda k: k != "")
+        pattern = F.get(patterns, F.col("_place"))
+        out = out.withColumn(
+            "args", F.transform(groups, lambda k: F.call_function("regexp_extract", content, pattern, k.cast("int") + 1))
+        )
+    return out.drop("_place")
+
+
+def match_templates(
+    fields: DataFrame, templates: DataFrame, arguments: bool = False, long_catalogue: int = LONG_CATALOGUE
+) -> DataFrame:
     """Add ``idx, event_id, event_template`` of the first template, in ``idx`` order, matching at
     the start of ``content`` (null if none) and, if asked, ``args``: the kept groups, packed."""
     catalogue = sorted(small_rows(templates), key=lambda r: r["idx"])
+    if len(catalogue) > long_catalogue:
+        return _match_long(fields, catalogue, arguments)
     out = fields.withColumn("_idx", F.lit(None).cast("int"))
     for start in range(0, len(catalogue), MATCH_STEP):
         tests = [

@@ -20,32 +20,69 @@ INSTANCE_COLUMNS = "BlockId string, Chunk bigint, EventSequence string, Label in
 RICH_COLUMNS = "BlockId string, Chunk bigint, EventSequence string, TimeSequence string, PidSequence string, Label int"
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``line_no`` (1-based, in file order) and ``value``.
-
-    Lines are counted per file split; a line's number is its place in the split plus the
-    lines of all earlier splits. The table with one row per split is the only thing that is
-    ordered and joined; it is broadcast after its size is checked, so no text is shuffled.
-    """
-    raw = spark.read.text(path).select(
+def _raw_lines(spark: SparkSession, path: str, between: tuple[str, str] | None = None) -> DataFrame:
+    """Lines of all files, or of those with names in a range (other files are not opened)."""
+    text = spark.read.text(path)
+    if between is not None:
+        text = text.where(F.col("_metadata.file_path").between(*between))
+    return text.select(
         "value",
         F.col("_metadata.file_path").alias("_file"),
         F.col("_metadata.file_block_start").alias("_start"),
         F.monotonically_increasing_id().alias("_id"),
     )
+
+
+def _file_slices(spark: SparkSession, path: str, limit: int) -> list[tuple[str, str]]:
+    """First and last file of runs of files (in order) that are read as about ``limit`` splits at most.
+
+    Sizes come from the file listing, no content is read; a run is at least one file.
+    """
+    files = spark.read.format("binaryFile").load(path).select("_metadata.file_path", "_metadata.file_size")
+    most = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    slices, splits = [], 0
+    for name, size in files.orderBy("file_path").toLocalIterator():
+        mine = 1 + size // most
+        if not slices or splits + mine > limit:
+            slices.append((name, name))
+            splits = 0
+        slices[-1], splits = (slices[-1][0], name), splits + mine
+    return slices
+
+
+def read_lines(spark: SparkSession, path: str, broadcast_splits: int = SMALL_ROWS) -> DataFrame:
+    """``line_no`` (1-based, in file order) and ``value``.
+
+    Lines are counted per file split; a line's number is its place in the split plus the lines of all
+    earlier splits. Only the table with one row per split is ordered and joined. It is broadcast, so no
+    text is ever shuffled: more than ``broadcast_splits`` splits are read as several runs of files, each
+    with its own part of the table.
+    """
+    slices = _file_slices(spark, path, broadcast_splits)
+    if not slices:
+        return _raw_lines(spark, path).select(F.lit(0).cast("bigint").alias("line_no"), "value")
+    parts = [_raw_lines(spark, path, run if len(slices) > 1 else None) for run in slices]
+    counted = None
+    for number, part in enumerate(parts):
+        found = part.groupBy("_file", "_start").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+        found = found.withColumn("_part", F.lit(number))
+        counted = found if counted is None else counted.unionByName(found)
     earlier = Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)
+    # A file of its own may have more splits than one broadcast takes: its table comes in several pieces.
+    piece = F.floor((F.row_number().over(Window.partitionBy("_part").orderBy("_file", "_start")) - 1) / F.lit(broadcast_splits))
     splits = stage(
-        raw.groupBy("_file", "_start")
-        .agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
-        .withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
-        .drop("_n"),
+        counted.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).withColumn("_piece", piece).drop("_n"),
         "splits",
     )
+    pieces = {r["_part"]: r["n"] for r in splits.groupBy("_part").agg((F.max("_piece") + 1).alias("n")).collect()}
     place = F.col("_before") + F.col("_id") - F.col("_first") + 1
-    small = splits.count() <= SMALL_ROWS
-    return raw.join(F.broadcast(splits) if small else splits, ["_file", "_start"]).select(
-        place.alias("line_no"), "value"
-    )
+    out = None
+    for number, part in enumerate(parts):
+        for k in range(pieces.get(number, 0)):
+            table = splits.where((F.col("_part") == number) & (F.col("_piece") == k)).select("_file", "_start", "_first", "_before")
+            rows = part.join(F.broadcast(table), ["_file", "_start"]).select(place.alias("line_no"), "value")
+            out = rows if out is None else out.unionByName(rows)
+    return out if out is not None else _raw_lines(spark, path).select(F.lit(0).cast("bigint").alias("line_no"), "value")
 
 
 def _csv(spark: SparkSession, path: str, schema: str, defaults: Mapping[str, Column] | None = None) -> DataFrame:

@@ -17,6 +17,30 @@ def test_lines_are_numbered_across_files_and_splits(spark, tmp_path):
     assert [(r["line_no"], r["value"]) for r in got] == [(i + 1, v) for i, v in enumerate(text)]
 
 
+@pytest.mark.parametrize("limit", [1, 3, 5])
+def test_many_splits_are_read_in_runs_of_files(spark, tmp_path, limit):
+    """Above the broadcast limit: the same numbers, every broadcast bounded, and no text in a shuffle."""
+    folder = tmp_path / "a b"
+    folder.mkdir()
+    text = []
+    for k, n in enumerate((0, 70, 3, 250, 1, 40)):
+        mine = [f"file {k} line {i} {'x' * (i % 30)}" for i in range(n)]
+        (folder / f"{k} part.log").write_text("".join(v + "\n" for v in mine))
+        text += mine
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1500")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        lines = readers.read_lines(spark, str(folder), limit)
+        plan = lines._jdf.queryExecution().executedPlan().toString()
+        got = lines.orderBy("line_no").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert [(r["line_no"], r["value"]) for r in got] == [(i + 1, v) for i, v in enumerate(text)]
+    assert "hashpartitioning" not in plan and "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") > 3
+
+
 def test_last_line_without_line_feed_is_whole(spark, tmp_path):
     (tmp_path / "a.log").write_text("one\ntwo")
     lines = readers.read_lines(spark, str(tmp_path / "a.log")).orderBy("line_no").collect()

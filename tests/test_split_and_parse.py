@@ -1,4 +1,8 @@
+import random
+import re
+
 import pytest
+from pyspark.sql import functions as F
 
 from emberlog.operators import parse, split
 from emberlog.sources import readers
@@ -102,6 +106,44 @@ def test_long_catalogues_keep_their_order(spark):
     assert got == {0: "E7", 1: "E119", 2: "E120"}
 
 
+def test_required_literals():
+    cases = {
+        r"Receiving block (.*) src: (.*)": [" src: ", "Receiving block "],
+        r"a+bc?d\.e\d{2,3}f[x+]g(h|i)?$": ["b", "d.e", "f", "g"],
+        r"one|two": [],
+        r"(?i)abc": [],
+        r"x(?:a\)b)y[^\]]z": ["x", "y", "z"],
+        r".*": [],
+        r"\[instance: (.*)\] done": ["[instance: ", "] done"],
+        r"ab{2}c": ["a", "c"],
+    }
+    for pattern, want in cases.items():
+        found = parse.required_literals(pattern)
+        assert found == want or set(found) <= set(want), pattern
+
+
+def test_a_thousand_templates(spark):
+    """The first match in order, as without the prefilter; few regexes are left for each line."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdé.[(") for _ in range(rng.randint(3, 6)))
+    texts = [" ".join(word() for _ in range(rng.randint(2, 7))) for _ in range(1_000)]
+    patterns = [" ".join(rng.choice(["(.*)", r"\S+", re.escape(w)]) if rng.random() < 0.4 else re.escape(w) for w in t.split(" ")) for t in texts]
+    patterns[20:20] = ["(?i)A b", "q|a .*", "(.*) (.*) (.*) (.*) (.*) (.*) (.*)"]
+    table = spark.createDataFrame([(3 * i, p, [0] if "(.*)" in p else []) for i, p in enumerate(patterns)], "idx int, pattern string, args_keep array<int>")
+    rows = [(i, t) for i, t in enumerate(texts[::5] + [" ".join(word() for _ in range(4)) for _ in range(100)] + [None, ""])]
+    fields = spark.createDataFrame(rows, "line_no bigint, content string")
+    quick = {r.line_no: (r.idx, r.args) for r in parse.match_templates(fields, table, True).collect()}
+    want = {}
+    for i, t in rows:
+        hit = next((k for k, p in enumerate(patterns) if t is not None and re.match(p, t)), None)
+        first = [] if hit is None or "(.*)" not in patterns[hit] else [re.match(patterns[hit], t)[1]]
+        want[i] = (None if hit is None else 3 * hit, first)
+    assert quick == want and sum(k is not None for k, _ in want.values()) >= 200
+    places = parse._candidates(patterns)
+    left = fields.where("content is not null").select(F.avg(F.size(places("content"))).alias("n")).first()["n"]
+    assert left < 10
+
+
 def test_short_line_stops_or_is_skipped(spark):
     df = lines(spark, "a b c d e: f", "short line", "a b c d e: g")
     assert [r["line_no"] for r in parse.hdfs_until_short(df).collect()] == [1]
