@@ -127,7 +127,7 @@ def test_a_thousand_templates(spark):
     rng = random.Random(6)
     word = lambda: "".join(rng.choice("abcdé.[(") for _ in range(rng.randint(3, 6)))
     texts = [" ".join(word() for _ in range(rng.randint(2, 7))) for _ in range(1_000)]
-    patterns = [" ".join(rng.choice(["(.*)", r"\S+", re.escape(w)]) if rng.random() < 0.4 else re.escape(w) for w in t.split(" ")) for t in texts]
+    patterns = [" ".join(rng.choice(["(.*)", r"\S+", re.escape(w)]) if k and rng.random() < 0.4 else re.escape(w) for k, w in enumerate(t.split(" "))) for t in texts]
     patterns[20:20] = ["(?i)A b", "q|a .*", "(.*) (.*) (.*) (.*) (.*) (.*) (.*)"]
     table = spark.createDataFrame([(3 * i, p, [0] if "(.*)" in p else []) for i, p in enumerate(patterns)], "idx int, pattern string, args_keep array<int>")
     rows = [(i, t) for i, t in enumerate(texts[::5] + [" ".join(word() for _ in range(4)) for _ in range(100)] + [None, ""])]
