@@ -33,6 +33,8 @@ BLOCK = 2048
 # A component of close vectors with at most so many rows and close pairs is clustered in one task.
 SOLVE_ROWS = 20_000
 SOLVE_PAIRS = 4_000_000
+# Distinct vectors that found the first clusters of a stream.
+SEEDS = 5_000
 # Vectors, or representatives, that one task of the nearest-representative grid holds.
 STRIPE = 20_000
 
@@ -394,8 +396,21 @@ class ClusterModel:
         rest = sessions.join(start.select("session_id"), "session_id", "left_anti")
         return model.extended(rest.select("features"), max_dist)
 
-    def extended(self, vectors: DataFrame, max_dist: float) -> ClusterModel:
-        """The model after more vectors: running means move, and new clusters are added."""
+    @classmethod
+    def fit_seeded(
+        cls, vectors: DataFrame, max_dist: float = 0.3, anomaly_threshold: float = 0.3, seeds: int = SEEDS
+    ) -> ClusterModel:
+        """Clusters of a bounded number of distinct vectors (by hash); the others join, or found more in blocks."""
+        numbered = stage(number_vectors(_weighted(vectors)), "numbered")
+        model = cls.fit_offline(numbered.where(F.col("id") < seeds).drop("id"), max_dist, anomaly_threshold)
+        return model.extended(numbered.where(F.col("id") >= seeds).drop("id"), max_dist, seeds)
+
+    def extended(self, vectors: DataFrame, max_dist: float, block: int | None = None) -> ClusterModel:
+        """The model after more vectors: running means move, and new clusters are added.
+
+        With ``block`` at most so many of the vectors that fit no cluster are clustered at once; the
+        rest of them may join the clusters that this founds, and so on.
+        """
         placed = stage(nearest(_weighted(vectors), self.reps), "placed")
         joined = placed.where(F.col("distance") <= max_dist).select("cluster", "features", "weight")
         old = self.reps.select("cluster", F.col("center").alias("features"), F.col("size").alias("weight"))
@@ -403,7 +418,10 @@ class ClusterModel:
         unplaced = placed.where(F.col("distance") > max_dist).select("features", "weight")
         if unplaced.isEmpty():
             return ClusterModel(stage(moved, "representatives"), self.anomaly_threshold)
-        new = ClusterModel.fit_offline(unplaced, max_dist).reps
+        if block is None:
+            new = ClusterModel.fit_offline(unplaced, max_dist).reps
+        else:
+            new = ClusterModel.fit_seeded(unplaced, max_dist, seeds=block).reps
         next_name = (self.reps.agg(F.max("cluster").alias("m")).first()["m"] or 0) + 1
         renamed = new.withColumn("cluster", F.col("cluster") + F.lit(next_name))
         return ClusterModel(stage(moved.unionByName(renamed), "representatives"), self.anomaly_threshold)

@@ -6,21 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberlog.operators.clustering import ClusterModel
+from emberlog.operators.clustering import SEEDS, ClusterModel
 
 
-def cluster_updater(path: str, max_dist: float = 0.3) -> Callable[[DataFrame, int], None]:
+def cluster_updater(path: str, max_dist: float = 0.3, seeds: int = SEEDS) -> Callable[[DataFrame, int], None]:
     """Batch handler: the first batch founds the clusters, later ones join or add clusters.
 
+    Never more than ``seeds`` distinct vectors are clustered among themselves, however large a batch is.
+
     Version ``n`` is always built from version ``n - 1``, so a repeated batch is harmless.
     """
 
     def update(batch: DataFrame, batch_id: int) -> None:
         vectors = batch.select("features")
         if batch_id == 0:
-            model = ClusterModel.fit_offline(vectors, max_dist)
+            model = ClusterModel.fit_seeded(vectors, max_dist, seeds=seeds)
         else:
-            model = load_clusters(batch.sparkSession, path, batch_id - 1).extended(vectors, max_dist)
+            model = load_clusters(batch.sparkSession, path, batch_id - 1).extended(vectors, max_dist, seeds)
         model.reps.write.mode("overwrite").parquet(f"{path}/version={batch_id}")
 
     return update

@@ -412,4 +412,21 @@ def test_sparse_svm_reaches_the_minimum(spark, labelled):
     model = classifiers.SparseSvm.fit(
         frame(spark, x, label=[int(v) for v in y]).select("features", "label"), 3, tol=0.01
     )
-    assert loss(model.weights) == pytest.approx(loss(w), rel=1e-3)
+    assert loss(model.weights) == pytest.approx(loss(w), rel=1e-4)
+    # No direction lowers the loss: the slope is -sign(w) where w is not 0, and at most 1 elsewhere.
+    slope = -2 * (np.maximum(1 - rows @ model.weights, 0) @ rows)
+    start = np.abs(classifiers.least_subgradient(np.zeros(4), -2 * rows.sum(axis=0))).max()
+    assert np.abs(classifiers.least_subgradient(model.weights, slope)).max() <= 1.01e-4 * start
+
+
+def test_sparse_svm_of_many_columns(spark):
+    """400 columns, few of which matter: a number per column leaves a partition, and most weights are 0."""
+    rng = np.random.default_rng(9)
+    x = rng.poisson(0.3, (300, 400)).astype(float)
+    y = (x[:, 3] + x[:, 70] > x[:, 200] + 0.5).astype(int)
+    train = frame(spark, x, label=[int(v) for v in y]).select("features", "label")
+    model = classifiers.SparseSvm.fit(train, 400, c=0.2, tol=0.1)
+    rows = np.column_stack([x, np.ones(300)]) * np.where(y > 0, 1.0, -1.0)[:, None]
+    slope = -0.4 * (np.maximum(1 - rows @ model.weights, 0) @ rows)
+    assert np.abs(classifiers.least_subgradient(model.weights, slope)).max() < 0.1
+    assert np.count_nonzero(model.weights) < 150 and {3, 70, 200} <= set(np.flatnonzero(model.weights).tolist())

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from emberlog.operators import seqwin, sessions, timewin
+from emberlog.operators.clustering import ClusterModel
 from emberlog.streaming import cluster, next_event, sink, windows
 
 
@@ -99,13 +100,23 @@ def test_stream_counts_equal_grid(spark, arriving, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, expected.collect()))
 
 
-def test_stream_clusters_account_for_every_vector(spark, arriving, tmp_path):
+@pytest.mark.parametrize("seeds", [8, 1000])
+def test_stream_clusters_account_for_every_vector(spark, arriving, tmp_path, monkeypatch, seeds):
+    sizes, fit = [], ClusterModel.fit_offline.__func__
+
+    def watched(cls, vectors, *options):
+        sizes.append(vectors.select("features").distinct().count())
+        return fit(cls, vectors, *options)
+
+    monkeypatch.setattr(ClusterModel, "fit_offline", classmethod(watched))
     rng = random.Random(10)
     data = [(i, [float(rng.randint(0, 3)), float(rng.randint(0, 3)), 1.0]) for i in range(60)]
     rows = spark.createDataFrame(data, "id bigint, features array<double>")
     path = str(tmp_path / "clusters")
     stream = arriving(pieces(rows, "id", [0, 20, 45, 60]))
-    sink.run_available(stream, str(tmp_path / "state"), cluster.cluster_updater(path, 0.2), mode="append")
+    sink.run_available(stream, str(tmp_path / "state"), cluster.cluster_updater(path, 0.2, seeds), mode="append")
     assert cluster.last_version(spark, path) == 2
     model = cluster.load_clusters(spark, path, 2)
     assert model.reps.agg(F.sum("size")).first()[0] == 60
+    # The first batch is not clustered as a whole.
+    assert max(sizes) <= seeds
