@@ -161,10 +161,12 @@ def merged(points: np.ndarray, max_dist: float) -> np.ndarray:
     n = len(points)
     near: list[dict[int, float]] = [{} for _ in range(n)]
     for low in range(0, n, 512):
-        d = np.round(distances(points[low : low + 512], points), DIGITS)
-        for i, j in zip(*(x.tolist() for x in np.nonzero(d <= max_dist)), strict=True):
-            if low + i < j:
-                near[low + i][j] = near[j][low + i] = float(d[i, j])
+        d = distances(points[low : low + 512], points[low:])
+        i, j = np.nonzero(d <= max_dist + 1e-9)
+        d = np.round(d[i, j], DIGITS)
+        keep = (i < j) & (d <= max_dist)
+        for a, b, far in zip((low + i[keep]).tolist(), (low + j[keep]).tolist(), d[keep].tolist(), strict=True):
+            near[a][b] = near[b][a] = far
     into = list(range(n))
 
     def nearest_of(c: int) -> int:

@@ -50,11 +50,14 @@ def _per_session(vectors, scored, *columns):
 
 
 def gram_counts(spark, sf):
+    """Every pair of events, also those that never meet."""
     vocab, vectors = _vectors(spark, sf)
     name = F.array(*[F.lit(v) for v in vocab])
     rows = gram.gram_rows(_distinct(vectors))
-    return rows.select(
-        name[F.col("i")].alias("event_a"), name[F.col("j")].alias("event_b"), F.col("g").cast("bigint").alias("g")
+    both = rows.union(rows.where("i < j").select("j", "i", "g"))
+    every = spark.range(len(vocab)).select(F.col("id").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(len(vocab) - 1))).cast("bigint").alias("j"))
+    return every.join(both, ["i", "j"], "left").select(
+        name[F.col("i")].alias("event_a"), name[F.col("j")].alias("event_b"), F.coalesce(F.col("g"), F.lit(0.0)).cast("bigint").alias("g")
     )
 
 
@@ -81,7 +84,7 @@ def pca_score_fixed(spark, sf):
     """Residual after removing the common level of all counts (a fixed projector)."""
     vocab, vectors = _vectors(spark, sf)
     k = len(vocab)
-    model = PcaModel(1, np.eye(k) - np.ones((k, k)) / k, 2.1)
+    model = PcaModel(np.full((k, 1), k**-0.5), 2.1)
     scored = _per_session(vectors, model.score(_distinct(vectors)), "spe", "pred")
     return scored.select("session_id", r6("spe").alias("spe"), "pred")
 
@@ -345,7 +348,7 @@ def report_fixed(spark, sf):
     distinct = _distinct(vectors)
     scored = {
         "clustering": ClusterModel(_length_means(vectors), 0.3).predict(distinct),
-        "pca": PcaModel(1, np.eye(k) - np.ones((k, k)) / k, 2.1).score(distinct),
+        "pca": PcaModel(np.full((k, 1), k**-0.5), 2.1).score(distinct),
     }
     parts = [df.select("features", "pred", F.lit(name).alias("model")) for name, df in scored.items()]
     labelled = vectors.groupBy("features", "label").agg(F.count(F.lit(1)).alias("weight"))

@@ -58,6 +58,41 @@ def test_subspace_equals_numpy(spark, counts, n_components):
         assert model.threshold == pytest.approx(limit)
 
 
+def test_sparse_gram_equals_numpy(spark, monkeypatch):
+    monkeypatch.setattr(gram, "FLUSH", 40)
+    rng = np.random.default_rng(5)
+    x = rng.poisson(0.1, (90, 30)).astype(float)
+    weights = np.arange(90) % 3 + 1.0
+    vectors = frame(spark, x, weights).select("features", "weight")
+    assert np.allclose(gram.gram_matrix(vectors, 30), x.T @ (x * weights[:, None]))
+    assert gram.gram_rows(vectors).where("i > j or g = 0").isEmpty()
+
+
+@pytest.mark.parametrize("n_components", [0.8, 0.95, 3, 20])
+def test_passes_equal_the_matrix(spark, n_components, tmp_path):
+    rng = np.random.default_rng(6)
+    x = rng.poisson(np.linspace(0.2, 3, 20), (150, 20)).astype(float)
+    vectors = frame(spark, x).select("features", "weight")
+    dense, wide = (PcaModel.fit(vectors, 20, n_components, dense=d) for d in (100, 0))
+    assert dense.n_components == wide.n_components
+    assert np.allclose(dense.projector, wide.projector, atol=1e-6)
+    assert dense.threshold == pytest.approx(wide.threshold, rel=1e-5, abs=1e-9)
+    wide.write(str(tmp_path / "pca"), spark)
+    assert np.allclose(PcaModel.load(spark, str(tmp_path / "pca")).projector, wide.projector)
+
+
+def test_five_thousand_columns(spark):
+    """Only the kept directions are computed: 5,000 x 4 numbers in place of 25 million."""
+    rng = np.random.default_rng(7)
+    x = np.zeros((200, 5_000))
+    for i, row in enumerate(x):
+        row[rng.choice(5_000, 4, replace=False)] = 1
+        row[10 * (i % 4) : 10 * (i % 4) + 8] += 3 + i % 4
+    model = PcaModel.fit(frame(spark, x).select("features", "weight"), 5_000, 4, threshold=9.0)
+    u = np.linalg.svd(x, full_matrices=False)[2][:4].T
+    assert model.main.shape == (5_000, 4) and np.allclose(np.abs(np.linalg.svd(u.T @ model.main)[1]), 1, atol=1e-6)
+
+
 def test_full_subspace_flags_nothing(spark, counts):
     vectors = frame(spark, counts).select("features", "weight")
     assert PcaModel.fit(vectors, 5, 5).score(vectors).where("pred = 1").count() == 0
