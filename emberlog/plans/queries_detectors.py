@@ -55,7 +55,8 @@ def gram_counts(spark, sf):
     name = F.array(*[F.lit(v) for v in vocab])
     rows = gram.gram_rows(_distinct(vectors))
     both = rows.union(rows.where("i < j").select("j", "i", "g"))
-    every = spark.range(len(vocab)).select(F.col("id").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(len(vocab) - 1))).cast("bigint").alias("j"))
+    places = F.sequence(F.lit(0).cast("bigint"), F.lit(len(vocab) - 1).cast("bigint"))
+    every = spark.range(len(vocab)).select(F.col("id").alias("i"), F.explode(places).alias("j"))
     return every.join(both, ["i", "j"], "left").select(
         name[F.col("i")].alias("event_a"), name[F.col("j")].alias("event_b"), F.coalesce(F.col("g"), F.lit(0.0)).cast("bigint").alias("g")
     )
