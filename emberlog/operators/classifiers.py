@@ -12,7 +12,7 @@ from pyspark.ml.classification import (
     RandomForestClassifier,
 )
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
@@ -179,6 +179,13 @@ class SparseSvm:
         finally:
             rows.unpersist()
 
+    def write(self, path: str, spark: SparkSession) -> None:
+        spark.createDataFrame([([float(w) for w in self.weights],)], "weights array<double>").write.mode("overwrite").parquet(path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> SparseSvm:
+        return cls(np.array(spark.read.parquet(path).first()["weights"]))
+
     def predict(self, vectors: DataFrame) -> DataFrame:
         """Add ``margin`` and ``pred``."""
         parts = F.array(*[F.lit(float(v)) for v in self.weights[:-1]])

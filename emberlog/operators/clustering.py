@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberlog.operators.components import components, joined_up
@@ -428,6 +428,18 @@ class ClusterModel:
         renamed = new.withColumn("cluster", F.col("cluster") + F.lit(next_name))
         return ClusterModel(stage(moved.unionByName(renamed), "representatives"), self.anomaly_threshold)
 
+    def write(self, path: str) -> ClusterModel:
+        spark = self.reps.sparkSession
+        self.reps.write.mode("overwrite").parquet(f"{path}/representatives")
+        limit = spark.createDataFrame([(float(self.anomaly_threshold),)], "anomaly_threshold double")
+        limit.write.mode("overwrite").parquet(f"{path}/threshold")
+        return self.load(spark, path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> ClusterModel:
+        limit = spark.read.parquet(f"{path}/threshold").first()["anomaly_threshold"]
+        return cls(spark.read.parquet(f"{path}/representatives"), limit)
+
     def predict(self, vectors: DataFrame) -> DataFrame:
         """Add ``distance, cluster, pred``: 1 where even the nearest cluster is too far."""
         far = F.col("distance") > self.anomaly_threshold

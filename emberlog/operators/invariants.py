@@ -272,3 +272,12 @@ class InvariantModel:
             broken = broken + F.abs(sum(terms[1:], terms[0]))
         return vectors.withColumn("pred", (broken > ANOMALY_SUM).cast("int"))
 
+    def write(self, path: str, spark: SparkSession) -> None:
+        rows = [(i, list(map(int, cols)), [float(w) for w in weights], self.dimension) for i, (cols, weights) in enumerate(self.invariants.items())]
+        table = spark.createDataFrame(rows, "place int, items array<int>, weights array<double>, dimension int")
+        table.write.mode("overwrite").parquet(path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> InvariantModel:
+        rows = sorted(spark.read.parquet(path).collect(), key=lambda r: r["place"])
+        return cls({tuple(r["items"]): list(r["weights"]) for r in rows}, rows[0]["dimension"] if rows else 0)

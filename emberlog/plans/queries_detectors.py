@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from emberlog.functions.sequences import PAD, cosine_distance
 from emberlog.operators import classifiers, clustering, evaluate, features, gram, invariants, seqwin, split
 from emberlog.operators.clustering import ClusterModel
+from emberlog.operators.detectors import FITS, Detector
 from emberlog.operators.gram_classifier import GramClassifier
 from emberlog.operators.iforest import ForestModel
 from emberlog.operators.invariants import InvariantModel
@@ -314,32 +315,28 @@ def svm_l1_predict(spark, sf):
     return _supervised(spark, sf, lambda t, k: classifiers.SparseSvm.fit(t, k, class_weight="balanced"))
 
 
+def svm_fixed(spark, sf):
+    """Margins of fixed weights: the place of each event less ten, and an offset."""
+    vocab, vectors = _vectors(spark, sf)
+    model = classifiers.SparseSvm(np.append(np.arange(len(vocab)) - 10.0, 4.0) / 8.0)
+    return _per_session(vectors, model.predict(_distinct(vectors)), "margin", "pred").select("session_id", "margin", "pred")
+
+
 def dt_predict(spark, sf):
     return _supervised(spark, sf, lambda t, k: classifiers.decision_tree(t, max_depth=8, class_weight="balanced"))
 
 
 def model_report(spark, sf):
     """Fit, predict and evaluate every classical detector on the same split."""
-    vocab, vectors = _vectors(spark, sf)
-    k = len(vocab)
+    _, vectors = _vectors(spark, sf)
     train, test = vectors.where("split = 'train'"), vectors.where("split = 'test'")
-    distinct_train, distinct_test = _distinct(train), _distinct(test)
-    marked = train.select("features", "label")
-    fitted = {
-        "pca": lambda: PcaModel.fit(distinct_train, k).score(distinct_test),
-        "invariants": lambda: InvariantModel.fit(distinct_train, k, percentage=INVARIANT_SHARE).predict(distinct_test),
-        "clustering": lambda: ClusterModel.fit_online(train).predict(distinct_test),
-        "isolation_forest": lambda: ForestModel.fit(train).predict(distinct_test),
-        "logistic_regression": lambda: classifiers.logistic_regression(marked).predict(distinct_test),
-        "svm": lambda: classifiers.SparseSvm.fit(marked, k).predict(distinct_test),
-        "decision_tree": lambda: classifiers.decision_tree(marked).predict(distinct_test),
-    }
-    scored = None
-    for name, run in fitted.items():
-        part = run().select("features", "pred", F.lit(name).alias("model"))
-        scored = part if scored is None else scored.unionByName(part)
-    labelled = test.groupBy("features", "label").agg(F.count(F.lit(1)).alias("weight"))
-    return evaluate.evaluate(scored.join(labelled, "features"), ["model"], weight="weight")
+    options = {"invariants": {"percentage": INVARIANT_SHARE}}
+    report = None
+    for name in FITS:
+        row = Detector(name, options.get(name, {})).fit(train).evaluate(test)
+        row = row.select(F.lit(name).alias("model"), *row.columns)
+        report = row if report is None else report.unionByName(row)
+    return report
 
 
 def report_fixed(spark, sf):
@@ -418,7 +415,7 @@ QUERIES = {"gram": gram_counts} | {
     for f in (
         pca_fit, pca_score, pca_score_fixed, inv_dimension, inv_zero_columns, inv_validate, inv_mine, inv_predict,
         clu_distance, clu_nearest, clu_predict, clu_pairs, clu_offline, clu_representatives, clu_bootstrap,
-        clu_online, clu_directions, clu_online_directions, report_fixed, ifo_fit, ifo_predict, ifo_fixed, lr_predict, svm_predict, svm_l1_predict, dt_predict, model_report,
+        clu_online, clu_directions, clu_online_directions, report_fixed, ifo_fit, ifo_predict, ifo_fixed, lr_predict, svm_predict, svm_l1_predict, svm_fixed, dt_predict, model_report,
         next_softmax, next_softmax_counts, ngram_features, ngram_classify, ngram_fixed, score_udf,
     )
 }
@@ -545,3 +542,10 @@ ORACLE["ifo_fixed"] = _count_sql(
             / (2 * (ln(255.0::double) + 0.5772156649015329::double) - 2 * 255 / 256.0::double)) as score
         from tc group by session_id)"""
 )
+
+ORACLE["svm_fixed"] = _count_sql(
+    """select session_id, margin, cast(margin > 0 as int) as pred from (
+        select session_id, 0.5::double + sum(x * (place - 10) / 8.0::double) as margin from tc
+        join (select event, row_number() over (order by event) - 1 as place from (select distinct event from day_rows))
+        using (event) group by session_id)"""
+)
