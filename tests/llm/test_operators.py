@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import re
+import random
 import zlib
 
 import numpy as np
@@ -541,6 +542,9 @@ def test_cached_encoding_equals_whole(name):
         "<|endoftext|> <|startoftext|>a", "中文 和\u3000字 😀😀 \x1c y", " lead", "trail ", "a\x0b\x0cb", "1234 5.6,7 -- !!!\n",
         "a\u200bb \ufeffc", "e\u0301 \u0301x",
     ]
+    rng = random.Random(1)
+    signs = "abÀéßÿ×,.;:!? \n\t'\"-)(0123_<>|#中😀"
+    texts += ["".join(rng.choice(signs) for _ in range(rng.randint(1, 60))) for _ in range(2_000)]
     for text in [*texts, " ".join(texts), "\n".join(reversed(texts))]:
         want = encoder.tokenizer.encode(text, add_special_tokens=False).ids
         assert np.frombuffer(encoder.encode(text), dtype=encoder.dtype).tolist() == want, text
