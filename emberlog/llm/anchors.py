@@ -217,7 +217,8 @@ def repeated_spans(
     partial = dealt.mapInArrow(_searcher(search, length), SPAN)
     crowded = _by_window(pieces.where(F.col("members") > crowd), length, piece_units)
     spans = again.unionByName(copied).unionByName(partial.select("row_id", "row_hash", "span")).unionByName(crowded)
-    return spans.groupBy("row_id", "row_hash").agg(F.collect_list("span").alias("spans"))
+    # Repeated rows have the same spans; a set keeps them once.
+    return spans.groupBy("row_id", "row_hash").agg(F.collect_set("span").alias("spans"))
 
 
 SPAN = "row_id long, row_hash long, span struct<low: int, high: int>"
@@ -225,17 +226,24 @@ CONTENT = "anchor long, members long, n long, row_id long, row_hash long, first
 
 
 def _contents(keyed: DataFrame, prints: DataFrame, length: int, cut: Callable[[], Cut]) -> DataFrame:
-    """The content of the chosen segments; each text is visited once for all of its segments."""
+    """The content of the chosen segments; each text is visited once for all of its segments.
+
+    Repeated rows lie next to each other behind the merge join, and only the first of them is cut: a
+    text that a third of all rows have must not send its segments as often.
+    """
     wanted = prints.groupBy("row_id", "row_hash").agg(
         F.collect_list(F.struct("anchor", "members", "n", "first", "windows")).alias("parts")
     )
-    joined = keyed.join(wanted, ["row_id", "row_hash"])
+    joined = keyed.join(wanted.hint("merge"), ["row_id", "row_hash"])
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make = cut()
+        make, last = cut(), None
         for batch in batches:
             rows = []
             for row in batch.to_pylist():
+                if (row["row_id"], row["row_hash"]) == last:
+                    continue
+                last = row["row_id"], row["row_hash"]
                 at = [(p["first"], p["first"] + p["windows"] + length - 1) for p in row["parts"]]
                 for p, content in zip(row["parts"], make(row["text"], at), strict=True):
                     rows.append((p["anchor"], p["members"], p["n"], row["row_id"], row["row_hash"], p["first"], content))
