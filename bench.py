@@ -36,6 +36,7 @@ HEADLINE = (
     "gram",
     "pca_score",
     "inv_predict",
+    "inv_mine",
     "clu_nearest",
     "ifo_predict",
     "lr_predict",
