@@ -129,7 +129,7 @@ class SparseSvm:
         """Orthant-wise L-BFGS. Each round takes two Spark aggregates: the slope of the loss at the
         current weights (a number per column from each partition), and the loss at several step lengths.
 
-        Ends when the least subgradient is ``tol`` / 100 of what it was at the start.
+        Ends when the least subgradient is ``tol`` times what it was at the start.
         """
         table = training_table(vectors, class_weight)
         signed = F.when(F.col("label") > 0, 1.0).otherwise(-1.0)
@@ -155,7 +155,7 @@ class SparseSvm:
             for _ in range(max_iter):
                 steepest = least_subgradient(at, down)
                 start = np.abs(steepest).max() if start is None else start
-                if np.abs(steepest).max() <= 0.01 * tol * max(start, 1e-12):
+                if np.abs(steepest).max() <= tol * max(start, 1e-12):
                     break
                 direction = _quasi_newton(steepest, history)
                 direction[direction * steepest >= 0] = 0.0

@@ -445,7 +445,7 @@ def test_sparse_svm_reaches_the_minimum(spark, labelled):
         g = w + step * 2 * (np.maximum(1 - rows @ w, 0) @ rows)
         w = np.sign(g) * np.maximum(np.abs(g) - step, 0)
     model = classifiers.SparseSvm.fit(
-        frame(spark, x, label=[int(v) for v in y]).select("features", "label"), 3, tol=0.01
+        frame(spark, x, label=[int(v) for v in y]).select("features", "label"), 3, tol=1e-4
     )
     assert loss(model.weights) == pytest.approx(loss(w), rel=1e-4)
     # No direction lowers the loss: the slope is -sign(w) where w is not 0, and at most 1 elsewhere.
@@ -460,7 +460,7 @@ def test_sparse_svm_of_many_columns(spark):
     x = rng.poisson(0.3, (300, 400)).astype(float)
     y = (x[:, 3] + x[:, 70] > x[:, 200] + 0.5).astype(int)
     train = frame(spark, x, label=[int(v) for v in y]).select("features", "label")
-    model = classifiers.SparseSvm.fit(train, 400, c=0.2, tol=0.1)
+    model = classifiers.SparseSvm.fit(train, 400, c=0.2, tol=1e-3)
     rows = np.column_stack([x, np.ones(300)]) * np.where(y > 0, 1.0, -1.0)[:, None]
     slope = -0.4 * (np.maximum(1 - rows @ model.weights, 0) @ rows)
     assert np.abs(classifiers.least_subgradient(model.weights, slope)).max() < 0.1
