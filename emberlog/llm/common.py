@@ -31,6 +31,16 @@ def with_row_key(docs: DataFrame, id_column: str = "doc_id", text: str = "text")
     )
 
 
+def packed_rows(docs: DataFrame) -> DataFrame:
+    """``doc_id``, ``text`` and the whole row as ``row``, so that no working column meets one of the user's."""
+    return docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+
+
+def unpacked(columns: list[str], changed: dict[str, Column]) -> list[Column]:
+    """The columns of ``row`` as they came, but for the changed ones."""
+    return [changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in columns]
+
+
 def bucket_count(rows: int, per_bucket: int = BUCKET_ROWS) -> int:
     """A power of two of buckets so that ``rows`` spread evenly leave ``per_bucket`` in each."""
     buckets = 1

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberlog.llm.common import bucket_count, running_sum, text_or_empty
+from emberlog.llm.common import bucket_count, packed_rows, running_sum, text_or_empty, unpacked
 from emberlog.session import stage
 
 MAX_EPOCHS = 3
@@ -124,7 +124,7 @@ def first_words(text: Column, words: Column) -> Column:
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """The documents as often as they are read, the last reading cut to the words it takes."""
-    readings = mix(docs, weights, max_epochs).where("taken > 0")
+    readings = mix(docs.select("doc_id", "source", "text"), weights, max_epochs).where("taken > 0")
     # Repeated rows have one reading each; one number per reading keeps them from multiplying.
     copies = Window.partitionBy("doc_id", "row_hash", "epoch").orderBy("position")
     readings = readings.withColumn("_copy", F.row_number().over(copies)).select(
@@ -134,19 +134,19 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_e
         (F.col("taken") < F.col("size")).alias("_cut"),
         F.col("taken").alias("_taken"),
     )
-    keyed = docs.withColumns({"_own": F.xxhash64(text_or_empty())})
+    keyed = packed_rows(docs).withColumn("_own", F.xxhash64(text_or_empty()))
     mine = Window.partitionBy("doc_id", "_own").orderBy(F.lit(0))
     keyed = keyed.withColumn("_number", F.row_number().over(mine))
     same = (
         F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_hash")) & (F.col("_number") == F.col("_copy"))
     )
-    cut = F.when(F.col("_cut"), first_words(text_or_empty(), F.col("_taken"))).otherwise(F.col("text"))
-    joined = keyed.join(readings, same).withColumn("text", cut)
+    cut = F.when(F.col("_cut"), first_words(text_or_empty("row.text"), F.col("_taken"))).otherwise(F.col("row.text"))
+    joined = keyed.join(readings, same).withColumn("_text", cut)
+    new = {"text": F.col("_text")}
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        count = F.when(F.col("_cut"), F.length("text")).otherwise(F.col("n_chars")).cast(kind)
-        joined = joined.withColumn("n_chars", count)
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns])
+        new["n_chars"] = F.when(F.col("_cut"), F.length("_text")).otherwise(F.col("row.n_chars")).cast(kind)
+    return joined.select(*unpacked(docs.columns, new))
 
 
 def mixed_sizes(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = MAX_EPOCHS) -> DataFrame:

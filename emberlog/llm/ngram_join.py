@@ -8,12 +8,13 @@ threshold; the result is the component of every document, not its pairs.
    elements; cut by hash into m > d parts, they agree in at least m - d of them. Each class emits a
    hash of every part for its two tiles, and classes that meet nowhere cannot link. A part holds about
    six n-grams, so frequent n-grams bring nobody together who does not share most of a set.
-2. In each meeting place, the least class is compared with the others (a star). The compared sets are
-   bounded first by bitmaps: elements in bits that the other set has not are not shared. Only pairs
-   that may reach the threshold have their sorted arrays intersected.
+2. In each meeting place, the least class is compared with the others (a star).
 3. Places where the stars leave more than one component are settled by tiles of whole groups, block
-   against block: every pair of classes in different components that meets somewhere, again bounded by
-   bitmaps first.
+   against block: every pair of classes in different components that meets somewhere.
+4. Both comparisons run in two steps. First only bitmaps travel, with 16 bits of each part in step 3:
+   elements in bits that the other set has not are not shared, which bounds the overlap from above.
+   Then texts are sent to the tiles in which some pair may reach the threshold, those of such pairs
+   only, and their sorted arrays are intersected.
 
 So no link between different texts is lost, and dense groups cost their stars only.
 
@@ -35,12 +36,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberlog.llm.anchors import MULTIPLIER, mix, word_hashes
-from emberlog.llm.common import bucket_count, text_or_empty, with_row_key
+from emberlog.llm.common import bucket_count, packed_rows, text_or_empty, with_row_key
 from emberlog.llm.components import components
 from emberlog.session import stage
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 BITS = 2_048
+# The mark of an empty part in which sets may agree; those of other parts are less.
+EMPTY = 65_535
 # Elements of all sets that one tile should hold; larger tiles send a text to fewer of them.
 TILE_ELEMENTS = 1_000_000
 
@@ -87,21 +90,30 @@ def set_print(found: np.ndarray) -> int:
     return int(mix(np.array([np.sum(mix(found)) + np.uint64(len(found))], dtype=np.uint64)).view(np.int64)[0])
 
 
+def tiles_of(size: int, join: Join) -> range:
+    """The one or two tiles that sets of this size are in."""
+    band = int(np.searchsorted(join.edges, size, side="right")) - 1
+    return range(max(band - 1, 0), band + 1)
+
+
+def part_sums(found: np.ndarray, weights: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sum of the weights and the number of every part, of m, that is not empty."""
+    # Parts are ranges of the hash, so the sorted set is cut, not dealt.
+    part = ((found >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype(np.int64)
+    starts = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1])
+    return np.add.reduceat(weights, starts), part[starts].astype(np.uint64)
+
+
 def signatures(found: np.ndarray, join: Join) -> np.ndarray:
     """The hashes under which a class meets others: one for each part of its two tiles."""
-    band = int(np.searchsorted(join.edges, len(found), side="right")) - 1
     weights = mix(found)
     out = []
-    for tile in range(max(band - 1, 0), band + 1):
+    for tile in tiles_of(len(found), join):
         m, d = join.parts(tile)
         if not d:  # only equal sets link, and they are one class
             continue
-        # Parts are ranges of the hash, so the sorted set is cut, not dealt.
-        part = ((found >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype(np.int64)
-        starts = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1])
-        sums = np.add.reduceat(weights, starts)
-        places = part[starts].astype(np.uint64)
-        if m - len(starts) >= m - d:  # sets may agree in empty parts only
+        sums, places = part_sums(found, weights, m)
+        if m - len(places) >= m - d:  # sets may agree in empty parts only
             empty = np.setdiff1d(np.arange(m, dtype=np.uint64), places)
             sums, places = np.append(sums, np.zeros(len(empty), np.uint64)), np.append(places, empty)
         seed = np.uint64((tile + 1) * MULTIPLIER & (2**64 - 1))
@@ -109,6 +121,22 @@ def signatures(found: np.ndarray, join: Join) -> np.ndarray:
     return np.concatenate(out).view(np.int64) if out else np.zeros(0, dtype=np.int64)
 
 
+def short_marks(found: np.ndarray, join: Join, tile: int) -> np.ndarray:
+    """16 bits for each part of a tile: 0 is an empty part that does not count, EMPTY one that does.
+
+    Sets that link have equal marks other than 0 in some part, like equal signatures.
+    """
+    m, d = join.parts(tile)
+    marks = np.zeros(m if d else 0, dtype=np.uint16)
+    if not d or not len(found):
+        return marks
+    sums, places = part_sums(found, mix(found), m)
+    if m - len(places) >= m - d:
+        marks[:] = EMPTY
+    marks[places.astype(np.int64)] = mix(sums + places) % np.uint64(EMPTY - 1) + np.uint64(1)
+    return marks
+
+
 CLASSES = "row_id long, row_hash long, size long, class long"
 
 
@@ -135,15 +163,19 @@ def stars(keyed: DataFrame, join: Join, rows: int) -> DataFrame:
     """Distinct (a, b): a class and the least class that it meets somewhere."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Copies in one partition of the input emit their places once.
+        known: set[int] = set()
         for batch in batches:
             places, owners, size = [], [], 0
             for text in batch.column(2):
                 found = elements(text.as_py(), join.n)
-                if not len(found):
+                one = set_print(found)
+                if not len(found) or one in known:
                     continue
+                known.add(one)
                 mine = signatures(found, join)
                 places.append(mine)
-                owners.append(np.full(len(mine), set_print(found), dtype=np.int64))
+                owners.append(np.full(len(mine), one, dtype=np.int64))
                 size += len(mine)
                 if size > 500_000:
                     yield _two(places, owners, ("place", "class"))
@@ -186,12 +218,11 @@ def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
 
 
 class Meetings:
-    """Which sets of a tile meet under a signature; sets that link always do."""
+    """Which sets of a tile have a mark in common; sets that link always do."""
 
-    def __init__(self, sets: list[np.ndarray], join: Join):
-        marks = [signatures(x, join) if len(x) else np.zeros(0, dtype=np.int64) for x in sets]
+    def __init__(self, marks: list[np.ndarray]):
         places = np.concatenate(marks)
-        owners = np.repeat(np.arange(len(sets)), [len(x) for x in marks])
+        owners = np.repeat(np.arange(len(marks)), [len(x) for x in marks])
         order = np.argsort(places, kind="stable")
         places, owners = places[order], owners[order]
         sizes = np.diff(np.flatnonzero(np.concatenate([[True], places[1:] != places[:-1], [True]]))) if len(places) else []
@@ -202,7 +233,7 @@ class Meetings:
         group = np.repeat(np.arange(len(kept)), kept)
         by_owner = np.argsort(self.members, kind="stable")
         self.groups = group[by_owner]
-        self.first = np.searchsorted(self.members[by_owner], np.arange(len(sets) + 1))
+        self.first = np.searchsorted(self.members[by_owner], np.arange(len(marks) + 1))
 
     def of(self, one: int) -> np.ndarray:
         """The sets that meet set ``one``, itself included."""
@@ -212,27 +243,123 @@ class Meetings:
         return np.unique(np.concatenate([self.members[self.ends[g] : self.ends[g + 1]] for g in groups]))
 
 
-def linked(one: int, others: np.ndarray, sets: list, sizes: np.ndarray, maps: np.ndarray, join: Join) -> list[int]:
-    """Those of ``others`` that link with set ``one``."""
+def possible(one: int, others: np.ndarray, sizes: np.ndarray, maps: np.ndarray, join: Join) -> np.ndarray:
+    """Those of ``others`` that may link with set ``one`` by their sizes and bitmaps."""
     size = sizes[one]
     fits = (100 * np.minimum(sizes[others], size) >= join.percent * np.maximum(sizes[others], size)) & (sizes[others] > 0)
     others = others[fits]
     if not len(others) or not size:
-        return []
+        return others[:0]
     mine, theirs = maps[one], maps[others]
     most = np.minimum(
         size - np.bitwise_count(mine & ~theirs).sum(axis=1, dtype=np.int64),
         sizes[others] - np.bitwise_count(theirs & ~mine).sum(axis=1, dtype=np.int64),
     )
-    others = others[100 * most >= join.percent * (size + sizes[others] - most)]
+    return others[100 * most >= join.percent * (size + sizes[others] - most)]
+
+
+def linked(one: int, others: np.ndarray, sets: list, sizes: np.ndarray, maps: np.ndarray, join: Join) -> list[int]:
+    """Those of ``others`` that link with set ``one``."""
     found = []
-    for k in others:
+    for k in possible(one, others, sizes, maps, join):
         shared = len(np.intersect1d(sets[one], sets[k], assume_unique=True))
-        if join.links(int(size), int(sizes[k]), shared):
+        if join.links(int(sizes[one]), int(sizes[k]), shared):
             found.append(int(k))
     return found
 
 
+OUTLINES = "class long, size long, map binary, low binary, high binary"
+
+
+def outlines(texts: DataFrame, join: Join) -> DataFrame:
+    """What the first step needs of a class: size, bitmap, and marks in its lower and its upper tile.
+
+    A bitmap has at least two bits for an element, a power of two of them, so that wide ones fold to
+    narrow ones.
+    """
+
+    def outline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for one, text in zip(batch.column(0), batch.column(1), strict=True):
+                found = elements(text.as_py(), join.n)
+                bits = np.zeros(max(512, 1 << (2 * len(found) - 1).bit_length()), dtype=bool)
+                bits[(found & np.uint64(len(bits) - 1)).astype(np.int64)] = True
+                tiles = tiles_of(len(found), join)
+                marks = [short_marks(found, join, tile).tobytes() for tile in (tiles[0], tiles[-1])]
+                rows.append((one.as_py(), len(found), np.packbits(bits).tobytes(), *marks))
+            if rows:
+                kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+                columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, names=["class", "size", "map", "low", "high"])
+
+    return texts.select("class", "text").mapInArrow(outline, OUTLINES)
+
+
+def folded(maps: list[bytes]) -> np.ndarray:
+    """Bitmaps of different widths as rows of the least width."""
+    width = min(len(x) for x in maps)
+    rows = [np.bitwise_or.reduce(np.frombuffer(x, dtype=np.uint8).reshape(-1, width), axis=0) for x in maps]
+    return np.stack(rows).view(np.uint64)
+
+
+def _places(marks: bytes) -> np.ndarray:
+    """Part and mark as one number, for the parts that count."""
+    found = np.frombuffer(marks, dtype=np.uint16).astype(np.int64)
+    parts = np.flatnonzero(found)
+    return parts * 65_536 + found[parts]
+
+
+def _by_tile(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
+    """The rows of each tile; rows of one tile follow each other."""
+    held: list[dict] = []
+    for batch in batches:
+        for row in batch.to_pylist():
+            if held and row["tile"] != held[0]["tile"]:
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
+
+
+CANDIDATES = "class long, tile long, role int, label long"
+
+
+def _tile_candidates(join: Join):
+    """The rows of tiles that may link with some row of another label there."""
+
+    def screen(rows: list[dict]) -> list[dict]:
+        sizes = np.array([r["size"] for r in rows], dtype=np.int64)
+        maps = folded([r["map"] for r in rows])
+        role = np.array([r["role"] for r in rows])
+        names: dict[int, int] = {}
+        label = np.array([names.setdefault(r["label"], i) for i, r in enumerate(rows)])
+        centres = np.flatnonzero(role == 0)
+        members = np.flatnonzero(role == 1)
+        meetings = None if len(centres) else Meetings([_places(r["marks"]) for r in rows])
+        hit = np.zeros(len(rows), dtype=bool)
+        for one in centres if len(centres) else range(len(rows)):
+            if len(centres):
+                others = members
+            else:
+                others = meetings.of(int(one))
+                others = others[(others > one) & ((role[others] != role[one]) | (role[one] == 4))]
+            others = possible(int(one), others[label[others] != label[one]], sizes, maps, join)
+            hit[others] = True
+            hit[one] |= len(others) > 0
+        return [rows[i] for i in np.flatnonzero(hit)]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _by_tile(batches):
+            if found := screen(rows):
+                kinds = {"class": pa.int64(), "tile": pa.int64(), "role": pa.int32(), "label": pa.int64()}
+                columns = [pa.array([r[name] for r in found], kind) for name, kind in kinds.items()]
+                yield pa.RecordBatch.from_arrays(columns, names=list(kinds))
+
+    return work
+
+
 def _tile_links(join: Join):
     """Links inside tiles: of centres (role 0) with the rest, or of all pairs with different labels.
 
@@ -249,7 +376,8 @@ def _tile_links(join: Join):
         out = []
         centres = [i for i in range(len(rows)) if rows[i]["role"] == 0]
         block = np.array([r["role"] for r in rows])
-        meetings = None if centres else Meetings(sets, join)
+        none = np.zeros(0, dtype=np.int64)
+        meetings = None if centres else Meetings([signatures(x, join) if len(x) else none for x in sets])
         for one in centres or range(len(rows)):
             if centres:
                 others = np.flatnonzero(block == 1)
@@ -265,19 +393,12 @@ def _tile_links(join: Join):
         return out
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, last, out = [], None, []
-        for batch in batches:
-            for row in batch.to_pylist():
-                if row["tile"] != last and held:
-                    out += settle(held)
-                    held = []
-                    if len(out) > 10_000:
-                        yield _links(out)
-                        out = []
-                last = row["tile"]
-                held.append(row)
-        if held:
-            out += settle(held)
+        out = []
+        for rows in _by_tile(batches):
+            out += settle(rows)
+            if len(out) > 10_000:
+                yield _links(out)
+                out = []
         yield _links(out)
 
     return work
@@ -288,15 +409,26 @@ def _links(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def _compare(places: DataFrame, texts: DataFrame, join: Join) -> DataFrame:
-    """Links (a, b) found in tiles; ``places`` has class, tile, role and label.
+def _dealt(places: DataFrame, what: DataFrame) -> DataFrame:
+    """The columns of a class, fetched once, in each of its tiles; rows of a tile follow each other."""
+    at = [c for c in places.columns if c != "class"]
+    wanted = places.groupBy("class").agg(F.collect_list(F.struct(*at)).alias("at"))
+    sent = what.join(wanted, "class").withColumn("at", F.explode("at")).select(*what.columns, "at.*")
+    if "upper" in at:
+        sent = sent.withColumn("marks", F.when(F.col("upper"), F.col("high")).otherwise(F.col("low")))
+        sent = sent.withColumn("marks", F.when(F.col("role") > 1, F.col("marks"))).drop("low", "high", "upper")
+    return sent.repartition("tile").sortWithinPartitions("tile", "role", "class")
+
 
-    The text of a class is fetched once and then sent to its tiles.
+def _compare(places: DataFrame, known: DataFrame, texts: DataFrame, join: Join) -> DataFrame:
+    """Links (a, b) found in tiles; ``places`` has class, tile, role, label and which marks count (upper).
+
+    Outlines go to all tiles, texts to those in which they may link.
     """
-    wanted = places.groupBy("class").agg(F.collect_list(F.struct("tile", "role", "label")).alias("at"))
-    sent = texts.join(wanted, "class").select("class", "text", F.explode("at").alias("at")).select("class", "text", "at.*")
-    dealt = sent.repartition("tile").sortWithinPartitions("tile", "role", "class")
-    return dealt.select("tile", "role", "label", "class", "text").mapInArrow(_tile_links(join), "a long, b long")
+    few = _dealt(places, known).select("tile", "role", "label", "class", "size", "map", "marks")
+    few = stage(few.mapInArrow(_tile_candidates(join), CANDIDATES), "join-candidates")
+    dealt = _dealt(few, texts).select("tile", "role", "label", "class", "text")
+    return dealt.mapInArrow(_tile_links(join), "a long, b long")
 
 
 def _star_places(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -308,7 +440,8 @@ def _star_places(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
     ).withColumn("tile", F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("_shares"))))
     members = cut.select(F.col("b").alias("class"), "tile", F.lit(1).alias("role"), F.col("b").alias("label"))
     centres = cut.select("a", "tile").distinct()
-    return members.union(centres.select(F.col("a").alias("class"), "tile", F.lit(0).alias("role"), F.col("a").alias("label")))
+    both = members.union(centres.select(F.col("a").alias("class"), "tile", F.lit(0).alias("role"), F.col("a").alias("label")))
+    return both.withColumn("upper", F.lit(False))
 
 
 def _group_places(members: DataFrame, join: Join) -> DataFrame:
@@ -333,19 +466,23 @@ def _group_places(members: DataFrame, join: Join) -> DataFrame:
         lambda other: F.struct(
             tile(mine, F.least(block, other), mine, F.greatest(block, other)).alias("tile"),
             F.when(other == block, 4).when(block < other, 2).otherwise(3).alias("role"),
+            F.lit(False).alias("upper"),
         ),
     )
     upward = F.transform(
-        every(F.coalesce("more", F.lit(0))), lambda other: F.struct(tile(mine, block, mine + 1, other).alias("tile"), F.lit(2).alias("role"))
+        every(F.coalesce("more", F.lit(0))),
+        lambda other: F.struct(tile(mine, block, mine + 1, other).alias("tile"), F.lit(2).alias("role"), F.lit(True).alias("upper")),
     )
     downward = F.transform(
-        every(F.coalesce("fewer", F.lit(0))), lambda other: F.struct(tile(mine - 1, other, mine, block).alias("tile"), F.lit(3).alias("role"))
+        every(F.coalesce("fewer", F.lit(0))),
+        lambda other: F.struct(tile(mine - 1, other, mine, block).alias("tile"), F.lit(3).alias("role"), F.lit(False).alias("upper")),
     )
     upward = F.when(F.coalesce("more", F.lit(0)) > 0, upward).otherwise(F.expr("array()"))
     downward = F.when(F.coalesce("fewer", F.lit(0)) > 0, downward).otherwise(F.expr("array()"))
-    return near.select("class", "label", F.explode(F.concat(within, upward, downward)).alias("at")).select(
-        "class", "at.tile", "at.role", "label"
-    )
+    placed = near.select("class", "label", F.explode(F.concat(within, upward, downward)).alias("at"))
+    # Two sets of one band and the next are both in the tile that begins with the lower band; two of the
+    # same band are in that tile and in the one before.
+    return placed.select("class", "at.tile", "at.role", "label", "at.upper")
 
 
 def linked_classes(docs: DataFrame, join: Join) -> tuple[DataFrame, DataFrame]:
@@ -363,7 +500,8 @@ def linked_classes(docs: DataFrame, join: Join) -> tuple[DataFrame, DataFrame]:
     texts = keyed.join(candidates, ["row_id", "row_hash"]).select("class", "text").dropDuplicates(["class"])
     texts = stage(texts, "join-texts")
 
-    links = stage(_compare(_star_places(pairs, sizes), texts, join), "join-links")
+    known = stage(outlines(texts, join), "join-outlines")
+    links = stage(_compare(_star_places(pairs, sizes), known, texts, join), "join-links")
     labels = components(links, "join-first")
     label = lambda side: labels.select(F.col("node").alias(side), F.col("component").alias(f"l{side}"))
     open_pairs = (
@@ -383,7 +521,7 @@ def linked_classes(docs: DataFrame, join: Join) -> tuple[DataFrame, DataFrame]:
         .join(groups, "label")
         .join(sizes.select("class", "size"), "class")
     )
-    more = stage(_compare(_group_places(inside, join), texts, join), "join-more-links")
+    more = stage(_compare(_group_places(inside, join), known, texts, join), "join-more-links")
     if more.isEmpty():
         return classes, labels
     return classes, components(links.union(more), "join-last")
@@ -410,14 +548,13 @@ def one_of_each(docs: DataFrame, join: Join = Join()) -> DataFrame:
 
     Documents without words are kept. Of repeated rows one stays.
     """
-    classes, labels = linked_classes(docs, join)
+    classes, labels = linked_classes(docs.select("doc_id", "text"), join)
     place = F.struct((F.col("row_id") == -(2**63)).alias("unnamed"), "row_id", "row_hash")
     found = classes.where("size > 0").join(labels.withColumnRenamed("node", "class"), "class", "left")
     first = found.groupBy(F.coalesce("component", "class").alias("_c")).agg(F.min(place).alias("one"))
     first = first.select("one.row_id", "one.row_hash")
-    keyed = with_row_key(docs)
+    keyed = with_row_key(packed_rows(docs))
     empty = classes.where("size = 0").select("row_id", "row_hash").distinct()
     chosen = keyed.join(first.union(empty), ["row_id", "row_hash"])
     # Repeated rows share their key; the words of a row do not tell them apart.
-    chosen = chosen.dropDuplicates(["row_id", "row_hash"])
-    return chosen.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return chosen.dropDuplicates(["row_id", "row_hash"]).select("row.*")

@@ -168,8 +168,7 @@ def quality(docs: DataFrame, rules: BaseRules = BaseRules(), bands: Bands = Band
 
 def accepted(docs: DataFrame, rules: BaseRules = BaseRules(), bands: Bands = Bands(), text: str = "text") -> DataFrame:
     """The documents that pass, with the columns they came with."""
-    scored = docs.withColumn("_quality", _scorer(rules, bands)(text_or_empty(text)))
-    return scored.where("_quality.kept").drop("_quality")
+    return docs.where(_scorer(rules, bands)(text_or_empty(text))["kept"])
 
 
 # Rows of the sample that limits are fitted to, at most; its ratios come to the driver.

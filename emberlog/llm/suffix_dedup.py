@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberlog.llm import anchors
-from emberlog.llm.common import text_or_empty, with_row_key
+from emberlog.llm.common import packed_rows, text_or_empty, unpacked, with_row_key
 
 LENGTH = 200
 GRAM = 32
@@ -165,8 +165,7 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
 
     A text of which nothing is left becomes the empty text.
     """
-    names = docs.columns
-    marked = with_spans(docs, length, gram)
+    marked = with_spans(packed_rows(docs), length, gram)
 
     @F.pandas_udf("string")
     def shorten(texts, spans):
@@ -180,8 +179,10 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
         return pd.Series(kept, dtype=object)
 
     changed = F.col("spans").isNotNull()
-    shorter = marked.withColumn("text", F.when(changed, shorten(text_or_empty(), "spans")).otherwise(F.col("text")))
-    if "n_chars" in names:
+    shorter = F.when(changed, shorten(text_or_empty("row.text"), "spans")).otherwise(F.col("row.text"))
+    shorter = marked.select("row", "spans", shorter.alias("shorter"))
+    new = {"text": F.col("shorter")}
+    if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        shorter = shorter.withColumn("n_chars", F.when(changed, F.length("text")).otherwise(F.col("n_chars")).cast(kind))
-    return shorter.select(*[F.col(f"`{c}`") for c in names])
+        new["n_chars"] = F.when(changed, F.length("shorter")).otherwise(F.col("row.n_chars")).cast(kind)
+    return shorter.select(*unpacked(docs.columns, new))
