@@ -72,14 +72,56 @@ WHOLE = frozenset(["body", "html", "head"])
 # This bit of the hash of a subtree says whether it is prose.
 PROSE_BIT = 1
 
-TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
-    re.S,
-)
+# A comment or declaration as a whole, or the beginning of a tag.
+OPENING = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)(?=[A-Za-z])", re.S)
+NAME_END = re.compile(r"[\s/>]")
+# Where the attributes of a tag end, or a quoted value begins.
+STOP = re.compile(r"[>\"']")
 NAME_ATTRIBUTES = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 
 
+class _Tags:
+    """Where tags end, found in time proportional to the page however many tags never end.
+
+    A tag ends at the first > that is not in quotes. Every search is remembered: the next name end and
+    the next stop serve all places before them, and a stop from which no tag ends is not tried again.
+    """
+
+    def __init__(self, source: str):
+        self.source = source
+        self.names = (0, -1)  # no name ends in source[a:b]; at b one does
+        self.stops = (0, -1)
+        self.endless: set[int] = set()
+
+    def _next(self, pattern: re.Pattern, known: tuple[int, int], at: int) -> tuple[int, int]:
+        if known[0] <= at <= known[1]:
+            return known
+        m = pattern.search(self.source, at)
+        return at, m.start() if m else len(self.source)
+
+    def end(self, start: int) -> tuple[int, int] | None:
+        """(end of the name, place of the >) of the tag whose name starts here; none if it never ends."""
+        size = len(self.source)
+        self.names = self._next(NAME_END, self.names, start)
+        name_end = self.names[1]
+        if name_end == size:
+            return None
+        self.stops = self._next(STOP, self.stops, name_end)
+        at, tried = self.stops[1], []
+        while at < size and at not in self.endless:
+            if self.source[at] == ">":
+                return name_end, at
+            tried.append(at)
+            close = self.source.find(self.source[at], at + 1)
+            if close < 0:
+                break
+            m = STOP.search(self.source, close + 1)
+            at = m.start() if m else size
+        self.endless.update(tried)
+        return None
+
+
 @dataclass
 class _Element:
     tag: str
@@ -94,11 +136,11 @@ class _Element:
 
 @dataclass
 class Block:
-    """A block of text with the numbers of the subtrees around it that a template may be."""
+    """A block of text; ``number`` counts all blocks of the page."""
 
     text: str
     main: bool
-    marks: list[int] = field(default_factory=list)
+    number: int = 0
 
 
 def _names(attributes: str) -> tuple[str, bool]:
@@ -123,6 +165,7 @@ class _Page:
         self.blocks: list[Block] = []
         self.buffer: list[str] = []
         self.seen: dict[int, int] = {}  # the hashes of all subtrees, of dropped ones too, numbered
+        self.runs: list[tuple[int, int, int]] = []  # subtrees that may be templates: number, first block, block after
         self.has_main = False
 
     def text(self, raw: str) -> None:
@@ -141,7 +184,7 @@ class _Page:
             text = " ".join(html.unescape("".join(self.buffer)).split())
             self.buffer.clear()
             if text:
-                self.blocks.append(Block(text, self.open[-1].main))
+                self.blocks.append(Block(text, self.open[-1].main, len(self.blocks)))
                 self.open[-1].parts.append(text)
                 self.open[-1].words = True
 
@@ -168,6 +211,8 @@ class _Page:
 
     def _close_until(self, tags: frozenset[str]) -> None:
         """Closes the innermost open element of ``tags``, unless a barrier is open inside it."""
+        if not any(self.opened[tag] for tag in tags):
+            return
         for element in reversed(self.open):
             if element.tag in tags:
                 self._pop(element.tag)
@@ -196,7 +241,7 @@ class _Page:
                 return
 
     def _mark(self, element: _Element) -> None:
-        """Hashes a closed subtree from its text and the hashes of its children, and notes it on its blocks.
+        """Hashes a closed subtree from its text and the hashes of its children, and notes which blocks it has.
 
         What the rules drop is no part of the subtree around it, so adverts do not make equal boxes differ.
         """
@@ -209,10 +254,8 @@ class _Page:
         if element.tag not in BLOCKS or element.tag in WHOLE or not element.words:
             return
         number = self.seen.setdefault(print_, len(self.seen))
-        if element.dropped:
-            return
-        for block in self.blocks[element.first :]:
-            block.marks.append(number)
+        if not element.dropped and element.first < len(self.blocks):
+            self.runs.append((number, element.first, len(self.blocks)))
 
     def close(self) -> list[Block]:
         self.flush()
@@ -226,53 +269,69 @@ def blocks_of(source: str) -> list[Block]:
     return parse_page(source)[0]
 
 
-def parse_page(source: str) -> tuple[list[Block], list[int]]:
-    """The blocks of a page that may be main text, and the hashes of all its subtrees by number."""
-    page, at, size = _Page(), 0, len(source)
+def parse_page(source: str) -> tuple[list[Block], list[int], list[tuple[int, int, int]]]:
+    """The blocks of a page that may be main text, the hashes of all its subtrees by number, and the runs
+    of blocks of those that may be templates."""
+    page, tags, at, size = _Page(), _Tags(source), 0, len(source)
+    looked = 0
     while at < size:
-        m = TAG.search(source, at)
+        m = OPENING.search(source, looked)
         if m is None:
             page.text(source[at:])
             break
-        page.text(source[at : m.start()])
-        at = m.end()
-        tag = (m[2] or "").lower()
-        if not tag:
+        if m[1] is None:  # a comment or declaration
+            page.text(source[at : m.start()])
+            at = looked = m.end()
             continue
+        place = tags.end(m.end())
+        if place is None:  # never ends, so its < is text
+            looked = m.end()
+            continue
+        page.text(source[at : m.start()])
+        tag, attributes = source[m.end() : place[0]].lower(), source[place[0] : place[1]]
+        at = looked = place[1] + 1
         if m[1]:
             page.end(tag)
             continue
-        page.start(tag, m[3] or "")
+        page.start(tag, attributes)
         if tag in RAW:
-            end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(source, at)
+            end = re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(source, at)
             inside = source[at : end.start()] if end else source[at:]
             page.text(inside)
-            at = end.end() if end else size
+            at = looked = end.end() if end else size
             page.end(tag)
-    return page.close(), list(page.seen)
+    return page.close(), list(page.seen), page.runs
 
 
 BLOCK_ROWS = (
     "page_id long, url string, host string, page_print long, seen array<long>, "
-    "blocks array<struct<text: string, marks: array<int>>>"
+    "blocks array<struct<text: string, number: int>>, runs array<struct<number: int, low: int, high: int>>"
 )
 
 
 def _parsed(pages: DataFrame) -> DataFrame:
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("text", pa.string()), ("marks", pa.list_(pa.int32()))]))
+        kind = pa.list_(pa.struct([("text", pa.string()), ("number", pa.int32())]))
+        run = pa.list_(pa.struct([("number", pa.int32()), ("low", pa.int32()), ("high", pa.int32())]))
         for batch in batches:
             for low in range(0, batch.num_rows, 500):
                 part = batch.slice(low, 500)
-                blocks, prints, subtrees = [], [], []
+                blocks, prints, subtrees, runs = [], [], [], []
                 for source in part.column(3):
-                    found, seen = parse_page(source.as_py() or "")
+                    found, seen, within = parse_page(source.as_py() or "")
                     subtrees.append(seen)
-                    blocks.append([{"text": b.text, "marks": b.marks} for b in found])
+                    runs.append([{"number": n, "low": a, "high": b} for n, a, b in within])
+                    blocks.append([{"text": b.text, "number": b.number} for b in found])
                     prints.append(xxhash.xxh64_intdigest("\n".join(b.text for b in found).encode("utf-8", "surrogatepass")) - 2**63)
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:3], pa.array(prints, pa.int64()), pa.array(subtrees, pa.list_(pa.int64())), pa.array(blocks, kind)],
-                    names=["page_id", "url", "host", "page_print", "seen", "blocks"],
+                    [
+                        *part.columns[:3],
+                        pa.array(prints, pa.int64()),
+                        pa.array(subtrees, pa.list_(pa.int64())),
+                        pa.array(blocks, kind),
+                        pa.array(runs, run),
+                    ],
+                    names=["page_id", "url", "host", "page_print", "seen", "blocks", "runs"],
                 )
 
     return pages.select("page_id", "url", "host", "html").mapInArrow(parse, BLOCK_ROWS)
@@ -316,9 +375,9 @@ def main_text(
     # Written, so that its size is known and few templates do not make the texts travel.
     of_page = marks.join(templates, ["host", "mark"]).groupBy("host", "page_print").agg(F.collect_set("mark").alias("gone"))
     rows = parsed.join(stage(of_page, "pages-with-templates"), ["host", "page_print"], "left")
-    inside = lambda b: F.transform(b["marks"], lambda i: F.element_at("seen", i + 1))
-    kept = F.when(F.col("gone").isNull(), F.col("blocks")).otherwise(
-        F.filter("blocks", lambda b: ~F.arrays_overlap(inside(b), F.col("gone")))
-    )
+    cut = F.filter("runs", lambda r: F.array_contains("gone", F.element_at("seen", r["number"] + 1)))
+    rows = rows.withColumn("cut", F.when(F.col("gone").isNotNull(), cut))
+    outside = lambda b: ~F.exists("cut", lambda r: (r["low"] <= b["number"]) & (b["number"] < r["high"]))
+    kept = F.when(F.col("cut").isNull(), F.col("blocks")).otherwise(F.filter("blocks", outside))
     text = F.array_join(F.transform(kept, lambda b: b["text"]), "\n\n")
     return rows.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))

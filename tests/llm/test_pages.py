@@ -2,6 +2,7 @@
 
 import html
 import re
+import time
 
 from emberlog.llm import html_extract
 
@@ -94,3 +95,16 @@ def test_recurrence_decides_over_structure(spark):
     assert all(got[100 + i] == f"own {i}" for i in range(30))
     assert all(got[200 + i] == f"other {i}" for i in range(3))
     assert sum("read also" in got[300 + i] for i in range(60)) == 25
+
+
+def test_hostile_pages_take_time_in_proportion():
+    """Tags that never end, open quotes, deep nesting: half a megabyte each, quadratic work would take minutes."""
+    size = 500_000
+    for piece in ("<a ", "<a", '<a "', "<a '\" ", "<div><p>x</p>", "<center><h1>", "<i><li>x", "</a ", "<!--", "<table><tr><td>", "</script "):
+        page = piece * (size // len(piece))
+        began = time.perf_counter()
+        html_extract.parse_page(page)
+        html_extract.parse_page("<script>" + page)
+        assert time.perf_counter() - began < 20, piece
+    assert texts('<a "' * 3) == ['<a "<a "<a "'] and texts("<a <a <b>x") == ["x"]
+    assert texts('<p title="a > b">x</p><p title=\'"\'>y</p>') == ["x", "y"]
