@@ -92,7 +92,7 @@ def count_vectors(wins: DataFrame, column: str, vocab: DataFrame, size: int) ->
     entry = F.when(F.col("idx").isNotNull(), F.struct("idx", "x"))
     once = per_symbol.groupBy(column).agg(F.sort_array(F.collect_list(entry)).alias("_entries"))
     dense = once.select(column, dense_vector(F.col("_entries"), size).cast("array<int>").alias("counts"))
-    return wins.join(dense, column)
+    return join_distinct(wins, dense, column)
 
 
 def distinct_windows(wins: DataFrame, key: str = "win") -> DataFrame:
@@ -100,9 +100,18 @@ def distinct_windows(wins: DataFrame, key: str = "win") -> DataFrame:
     return wins.groupBy(key).agg(F.count(F.lit(1)).alias("weight"))
 
 
+def join_distinct(wins: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """Windows with the columns of ``found``, which has one row per distinct ``key``.
+
+    Both sides are shuffled. Windows cut from a written table look as small as its files, whose few symbols
+    pack well, so without the hint millions of them would be broadcast through the driver.
+    """
+    return wins.join(found.hint("merge"), key)
+
+
 def score_distinct(wins: DataFrame, key: str, scorer) -> DataFrame:
     """Run ``scorer`` (DataFrame to DataFrame, keeping ``key``) once per distinct window."""
-    return wins.join(scorer(wins.select(key).distinct()), key)
+    return join_distinct(wins, scorer(wins.select(key).distinct()), key)
 
 
 def sequence_prints(positioned: DataFrame) -> DataFrame:

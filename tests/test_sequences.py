@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from emberlog.functions.sequences import PAD, dense_vector, one_hot_label, pad_left, pad_right
 from emberlog.operators import evaluate, likelihood, seqwin, sessions
 from emberlog.operators.nextevent import NextEventModel
+from emberlog.session import stage
 
 
 def one(spark, column, **values):
@@ -114,3 +115,23 @@ def test_score_distinct_reaches_every_occurrence(spark, make_rows):
     wins = seqwin.windows(chunks_of(make_rows({"a": list("ABABAB")})), 2, 4, 3)
     out = seqwin.score_distinct(wins, "win", lambda d: d.withColumn("first", F.col("win")[0]))
     assert sorted((r["pos"], r["first"]) for r in out.collect()) == list(enumerate("ABABA"))
+
+
+def _broadcast_joins(df):
+    """The join keys of the broadcast joins that the plan would run."""
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    return [line.split("BroadcastHashJoin ", 1)[1] for line in plan.splitlines() if "BroadcastHashJoin [" in line]
+
+
+def test_windows_of_small_files_are_not_broadcast(spark, make_rows):
+    rows = make_rows({f"s{i}": list("abcabcabd") for i in range(20)})
+    chunks = sessions.session_chunks(sessions.with_positions(rows))
+    written = stage(chunks, "chunks")  # a file of a few kB, whose windows take far more room
+    wins = seqwin.next_event_windows(written, 2)
+    model = NextEventModel.fit(wins.select("context", "next").distinct(), 2).staged()
+    hits = model.hits(wins, 1)
+    scored = seqwin.score_distinct(wins, "context", lambda d: d.withColumn("score", F.size("context")))
+    counted = seqwin.count_vectors(wins, "context", seqwin.vocabulary(make_rows({"s": list("abcd")})), 4)
+    for df in (hits, scored, counted):
+        assert not [k for k in _broadcast_joins(df) if "context" in k or "suffix" in k]
+        assert df.count() == 20 * 7
