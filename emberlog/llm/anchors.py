@@ -325,7 +325,8 @@ def _by_window(pieces: DataFrame, length: int, piece_units: Callable[[bytes], np
     schema = "anchor long, row_id long, row_hash long, low int, window long"
     windows = pieces.mapInArrow(expand, schema)
     often = windows.groupBy("anchor", "window").agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    return windows.join(often, ["anchor", "window"]).select(
+    # A window keeps its one row or loses it, however many others are equal to it.
+    return windows.join(often, ["anchor", "window"], "left_semi").select(
         "row_id", "row_hash", F.struct("low", (F.col("low") + 1).alias("high")).alias("span")
     )
 

@@ -27,24 +27,45 @@ from emberlog.llm.common import packed_rows, text_or_empty, unpacked, with_row_k
 
 LENGTH = 200
 GRAM = 32
+# Symbols (257 of them) that one number of 63 bits holds.
+FIRST = 7
 
 
 def suffix_order(symbols: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes in the order of (at least) their first ``length`` symbols, and each suffix's row.
 
-    Ranks double their reach in each round; suffixes that agree so far keep their text order.
+    Symbols are bytes, and separators (256 and more, one at the end), which come before all bytes. The
+    first ``FIRST`` symbols are sorted as one number; then the reach of the ranks doubles in each round,
+    and only suffixes that agree with another one so far are sorted again.
     """
-    ranks = np.unique(symbols, return_inverse=True)[1].astype(np.int64)
-    reach = 1
-    while reach < length:
-        n = len(ranks)
-        follow = np.zeros(n, dtype=np.int64)
-        follow[: n - reach] = ranks[reach:] + 1
-        ranks = np.unique(ranks * (n + 1) + follow, return_inverse=True)[1]
+    n = len(symbols)
+    places = np.arange(n)
+    parts = symbols >= 256
+    padded = np.append(np.where(parts, 0, symbols + 1), np.zeros(FIRST - 1, dtype=np.int64))
+    key = np.zeros(n, dtype=np.int64)
+    for k in range(FIRST):
+        key = key * 257 + padded[k : n + k]
+    stops = np.flatnonzero(parts)
+    # No two separators are equal, so a suffix that soon meets one agrees with no other.
+    alone = stops[np.searchsorted(stops, places)] - places < FIRST
+    order = np.argsort(key, kind="stable")
+    first = np.ones(n, dtype=bool)
+    first[1:] = (key[order[1:]] != key[order[:-1]]) | alone[order[1:]]
+    # A rank is the row of the first suffix that agrees.
+    ranks = np.empty(n, dtype=np.int64)
+    ranks[order] = np.maximum.accumulate(np.where(first, places, 0))
+    rows, reach = np.flatnonzero(~(first & np.append(first[1:], True))), FIRST
+    while reach < length and len(rows):
+        group, follow = ranks[order[rows]], ranks[order[rows] + reach]
+        by = np.argsort(group * n + follow)
+        group, follow, order[rows] = group[by], follow[by], order[rows][by]
+        first = np.ones(len(rows), dtype=bool)
+        first[1:] = (group[1:] != group[:-1]) | (follow[1:] != follow[:-1])
+        ranks[order[rows]] = rows[np.maximum.accumulate(np.where(first, places[: len(rows)], 0))]
+        rows = rows[~(first & np.append(first[1:], True))]
         reach *= 2
-    order = np.argsort(ranks, kind="stable")
     row = np.empty_like(order)
-    row[order] = np.arange(len(order))
+    row[order] = places
     return order, row
 
 

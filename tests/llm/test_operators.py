@@ -263,6 +263,17 @@ def test_suffix_search_finds_all():
                 assert found.tolist() == [i for i in range(len(t) - length + 1) if count[t[i : i + length]] > 1]
 
 
+def test_suffixes_that_differ_early_are_not_sorted_again(monkeypatch):
+    """Unlike before, a round sorts what agrees so far only, and texts may be shorter than the reach."""
+    assert [x.tolist() for x in suffix_dedup.repeated_starts([b"abc", b"abc"], 200)] == [[], []]
+    sizes, sort = [], np.argsort
+    monkeypatch.setattr(suffix_dedup.np, "argsort", lambda x, **k: sizes.append(len(x)) or sort(x, **k))
+    text = bytes(np.random.default_rng(5).integers(0, 256, 3_000).astype(np.uint8))
+    symbols = np.append(np.frombuffer(text + text[:300], dtype=np.uint8).astype(np.int64), 256)
+    suffix_dedup.suffix_order(symbols, 200)
+    assert sizes[0] == 3_301 and max(sizes[1:]) <= 600
+
+
 def test_automaton_finds_all():
     rng = np.random.default_rng(4)
     for length in (1, 2, 4):
