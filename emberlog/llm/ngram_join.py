@@ -8,13 +8,16 @@ threshold; the result is the component of every document, not its pairs.
    elements; cut by hash into m > d parts, they agree in at least m - d of them. Each class emits a
    hash of every part for its two tiles, and classes that meet nowhere cannot link. A part holds about
    six n-grams, so frequent n-grams bring nobody together who does not share most of a set.
-2. In each meeting place, the least class is compared with the others (a star).
-3. Places where the stars leave more than one component are settled by tiles of whole groups, block
-   against block: every pair of classes in different components that meets somewhere.
-4. Both comparisons run in two steps. First only bitmaps travel, with 16 bits of each part in step 3:
-   elements in bits that the other set has not are not shared, which bounds the overlap from above.
-   Then texts are sent to the tiles in which some pair may reach the threshold, those of such pairs
-   only, and their sorted arrays are intersected.
+2. In each meeting place, the least class (its centre) is compared with the others (a star).
+3. Where the stars leave more than one component in a place, all pairs of different components that
+   meet there are compared. A class leaves its most crowded places out: linked sets agree in m - d
+   parts at least, so they also meet in one that is not among the m - d - 1 most crowded of either.
+   Places with the same centre are one tile, so that a class is sent once for many places; the rows of
+   all tiles are at most those of the places. A crowded tile is cut into blocks.
+4. Both comparisons run in two steps. First only bitmaps travel, in step 3 with the places: elements
+   in bits that the other set has not are not shared, which bounds the overlap from above. Then texts
+   are sent to the tiles in which some pair may reach the threshold, those of such pairs only, and
+   their sorted arrays are intersected.
 
 So no link between different texts is lost, and dense groups cost their stars only.
 
@@ -32,7 +35,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberlog.llm.anchors import MULTIPLIER, mix, word_hashes
@@ -44,8 +47,10 @@ LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvw
 BITS = 2_048
 # The mark of an empty part in which sets may agree; those of other parts are less.
 EMPTY = 65_535
-# Elements of all sets that one tile should hold; larger tiles send a text to fewer of them.
+# Elements of all sets that the tile of a star should hold; larger tiles send a text to fewer of them.
 TILE_ELEMENTS = 1_000_000
+# So many times more in a tile of meeting places, in which few pairs need their texts.
+WIDER = 4
 
 
 @dataclass(frozen=True)
@@ -105,7 +110,10 @@ def part_sums(found: np.ndarray, weights: np.ndarray, m: int) -> tuple[np.ndarra
 
 
 def signatures(found: np.ndarray, join: Join) -> np.ndarray:
-    """The hashes under which a class meets others: one for each part of its two tiles."""
+    """The hashes under which a class meets others: one for each part of its two tiles.
+
+    The last bit of a hash tells the two tiles apart.
+    """
     weights = mix(found)
     out = []
     for tile in tiles_of(len(found), join):
@@ -117,7 +125,8 @@ def signatures(found: np.ndarray, join: Join) -> np.ndarray:
             empty = np.setdiff1d(np.arange(m, dtype=np.uint64), places)
             sums, places = np.append(sums, np.zeros(len(empty), np.uint64)), np.append(places, empty)
         seed = np.uint64((tile + 1) * MULTIPLIER & (2**64 - 1))
-        out.append(mix(mix(sums + places) + places * np.uint64(0xD6E8FEB86659FD93) + seed))
+        found_at = mix(mix(sums + places) + places * np.uint64(0xD6E8FEB86659FD93) + seed)
+        out.append(found_at & ~np.uint64(1) | np.uint64(tile & 1))
     return np.concatenate(out).view(np.int64) if out else np.zeros(0, dtype=np.int64)
 
 
@@ -137,6 +146,19 @@ def short_marks(found: np.ndarray, join: Join, tile: int) -> np.ndarray:
     return marks
 
 
+def spare_places(found: np.ndarray, join: Join, tile: int) -> int:
+    """How many of its places in a tile a set may leave out, if all sets leave out their most crowded ones.
+
+    Linked sets agree in m - d parts. Those that are empty in both have no place, so at least as many
+    places are left as this number and one.
+    """
+    marks = short_marks(found, join, tile)
+    if not len(marks) or (marks == EMPTY).any():
+        return 0
+    m, d = join.parts(tile)
+    return m - d - 1 - int((marks == 0).sum())
+
+
 CLASSES = "row_id long, row_hash long, size long, class long"
 
 
@@ -159,8 +181,11 @@ def document_classes(keyed: DataFrame, join: Join) -> DataFrame:
     return keyed.select("row_id", "row_hash", "text").mapInArrow(describe, CLASSES)
 
 
-def stars(keyed: DataFrame, join: Join, rows: int) -> DataFrame:
-    """Distinct (a, b): a class and the least class that it meets somewhere."""
+def meeting_places(keyed: DataFrame, join: Join, rows: int) -> DataFrame:
+    """``place, class, centre, crowd`` of the places where classes meet, each class once.
+
+    The centre is the least class of a place, the crowd the number of its classes.
+    """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Copies in one partition of the input emit their places once.
@@ -178,10 +203,10 @@ def stars(keyed: DataFrame, join: Join, rows: int) -> DataFrame:
                 owners.append(np.full(len(mine), one, dtype=np.int64))
                 size += len(mine)
                 if size > 500_000:
-                    yield _two(places, owners, ("place", "class"))
+                    yield _table(["place", "class"], np.concatenate(places), np.concatenate(owners))
                     places, owners, size = [], [], 0
             if size:
-                yield _two(places, owners, ("place", "class"))
+                yield _table(["place", "class"], np.concatenate(places), np.concatenate(owners))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
@@ -189,24 +214,27 @@ def stars(keyed: DataFrame, join: Join, rows: int) -> DataFrame:
             return
         places, owners = (np.concatenate(x) for x in zip(*held, strict=True))
         del held
-        order = np.argsort(places, kind="stable")
+        order = np.lexsort((owners, places))
         places, owners = places[order], owners[order]
+        # Copies in different partitions of the input.
+        first = np.concatenate([[True], (places[1:] != places[:-1]) | (owners[1:] != owners[:-1])])
+        places, owners = places[first], owners[first]
         starts = np.concatenate([[0], np.flatnonzero(np.diff(places)) + 1])
         sizes = np.diff(np.append(starts, len(places)))
-        centre = np.repeat(np.minimum.reduceat(owners, starts), sizes)
-        apart = owners != centre
-        pairs = np.unique(np.stack([centre[apart], owners[apart]], axis=1), axis=0)
-        for low in range(0, len(pairs), 100_000):
-            yield _two([pairs[low : low + 100_000, 0]], [pairs[low : low + 100_000, 1]], ("a", "b"))
+        crowds, centres = np.repeat(sizes, sizes), np.repeat(owners[starts], sizes)
+        met = crowds > 1
+        columns = [x[met] for x in (places, owners, centres, crowds)]
+        for low in range(0, len(columns[0]), 100_000):
+            yield _table(["place", "class", "centre", "crowd"], *(x[low : low + 100_000] for x in columns))
 
     met = keyed.select("row_id", "row_hash", "text").mapInArrow(emit, "place long, class long")
     # About half a million rows for each task, whatever the size of the table.
     tasks = max(24, bucket_count(rows, 2_048))
-    return met.repartition(tasks, "place").mapInArrow(meet, "a long, b long").distinct()
+    return met.repartition(tasks, "place").mapInArrow(meet, "place long, class long, centre long, crowd long")
 
 
-def _two(left: list, right: list, names: tuple[str, str]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], names=list(names))
+def _table(names: list[str], *columns: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
 
 def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -268,11 +296,11 @@ def linked(one: int, others: np.ndarray, sets: list, sizes: np.ndarray, maps: np
     return found
 
 
-OUTLINES = "class long, size long, map binary, low binary, high binary"
+OUTLINES = "class long, size long, map binary, spare_even int, spare_odd int"
 
 
 def outlines(texts: DataFrame, join: Join) -> DataFrame:
-    """What the first step needs of a class: size, bitmap, and marks in its lower and its upper tile.
+    """What the first step needs of a class: size, bitmap, and the places to spare in its tiles of even and odd number.
 
     A bitmap has at least two bits for an element, a power of two of them, so that wide ones fold to
     narrow ones.
@@ -285,13 +313,12 @@ def outlines(texts: DataFrame, join: Join) -> DataFrame:
                 found = elements(text.as_py(), join.n)
                 bits = np.zeros(max(512, 1 << (2 * len(found) - 1).bit_length()), dtype=bool)
                 bits[(found & np.uint64(len(bits) - 1)).astype(np.int64)] = True
-                tiles = tiles_of(len(found), join)
-                marks = [short_marks(found, join, tile).tobytes() for tile in (tiles[0], tiles[-1])]
-                rows.append((one.as_py(), len(found), np.packbits(bits).tobytes(), *marks))
+                spare = {tile & 1: spare_places(found, join, tile) for tile in tiles_of(len(found), join)}
+                rows.append((one.as_py(), len(found), np.packbits(bits).tobytes(), spare.get(0, 0), spare.get(1, 0)))
             if rows:
-                kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+                kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32()]
                 columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays(columns, names=["class", "size", "map", "low", "high"])
+                yield pa.RecordBatch.from_arrays(columns, names=["class", "size", "map", "spare_even", "spare_odd"])
 
     return texts.select("class", "text").mapInArrow(outline, OUTLINES)
 
@@ -303,18 +330,23 @@ def folded(maps: list[bytes]) -> np.ndarray:
     return np.stack(rows).view(np.uint64)
 
 
-def _places(marks: bytes) -> np.ndarray:
-    """Part and mark as one number, for the parts that count."""
-    found = np.frombuffer(marks, dtype=np.uint16).astype(np.int64)
-    parts = np.flatnonzero(found)
-    return parts * 65_536 + found[parts]
+def _rows(batch: pa.RecordBatch) -> list[dict]:
+    """The rows of a batch; places stay arrays."""
+    if "places" not in batch.schema.names:
+        return batch.to_pylist()
+    places = batch.column("places")
+    ends = np.cumsum(places.value_lengths().to_numpy())
+    rows = batch.drop_columns(["places"]).to_pylist()
+    for row, own in zip(rows, np.split(places.flatten().to_numpy(), ends[:-1]), strict=True):
+        row["places"] = own
+    return rows
 
 
 def _by_tile(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
     """The rows of each tile; rows of one tile follow each other."""
     held: list[dict] = []
     for batch in batches:
-        for row in batch.to_pylist():
+        for row in _rows(batch) if batch.num_rows else ():
             if held and row["tile"] != held[0]["tile"]:
                 yield held
                 held = []
@@ -337,7 +369,7 @@ def _tile_candidates(join: Join):
         label = np.array([names.setdefault(r["label"], i) for i, r in enumerate(rows)])
         centres = np.flatnonzero(role == 0)
         members = np.flatnonzero(role == 1)
-        meetings = None if len(centres) else Meetings([_places(r["marks"]) for r in rows])
+        meetings = None if len(centres) else Meetings([r["places"] for r in rows])
         hit = np.zeros(len(rows), dtype=bool)
         for one in centres if len(centres) else range(len(rows)):
             if len(centres):
@@ -414,18 +446,15 @@ def _dealt(places: DataFrame, what: DataFrame) -> DataFrame:
     at = [c for c in places.columns if c != "class"]
     wanted = places.groupBy("class").agg(F.collect_list(F.struct(*at)).alias("at"))
     sent = what.join(wanted, "class").withColumn("at", F.explode("at")).select(*what.columns, "at.*")
-    if "upper" in at:
-        sent = sent.withColumn("marks", F.when(F.col("upper"), F.col("high")).otherwise(F.col("low")))
-        sent = sent.withColumn("marks", F.when(F.col("role") > 1, F.col("marks"))).drop("low", "high", "upper")
     return sent.repartition("tile").sortWithinPartitions("tile", "role", "class")
 
 
 def _compare(places: DataFrame, known: DataFrame, texts: DataFrame, join: Join) -> DataFrame:
-    """Links (a, b) found in tiles; ``places`` has class, tile, role, label and which marks count (upper).
+    """Links (a, b) found in tiles; ``places`` has class, tile, role and label, and in which places of the tile to meet.
 
     Outlines go to all tiles, texts to those in which they may link.
     """
-    few = _dealt(places, known).select("tile", "role", "label", "class", "size", "map", "marks")
+    few = _dealt(places, known.select("class", "size", "map"))
     few = stage(few.mapInArrow(_tile_candidates(join), CANDIDATES), "join-candidates")
     dealt = _dealt(few, texts).select("tile", "role", "label", "class", "text")
     return dealt.mapInArrow(_tile_links(join), "a long, b long")
@@ -440,49 +469,39 @@ def _star_places(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
     ).withColumn("tile", F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("_shares"))))
     members = cut.select(F.col("b").alias("class"), "tile", F.lit(1).alias("role"), F.col("b").alias("label"))
     centres = cut.select("a", "tile").distinct()
-    both = members.union(centres.select(F.col("a").alias("class"), "tile", F.lit(0).alias("role"), F.col("a").alias("label")))
-    return both.withColumn("upper", F.lit(False))
-
-
-def _group_places(members: DataFrame, join: Join) -> DataFrame:
-    """Tiles of whole groups: (class, size, label, group) cut into blocks by band; blocks that can link meet."""
-    band = F.lit(0)
-    for edge in join.edges[1:80]:
-        band = band + (F.col("size") >= int(edge)).cast("int")
-    banded = members.withColumn("band", band)
-    totals = banded.groupBy("group", "band").agg(F.ceil(F.sum("size") * 2 / TILE_ELEMENTS).alias("blocks"))
-    banded = banded.join(totals, ["group", "band"]).withColumn("block", F.pmod(F.xxhash64("class", F.lit(1)), F.col("blocks")))
-    above = totals.select("group", (F.col("band") - 1).alias("band"), F.col("blocks").alias("more"))
-    below = totals.select("group", (F.col("band") + 1).alias("band"), F.col("blocks").alias("fewer"))
-    near = banded.join(above, ["group", "band"], "left").join(below, ["group", "band"], "left")
-
-    def tile(low_band, low_block, high_band, high_block):
-        return F.xxhash64("group", low_band, low_block, high_band, high_block)
-
-    every = lambda count: F.sequence(F.lit(0).cast("long"), count - 1)
-    mine, block = F.col("band"), F.col("block")
-    within = F.transform(
-        every(F.col("blocks")),
+    return members.union(centres.select(F.col("a").alias("class"), "tile", F.lit(0).alias("role"), F.col("a").alias("label")))
+
+
+def _open_places(places: DataFrame, known: DataFrame, labels: DataFrame) -> DataFrame:
+    """Tiles of the places that one centre has, for classes with different labels; large ones are cut into blocks."""
+    odd = F.col("place") % 2 != 0
+    crowded = Window.partitionBy("class", "odd").orderBy(F.desc("crowd"), F.desc("place"))
+    spare = F.when(F.col("odd"), F.col("spare_odd")).otherwise(F.col("spare_even"))
+    found = (
+        places.withColumn("odd", odd)
+        .join(known.select("class", "size", "spare_even", "spare_odd"), "class")
+        .withColumn("_rank", F.row_number().over(crowded))
+        .where(F.col("_rank") > spare)
+        .groupBy("centre", "odd", "class")
+        .agg(F.first("size").alias("size"), F.collect_list("place").alias("places"))
+        .join(labels.select(F.col("node").alias("class"), "component"), "class", "left")
+        .withColumn("label", F.coalesce("component", "class"))
+        .drop("component")
+    )
+    found = stage(found, "join-meetings")
+    blocks = F.ceil(F.sum("size") * 2 / (WIDER * TILE_ELEMENTS)).alias("blocks")
+    totals = found.groupBy("centre", "odd").agg(blocks, F.min("label").alias("_low"), F.max("label").alias("_high"))
+    totals = totals.where("_low != _high").select("centre", "odd", "blocks")
+    cut = found.join(totals, ["centre", "odd"]).withColumn("block", F.pmod(F.xxhash64("class", F.lit(1)), F.col("blocks")))
+    block = F.col("block")
+    grid = F.transform(
+        F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1),
         lambda other: F.struct(
-            tile(mine, F.least(block, other), mine, F.greatest(block, other)).alias("tile"),
+            F.xxhash64("centre", "odd", F.least(block, other), F.greatest(block, other)).alias("tile"),
             F.when(other == block, 4).when(block < other, 2).otherwise(3).alias("role"),
-            F.lit(False).alias("upper"),
         ),
     )
-    upward = F.transform(
-        every(F.coalesce("more", F.lit(0))),
-        lambda other: F.struct(tile(mine, block, mine + 1, other).alias("tile"), F.lit(2).alias("role"), F.lit(True).alias("upper")),
-    )
-    downward = F.transform(
-        every(F.coalesce("fewer", F.lit(0))),
-        lambda other: F.struct(tile(mine - 1, other, mine, block).alias("tile"), F.lit(3).alias("role"), F.lit(False).alias("upper")),
-    )
-    upward = F.when(F.coalesce("more", F.lit(0)) > 0, upward).otherwise(F.expr("array()"))
-    downward = F.when(F.coalesce("fewer", F.lit(0)) > 0, downward).otherwise(F.expr("array()"))
-    placed = near.select("class", "label", F.explode(F.concat(within, upward, downward)).alias("at"))
-    # Two sets of one band and the next are both in the tile that begins with the lower band; two of the
-    # same band are in that tile and in the one before.
-    return placed.select("class", "at.tile", "at.role", "label", "at.upper")
+    return cut.select("class", "label", "places", F.explode(grid).alias("at")).select("class", "at.*", "label", "places")
 
 
 def linked_classes(docs: DataFrame, join: Join) -> tuple[DataFrame, DataFrame]:
@@ -490,7 +509,9 @@ def linked_classes(docs: DataFrame, join: Join) -> tuple[DataFrame, DataFrame]:
     keyed = with_row_key(docs).select("row_id", "row_hash", text_or_empty().alias("text"))
     classes = stage(document_classes(keyed, join), "join-classes")
     rows = classes.count()
-    pairs = stage(stars(keyed, join, rows), "join-stars")
+    places = stage(meeting_places(keyed, join, rows), "join-places")
+    pairs = places.where("class != centre").select(F.col("centre").alias("a"), F.col("class").alias("b")).distinct()
+    pairs = stage(pairs, "join-stars")
     # One row stands for a class.
     sizes = classes.groupBy("class").agg(F.min(F.struct("row_id", "row_hash")).alias("one"), F.first("size").alias("size"))
     sizes = stage(sizes.select("class", "size", "one.*"), "join-sizes")
@@ -504,24 +525,19 @@ def linked_classes(docs: DataFrame, join: Join) -> tuple[DataFrame, DataFrame]:
     links = stage(_compare(_star_places(pairs, sizes), known, texts, join), "join-links")
     labels = components(links, "join-first")
     label = lambda side: labels.select(F.col("node").alias(side), F.col("component").alias(f"l{side}"))
-    open_pairs = (
+    # A place with two labels has one that is not its centre's.
+    unsettled = (
         pairs.join(label("a"), "a", "left")
         .join(label("b"), "b", "left")
-        .select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
-        .where("a != b")
+        .where(F.coalesce("la", "a") != F.coalesce("lb", "b"))
+        .select(F.col("a").alias("centre"))
         .distinct()
     )
-    open_pairs = stage(open_pairs, "join-open")
-    if open_pairs.isEmpty():
+    unsettled = stage(unsettled, "join-open")
+    if unsettled.isEmpty():
         return classes, labels
-    groups = components(open_pairs, "join-groups").withColumnsRenamed({"node": "label", "component": "group"})
-    inside = (
-        meeting.join(labels.withColumnRenamed("node", "class"), "class", "left")
-        .select("class", F.coalesce("component", "class").alias("label"))
-        .join(groups, "label")
-        .join(sizes.select("class", "size"), "class")
-    )
-    more = stage(_compare(_group_places(inside, join), known, texts, join), "join-more-links")
+    meetings = _open_places(places.join(unsettled, "centre"), known, labels)
+    more = stage(_compare(meetings, known, texts, join), "join-more-links")
     if more.isEmpty():
         return classes, labels
     return classes, components(links.union(more), "join-last")
