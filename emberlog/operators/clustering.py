@@ -30,6 +30,11 @@ ZERO_DISTANCE = 1e-8
 DIGITS = 12
 
 BLOCK = 2048
+# Vectors (clusters, in rounds) of one side of a cell when clusters are formed, and similarities held at once.
+CELL = 8_192
+HELD = 1 << 22
+# Pairs of heads that a cell of a round should compare at most.
+CELL_PAIRS = 1 << 24
 # A component of close vectors with at most so many rows and close pairs is clustered in one task.
 SOLVE_ROWS = 20_000
 SOLVE_PAIRS = 4_000_000
@@ -45,6 +50,23 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(raw < ZERO_DISTANCE, 0.0, raw)
 
 
+def paired_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The distance of each row of ``a`` to the same row of ``b``; the same for both orders."""
+    norms = np.linalg.norm(a, axis=1) * np.linalg.norm(b, axis=1)
+    raw = 1.0 - np.einsum("ij,ij->i", a, b) / (norms + NORM_GUARD)
+    return np.round(np.where(raw < ZERO_DISTANCE, 0.0, raw), DIGITS)
+
+
+def units(features: np.ndarray) -> np.ndarray:
+    """Rows of length 1 in single precision: their products tell which distances have to be computed."""
+    return (features / np.maximum(np.linalg.norm(features, axis=1, keepdims=True), 1e-300)).astype(np.float32)
+
+
+def slack(width: int) -> float:
+    """How far a product of two ``units`` may be below the cosine, at most."""
+    return 1e-5 + 2e-7 * width
+
+
 def number_vectors(vectors: DataFrame) -> DataFrame:
     """``id, features, weight`` of distinct vectors, numbered in hash order."""
     keyed = vectors.withColumn("_key", F.md5(F.array_join(F.col("features").cast("array<string>"), ",")))
@@ -69,11 +91,8 @@ def leading_coordinates(features: np.ndarray, similarity: float, order: np.ndarr
     return (unit != 0) & (tails >= similarity - 1e-9)
 
 
-def _cells(rows: DataFrame, max_dist: float, order: np.ndarray, block: int) -> DataFrame:
-    """``key, coord, own, row, col``: the grid cells in which each row (``key, features``) meets others.
-
-    ``coord`` is a place in ``order``; its rows are cut into stripes, and cell (row, col) holds two of them.
-    """
+def _leading(rows: DataFrame, max_dist: float, order: np.ndarray) -> DataFrame:
+    """``key, coord`` of the leading coordinates of each row (``key, features``); ``coord`` is a place in ``order``."""
     if not 0 <= max_dist < 1:
         raise ValueError("max_dist must lie in [0, 1)")
 
@@ -82,7 +101,15 @@ def _cells(rows: DataFrame, max_dist: float, order: np.ndarray, block: int) -> D
             row, coord = np.nonzero(leading_coordinates(matrix, 1.0 - max_dist, order))
             yield pd.DataFrame({"key": batch["key"].to_numpy()[row], "coord": coord})
 
-    placed = rows.mapInPandas(spread, "key bigint, coord bigint")
+    return rows.mapInPandas(spread, "key bigint, coord bigint")
+
+
+def _cells(rows: DataFrame, max_dist: float, order: np.ndarray, block: int) -> DataFrame:
+    """``key, coord, own, row, col``: the grid cells in which each row (``key, features``) meets others.
+
+    The rows of a coordinate are cut into stripes, and cell (row, col) holds two of them.
+    """
+    placed = _leading(rows, max_dist, order)
     # One row per coordinate: how many stripes its vectors are cut into.
     stripes = placed.groupBy("coord").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("stripes"))
     own = F.pmod(F.hash("key"), F.col("stripes"))
@@ -94,34 +121,48 @@ def _cells(rows: DataFrame, max_dist: float, order: np.ndarray, block: int) -> D
     )
 
 
-def _close(cell: pd.DataFrame, max_dist: float, order: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``a, b, d`` of the pairs of one cell that are close; a pair of several coordinates is left to the first one."""
+def _close(cell: pd.DataFrame, max_dist: float, order: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """``a, b, d`` of the pairs of one cell that are close, some at a time; a pair of several coordinates is left to the first one."""
     coord, row, col = (int(cell[c].iloc[0]) for c in ("coord", "row", "col"))
     left, right = cell[cell["own"] == row], cell[cell["own"] == col]
-    found: list[tuple] = [(np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0))]
-    if len(left) and len(right):
-        x, y = left["key"].to_numpy(), right["key"].to_numpy()
-        a, b = np.vstack(left["features"]), np.vstack(right["features"])
-        # Only the coordinates before this one decide whether the pair was met there.
-        before = slice(0, coord)
-        lead_a = leading_coordinates(a, 1.0 - max_dist, order)[:, before].astype(np.float32)
-        lead_b = leading_coordinates(b, 1.0 - max_dist, order)[:, before].astype(np.float32)
-        for low in range(0, len(x), 256):
-            at = slice(low, low + 256)
-            d = np.round(distances(a[at], b), DIGITS)
-            near = (d <= max_dist) & ((x[at, None] < y) if row == col else (x[at, None] != y))
-            near &= (lead_a[at] @ lead_b.T) == 0
-            i, j = np.nonzero(near)
-            p, q = x[low + i], y[j]
-            found.append((np.minimum(p, q), np.maximum(p, q), d[i, j]))
-    return tuple(np.concatenate(part) for part in zip(*found, strict=True))
+    if not len(left) or not len(right):
+        return
+    x, y = left["key"].to_numpy(), right["key"].to_numpy()
+    a, b = np.vstack(left["features"]), np.vstack(right["features"])
+    # Only the coordinates before this one decide whether the pair was met there.
+    before = slice(0, coord)
+    lead_a = np.packbits(leading_coordinates(a, 1.0 - max_dist, order)[:, before], axis=1)
+    lead_b = np.packbits(leading_coordinates(b, 1.0 - max_dist, order)[:, before], axis=1)
+    unit_a, unit_b = units(a), units(b)
+    # The guard only makes distances larger, so no close pair is below this.
+    least = 1.0 - max_dist - slack(a.shape[1])
+    step = max(1, HELD // len(b))
+    for low in range(0, len(x), step):
+        i, j = np.nonzero(unit_a[low : low + step] @ unit_b.T >= least)
+        i += low
+        keep = x[i] < y[j] if row == col else x[i] != y[j]
+        i, j = i[keep], j[keep]
+        for start in range(0, len(i), 1 << 18):
+            p, q = i[start : start + (1 << 18)], j[start : start + (1 << 18)]
+            new = ~(lead_a[p] & lead_b[q]).any(axis=1)
+            p, q = p[new], q[new]
+            d = paired_distances(a[p], b[q])
+            near = d <= max_dist
+            p, q = x[p[near]], y[q[near]]
+            yield np.minimum(p, q), np.maximum(p, q), d[near]
+
+
+def _by_cell(cells: DataFrame, rows: int, block: int):
+    """Rows grouped by cell. They are few and the work on them is not, so they are not left to be coalesced."""
+    tasks = 4 * max(cells.sparkSession.sparkContext.defaultParallelism, -(-rows // block))
+    return cells.repartition(tasks, "coord", "row", "col").groupBy("coord", "row", "col")
 
 
 def _meeting(numbered: DataFrame, max_dist: float, block: int):
     """The rows of all cells with their features, grouped by cell, and the order of coordinates."""
     rows = numbered.select(F.col("id").alias("key"), "features")
     order = rare_first(rows)
-    return _cells(rows, max_dist, order, block).join(rows, "key").groupBy("coord", "row", "col"), order
+    return _by_cell(_cells(rows, max_dist, order, block).join(rows, "key"), rows.count(), block), order
 
 
 def close_pairs(numbered: DataFrame, max_dist: float, block: int = BLOCK) -> DataFrame:
@@ -129,13 +170,14 @@ def close_pairs(numbered: DataFrame, max_dist: float, block: int = BLOCK) -> Dat
     cells, order = _meeting(numbered, max_dist, block)
 
     def pairs(cell: pd.DataFrame) -> pd.DataFrame:
-        a, b, d = _close(cell, max_dist, order)
+        none = (np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0))
+        a, b, d = (np.concatenate(part) for part in zip(none, *_close(cell, max_dist, order), strict=True))
         return pd.DataFrame({"a": a, "b": b, "d": d})
 
     return cells.applyInPandas(pairs, "a bigint, b bigint, d double")
 
 
-def close_links(numbered: DataFrame, max_dist: float, block: int = BLOCK) -> DataFrame:
+def close_links(numbered: DataFrame, max_dist: float, block: int = CELL) -> DataFrame:
     """``a, b, pairs``: stars that connect what close pairs connect, and how many pairs they stand for.
 
     A cell returns at most a row per vector, however many of its vectors are close to each other.
@@ -143,11 +185,15 @@ def close_links(numbered: DataFrame, max_dist: float, block: int = BLOCK) -> Dat
     cells, order = _meeting(numbered, max_dist, block)
 
     def stars(cell: pd.DataFrame) -> pd.DataFrame:
-        a, b, _ = _close(cell, max_dist, order)
-        names, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-        left, right = at[: len(a)], at[len(a) :]
-        centre = joined_up(len(names), left, right)
-        return pd.DataFrame({"a": names[centre], "b": names, "pairs": np.bincount(left, minlength=len(names))})
+        names = np.unique(cell["key"].to_numpy())
+        every = np.arange(len(names))
+        centre, pairs, met = every, np.zeros(len(names), dtype=np.int64), np.zeros(len(names), dtype=bool)
+        for a, b, _ in _close(cell, max_dist, order):
+            left, right = np.searchsorted(names, a), np.searchsorted(names, b)
+            centre = joined_up(len(names), np.concatenate([every, left]), np.concatenate([centre, right]))
+            pairs += np.bincount(left, minlength=len(names))
+            met[left] = met[right] = True
+        return pd.DataFrame({"a": names[centre[met]], "b": names[met], "pairs": pairs[met]})
 
     return cells.applyInPandas(stars, "a bigint, b bigint, pairs bigint")
 
@@ -229,67 +275,145 @@ def _solved(max_dist: float):
     return run
 
 
+def _facing_cells(heads: DataFrame, max_dist: float, order: np.ndarray, block: int) -> DataFrame:
+    """``key, coord, row, col, asks``: grid cells in which the heads that ask meet all heads of their coordinates.
+
+    The stripes of the heads that ask are the rows, those of all heads the columns of the grid.
+    """
+    asking = heads.select("key", "dirty")
+    placed = _leading(heads.select("key", "features"), max_dist, order).join(asking, "key")
+    # One row per coordinate: how many stripes its heads are cut into.
+    size = lambda n, most: F.ceil(n / F.lit(most)).cast("int")
+    counts = placed.groupBy("coord").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("dirty")).alias("asks"))
+    stripes = counts.where("asks > 0").select(
+        "coord",
+        size(F.col("n"), block).alias("cols"),
+        size(F.col("asks") * F.least("n", F.lit(block)), min(block * block, CELL_PAIRS)).alias("rows"),
+    )
+    placed = placed.join(stripes, "coord")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda n: F.pmod(F.hash("key"), F.col(n))
+    left = placed.where("dirty").select("key", "coord", own("rows").alias("row"), every("cols").alias("col"), F.lit(True).alias("asks"))
+    right = placed.select("key", "coord", every("rows").alias("row"), own("cols").alias("col"), F.lit(False).alias("asks"))
+    return left.unionByName(right)
+
+
+def _farthest(a, b, first_a, size_a, first_b, size_b, p, q) -> np.ndarray:
+    """The complete-linkage distance of each pair of clusters ``p`` (rows of ``a``) and ``q`` (rows of ``b``)."""
+    out = np.empty(len(p))
+    many = size_a[p] * size_b[q]
+    ends = np.cumsum(many)
+    low = 0
+    while low < len(p):  # some whole pairs of clusters at a time
+        high = max(low + 1, int(np.searchsorted(ends, ends[low] - many[low] + (1 << 18), side="right")))
+        starts = ends[low:high] - many[low:high] - (ends[low] - many[low])
+        pair = np.repeat(np.arange(low, high), many[low:high])
+        at = np.arange(len(pair)) - starts[pair - low]
+        i, j = first_a[p[pair]] + at // size_b[q[pair]], first_b[q[pair]] + at % size_b[q[pair]]
+        out[low:high] = np.maximum.reduceat(paired_distances(a[i], b[j]), starts)
+        low = high
+    return out
+
+
+def _largest_first(side: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Names, first rows and sizes of the clusters of sorted rows, largest first."""
+    names, first, size = np.unique(side["key"].to_numpy(), return_index=True, return_counts=True)
+    order = np.argsort(-size, kind="stable")
+    return names[order], first[order], size[order]
+
+
+def _layers(unit: np.ndarray, first: np.ndarray, size: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """The first members of all clusters, the second ones of those that have any, and so on (largest first)."""
+    for k in range(size[0]):
+        n = int(np.searchsorted(-size, -k, side="left"))
+        yield n, unit[first[:n] + k]
+
+
+def _nearest_in_cell(cell: pd.DataFrame, max_dist: float) -> pd.DataFrame:
+    """``cluster, d, other``: the nearest cluster (ties: lowest) of each cluster that asks, if it is close.
+
+    Products in single precision leave few pairs of clusters; only their distances are computed.
+    """
+    none = pd.DataFrame({"cluster": [], "d": [], "other": []}).astype({"cluster": "int64", "other": "int64"})
+    cell = cell.sort_values(["key", "id"])
+    left, right = cell[cell["asks"]], cell[~cell["asks"]]
+    if not len(left) or not len(right):
+        return none
+    (x, first_x, size_x), (y, first_y, size_y) = _largest_first(left), _largest_first(right)
+    a, b = np.vstack(left["features"]), np.vstack(right["features"])
+    unit_a = units(a)
+    layers = list(_layers(units(b), first_y, size_y))
+    shortest = np.linalg.norm(a, axis=1).min() * np.linalg.norm(b, axis=1).min()
+    error = slack(a.shape[1])
+    # The guard may make the distance of short vectors larger than their cosine tells.
+    margin = 2 * error + NORM_GUARD / (shortest + NORM_GUARD)
+    named = np.argsort(y)
+    step, out = max(1, HELD // len(y)), [none]
+    for low in range(0, len(x), step):
+        names = x[low : low + step]
+        s = np.full((len(names), len(y)), 2, dtype=np.float32)
+        for m, mine in _layers(unit_a, first_x[low : low + step], size_x[low : low + step]):
+            for n, theirs in layers:
+                np.minimum(s[:m, :n], mine @ theirs.T, out=s[:m, :n])
+        at = named[np.minimum(np.searchsorted(y, names, sorter=named), len(y) - 1)]
+        same = np.flatnonzero(y[at] == names)
+        s[same, at[same]] = -2
+        p, q = np.nonzero(s >= np.maximum(s.max(axis=1) - margin, 1.0 - max_dist - error)[:, None])
+        p += low
+        d = _farthest(a, b, first_x, size_x, first_y, size_y, p, q)
+        near = d <= max_dist
+        p, d, other = p[near], d[near], y[q[near]]
+        best = np.lexsort((other, d, p))
+        p, d, other = p[best], d[best], other[best]
+        first = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]])) if len(p) else best
+        out.append(pd.DataFrame({"cluster": x[p[first]], "d": d[first], "other": other[first]}))
+    return pd.concat(out)
+
+
 def _merged_in_rounds(numbered: DataFrame, max_dist: float, block: int) -> DataFrame:
     """``id, cluster`` without a table of pairs: in every round clusters that are each other's nearest merge.
 
     All members of close clusters are close, so two of them meet where their first members meet. A cell
-    keeps the nearest cluster of each of its clusters, a row per cluster.
+    keeps the nearest cluster of each of its clusters, a row per cluster. Distances only grow, so a cluster
+    asks again only when it or its nearest one has merged, and one that is close to none is done.
     """
     order = rare_first(numbered)
-    members = stage(numbered.select("id", F.col("id").alias("cluster"), "features"), "members")
-
-    def compare(cell: pd.DataFrame) -> pd.DataFrame:
-        row, col = (int(cell[c].iloc[0]) for c in ("row", "col"))
-        cell = cell.sort_values(["key", "id"])
-        left, right = cell[cell["own"] == row], cell[cell["own"] == col]
-        out = [pd.DataFrame({"cluster": [], "d": [], "other": []}).astype({"cluster": "int64", "other": "int64"})]
-        if len(left) and len(right):
-            x, first_x = np.unique(left["key"].to_numpy(), return_index=True)
-            y, first_y = np.unique(right["key"].to_numpy(), return_index=True)
-            a, b = np.vstack(left["features"]), np.vstack(right["features"])
-            least, who = np.full(len(y), np.inf), np.full(len(y), -1)
-            ends = np.append(first_x[1:], len(a))
-            low = 0
-            while low < len(x):  # some whole clusters at a time
-                high = max(low + 1, int(np.searchsorted(ends, first_x[low] + 512, side="right")))
-                d = np.round(distances(a[first_x[low] : ends[high - 1]], b), DIGITS)
-                d = np.maximum.reduceat(d, first_x[low:high] - first_x[low], axis=0)
-                d = np.maximum.reduceat(d, first_y, axis=1)
-                d[(d > max_dist) | (x[low:high, None] == y)] = np.inf
-                at = d.argmin(axis=1)
-                best = d[np.arange(len(d)), at]
-                keep = np.isfinite(best)
-                out.append(pd.DataFrame({"cluster": x[low:high][keep], "d": best[keep], "other": y[at[keep]]}))
-                at = d.argmin(axis=0)
-                best = d[at, np.arange(len(y))]
-                closer = best < least
-                least[closer], who[closer] = best[closer], x[low + at[closer]]
-                low = high
-            keep = np.isfinite(least)
-            out.append(pd.DataFrame({"cluster": y[keep], "d": least[keep], "other": who[keep]}))
-        return pd.concat(out)
-
+    live = stage(numbered.select("id", F.col("id").alias("cluster"), "features", F.lit(True).alias("dirty")), "members")
+    known: DataFrame | None = None
+    done: list[DataFrame] = []
     while True:
-        heads = members.where("id = cluster").select(F.col("id").alias("key"), "features")
-        cells = _cells(heads, max_dist, order, block).join(members.withColumnRenamed("cluster", "key"), "key")
-        found = cells.groupBy("coord", "row", "col").applyInPandas(compare, "cluster bigint, d double, other bigint")
-        nearest_ = found.groupBy("cluster").agg(F.min(F.struct("d", "other")).alias("n"))
-        pair = [F.least("cluster", "n.other").alias("into"), F.greatest("cluster", "n.other").alias("gone")]
+        heads = live.where("id = cluster").select(F.col("id").alias("key"), "features", "dirty")
+        cells = _facing_cells(heads, max_dist, order, block)
+        cells = cells.join(live.select("id", F.col("cluster").alias("key"), "features"), "key")
+        found = _by_cell(cells, live.count(), block).applyInPandas(
+            lambda cell: _nearest_in_cell(cell, max_dist), "cluster bigint, d double, other bigint"
+        )
+        found = found.groupBy("cluster").agg(F.min(F.struct("d", "other")).alias("n")).select("cluster", "n.other")
+        nearest_ = stage(found if known is None else found.unionByName(known), "nearest")
+        pair = [F.least("cluster", "other").alias("into"), F.greatest("cluster", "other").alias("gone")]
         merges = stage(nearest_.select(*pair).groupBy("into", "gone").count().where("count = 2"), "merges")
         if merges.isEmpty():
-            return members.select("id", "cluster")
-        members = stage(
-            members.join(merges, F.col("cluster") == F.col("gone"), "left").select(
-                "id", F.coalesce("into", "cluster").alias("cluster"), "features"
-            ),
-            "members",
+            out = live.select("id", "cluster")
+            for rows in done:
+                out = out.unionByName(rows)
+            return out
+        changed = merges.select(F.explode(F.array("into", "gone")).alias("cluster"), "into")
+        state = (
+            nearest_.join(changed, "cluster", "left")
+            .join(changed.select(F.col("cluster").alias("other"), F.lit(True).alias("_moved")), "other", "left")
+            .select("cluster", "other", "into", (F.col("into").isNotNull() | F.col("_moved").isNotNull()).alias("dirty"))
         )
+        known = state.where(~F.col("dirty")).select("cluster", "other")
+        moved = live.drop("dirty").join(state.drop("other"), "cluster", "left")
+        moved = stage(moved.select("id", F.coalesce("into", "cluster").alias("cluster"), "features", "dirty"), "members")
+        live = moved.where("dirty is not null")
+        done.append(moved.where("dirty is null").select("id", "cluster"))
 
 
 def complete_linkage(
     numbered: DataFrame,
     max_dist: float,
-    block: int = BLOCK,
+    block: int = CELL,
     solve_rows: int = SOLVE_ROWS,
     solve_pairs: int = SOLVE_PAIRS,
 ) -> DataFrame:
